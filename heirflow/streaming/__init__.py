@@ -1,0 +1 @@
+"""The work is batch only: weights, ranks and totals are defined over whole tables, so there is no stream to read."""
