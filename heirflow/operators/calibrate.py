@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 from heirflow.functions.arrays import count_below
 from heirflow.functions.draws import pareto
 from heirflow.functions.nulls import required
-from heirflow.operators.lookup import lookup_join
+from heirflow.operators.lookup import lookup_join, settled
 from heirflow.operators.ordered import weighted_quantiles, weighted_rank
 from heirflow.operators.projection import liability
 
@@ -77,8 +77,9 @@ def quantile_factors(
 
     def grid(df: DataFrame, weight: str, name: str) -> DataFrame:
         positive = df.where(F.col(value) > 0)
-        return weighted_quantiles(positive, value, weight, probs).select(
-            F.col("prob_index").alias("rank"), F.col("quantile").alias(name)
+        found = weighted_quantiles(positive, value, weight, probs)
+        return settled(
+            found.select(F.col("prob_index").alias("rank"), F.col("quantile").alias(name))
         )
 
     both = grid(actual, actual_weight, "actual").join(

@@ -4,36 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-BROADCAST_ROWS = 200_000
+SMALL_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast after counting at most ``max_rows + 1`` of its rows.
+def _fetch(df: DataFrame, max_rows: int) -> pa.Table | None:
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
 
-    A larger table comes back unmarked and its join shuffles. The rows are kept
-    so that the count and the join compute them once.
+
+def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
+    """``df`` as a table of constants if it has at most ``max_rows`` rows, else None.
+
+    Like a broadcast this passes the rows through the driver, but only after
+    the limit has bounded them, and plans built on the result do not contain
+    the work that produced it.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    rows = _fetch(df, max_rows)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def settled(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """The constant table if small, else ``df`` as it is."""
+    found = settle(df, max_rows)
+    return df if found is None else found
 
 
 def lookup_join(
-    df: DataFrame, lookup: DataFrame, on: Sequence[str], max_rows: int = BROADCAST_ROWS
+    df: DataFrame, lookup: DataFrame, on: Sequence[str], max_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Left join to one row per key, refusing a lookup whose keys repeat."""
-    kept = lookup.persist(StorageLevel.MEMORY_AND_DISK)
-    keys = kept.groupBy(*on).count()
-    size = keys.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.max("count").alias("most")
-    ).first()
-    if (size["most"] or 0) > 1:
-        raise ValueError(f"lookup has more than one row for a value of {list(on)}")
-    right = F.broadcast(kept) if size["rows"] <= max_rows else kept
-    return df.join(right, list(on), "left")
+    """Left join to one row per key, refusing a lookup whose keys repeat.
+
+    A lookup of up to ``max_rows`` rows is broadcast; a larger one shuffles.
+    """
+    on = list(on)
+    rows = _fetch(lookup, max_rows)
+    if rows is None:
+        right = lookup
+        most = lookup.groupBy(*on).count().agg(F.max("count")).first()[0]
+    else:
+        right = F.broadcast(df.sparkSession.createDataFrame(rows, lookup.schema))
+        counts = rows.group_by(on).aggregate([([], "count_all")])["count_all"]
+        most = max(counts.to_pylist(), default=0)
+    if most > 1:
+        raise ValueError(f"lookup has {most} rows for one value of {on}")
+    return df.join(right, on, "left")
 
 
 def row_at_year(df: DataFrame, year: int) -> Row:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirflow.operators.lookup import lookup_join, row_at_year
+from heirflow.operators.lookup import lookup_join, row_at_year, settled
 
 
 def economic(macro: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def net_worth_per_capita(
         F.col("id").cast("int").alias("year")
     )
     series = known.unionByName(later, allowMissingColumns=True)
-    series = lookup_join(series, economic.select("year", "gdp"), ["year"])
+    series = settled(lookup_join(series, economic.select("year", "gdp"), ["year"]))
     base = row_at_year(series, last_known)
     carried = F.lit(base["net_worth"]).cast("double") * F.try_divide(
         F.col("gdp"), F.lit(base["gdp"]).cast("double")
@@ -63,6 +63,7 @@ def projection_indexes(
     years = lookup_join(years, population_by_year(demographic), ["year"]).withColumn(
         "gdp_pc", F.try_divide("gdp", "population")
     )
+    years = settled(years)
     base = row_at_year(years, anchor)
     return years.select(
         "year",

@@ -22,7 +22,7 @@ from pyspark.storagelevel import StorageLevel
 from heirflow.functions.arrays import count_below
 from heirflow.functions.draws import uniform
 from heirflow.functions.nulls import required
-from heirflow.operators.lookup import broadcast_if_small, lookup_join
+from heirflow.operators.lookup import lookup_join, settle
 
 MAX_BUCKETS = 10_000
 
@@ -208,11 +208,11 @@ def weighted_quantiles(
 
     wanted = F.flatten(F.transform(F.lit(np.array(probs, dtype=float)), two_positions))
     here = F.filter(wanted, lambda m: (m["at"] > F.col("_start")) & (m["at"] <= F.col("_end")))
-    marks = limits.select(
-        *by, "_bucket", "_start", "_most", F.explode(here).alias("_mark")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-
-    needed = broadcast_if_small(marks.select(*by, "_bucket", "_start").distinct())
+    marks = limits.select(*by, "_bucket", "_start", "_most", F.explode(here).alias("_mark"))
+    small = settle(marks)
+    marks = marks.persist(StorageLevel.MEMORY_AND_DISK) if small is None else small
+    needed = marks.select(*by, "_bucket", "_start").distinct()
+    needed = needed if small is None else F.broadcast(needed)
     place = [*by, "_bucket"]
     in_bucket = Window.partitionBy(*place)
     values = (

@@ -22,7 +22,11 @@ def demographic_long(wide: DataFrame, token: str = "married") -> DataFrame:
     Takes every column whose name contains ``token``; drops the age 'NA'.
     """
     cells = [c for c in wide.columns if token in c]
-    long = wide.unpivot("year", cells, "cell", "population")
+    # One array per row instead of unpivot, whose plan repeats the row once per column.
+    values = F.array(*[F.col(c).cast("double") for c in cells])
+    long = wide.select("year", F.posexplode(values).alias("pos", "population")).withColumn(
+        "cell", F.get(F.lit(cells), F.col("pos"))
+    )
     status, age = F.split("cell", "_")[0], F.split("cell", "_")[1]
     return (
         long.where(age != "NA")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heirflow.functions.draws import uniform
 from heirflow.functions.nulls import least_or_null
-from heirflow.operators.lookup import lookup_join, row_at_year
+from heirflow.operators.lookup import lookup_join, row_at_year, settled
 
 WAVES = (2013, 2016, 2019, 2022)
 SURVEY_KEY = ("survey_year", "yy1", "y1", "dup_id")
@@ -89,6 +89,7 @@ def with_inheritance(
 
 def demographic_factor(demographic: DataFrame, anchor: int) -> DataFrame:
     """Population of each (married, age) cell in the anchor year over that in each year."""
+    demographic = settled(demographic)
     at_anchor = demographic.where(F.col("year") == anchor).select(
         "married", "age", F.col("population").alias("at_anchor")
     )
@@ -103,6 +104,7 @@ def demographic_factor(demographic: DataFrame, anchor: int) -> DataFrame:
 
 def asset_factor(net_worth: DataFrame, anchor: int) -> DataFrame:
     """Net worth per head in the anchor year over that in each year."""
+    net_worth = settled(net_worth)
     at_anchor = row_at_year(net_worth, anchor)["net_worth_pc"]
     return net_worth.select(
         F.col("year").alias("survey_year"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirflow.operators import calibrate, macro, models, projection, survey
+from heirflow.operators.lookup import settled
 from heirflow.operators.ordered import rank_bins, weighted_resample
 from heirflow.operators.reshape import demographic_long, duplicate
 from heirflow.operators.units import unit_features
@@ -57,12 +58,12 @@ class Macro:
 
 def macro_tables(wide: DataFrame, quarterly: DataFrame, s: Settings) -> Macro:
     """Economic series, population by cell, and net worth per head."""
-    wide = materialise(wide)
-    economic, demographic = macro.economic(wide), demographic_long(wide)
+    wide = settled(wide)
+    economic, demographic = settled(macro.economic(wide)), settled(demographic_long(wide))
     net_worth = macro.net_worth_per_capita(
         quarterly, economic, demographic, min(s.waves), s.last_known, s.anchor
     )
-    return Macro(economic, demographic, net_worth)
+    return Macro(economic, demographic, settled(net_worth))
 
 
 def training_table(surveys: DataFrame, m: Macro, s: Settings) -> DataFrame:
@@ -75,7 +76,8 @@ def training_table(surveys: DataFrame, m: Macro, s: Settings) -> DataFrame:
         "inheritance", "has_inheritance",
     )
     df = survey.age_weights(df, m.demographic, s.anchor)
-    df = survey.age_values(df, m.net_worth, s.anchor)
+    # Stored: binning reads the rows four times and would repeat the survey join each time.
+    df = materialise(survey.age_values(df, m.net_worth, s.anchor))
     df = rank_bins(df, "income", "weight", s.seed, s.survey_floor, by=["survey_year"])
     return survey.cap_age(df.drop("income"), s.survey_age_cap)
 
