@@ -338,9 +338,14 @@ def hurdle_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibrated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, sample, c = _scored(spark, sf_dir)
-    c = replace(c, brackets=tuple(s.brackets(scored)))
-    final = simulate.calibrate_units(scored, sample, c)
-    return calibrate.bracket_summary(final, c.exemptions, s.EDGES, c.heirs)
+    # Line prices are far below the amounts of ``imputed_units``, so everything is a twentieth.
+    small = [
+        calibrate.Bracket(b.low / 20, b.high and b.high / 20, b.count, b.average / 20)
+        for b in s.brackets(scored)
+    ]
+    final = simulate.calibrate_units(scored, sample, replace(c, brackets=tuple(small)))
+    exemptions = {name: e / 20 for name, e in c.exemptions.items()}
+    return calibrate.bracket_summary(final, exemptions, [e / 20 for e in s.EDGES], c.heirs)
 
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
