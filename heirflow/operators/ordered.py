@@ -25,6 +25,7 @@ from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join, settle
 
 MAX_BUCKETS = 10_000
+SAMPLE_PER_BUCKET = 500
 
 # Probabilities of the income breaks and labels of the bins between them.
 RANK_PROBS = [i / 100 for i in range(100)] + [0.991, 0.993, 0.995, 0.997, 0.999]
@@ -62,10 +63,17 @@ def cuts_from_percentiles(percentiles: Sequence[float]) -> Cuts:
 
 
 def value_cuts(df: DataFrame, value: str, buckets: int) -> Cuts:
-    """Approximate percentiles as limits. They only balance the work; results do not depend on them."""
+    """Approximate percentiles as limits. They only balance the work; results do not depend on them.
+
+    A table much larger than the number of buckets is sampled for this, so that
+    the summaries that meet in one task stay small however many tasks there are.
+    """
+    values = df.select(F.col(value).cast("double").alias("v"))
+    rows = values.count()
+    if rows > SAMPLE_PER_BUCKET * buckets:
+        values = values.sample(SAMPLE_PER_BUCKET * buckets / rows, seed=0)
     probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 10 * buckets)
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy)).first()[0]
+    found = values.agg(F.percentile_approx("v", probs, max(10_000, 10 * buckets))).first()[0]
     return cuts_from_percentiles(found if found else [0.0])
 
 
@@ -112,8 +120,9 @@ def running_weight(
 ) -> Running:
     """Running sum of ``weight`` in the order of ``value``, ties in digest order of ``key``.
 
-    Without ``value`` the order is the digest order alone. Two passes over ``df``
-    (three with ``value``); store an input that is expensive to compute.
+    Without ``value`` the order is the digest order alone. Two passes over ``df``,
+    and with ``value`` two more over that column; store an input that is expensive
+    to compute.
     """
     buckets = buckets or bucket_count(df.sparkSession)
     cuts = value_cuts(df, value, buckets) if value else None

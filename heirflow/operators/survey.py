@@ -39,10 +39,11 @@ def timing_probability(
     wave: Column, year: Column, timing: Sequence[tuple[int, int, float]] = TIMING
 ) -> Column:
     """Chance that a transfer reported for ``year`` was received in the survey's own year."""
-    chance = F.lit(None).cast("double")
-    for w, y, p in timing:
-        chance = F.coalesce(chance, F.when((wave == w) & (year == y), F.lit(p)))
-    return F.coalesce(chance, F.lit(0.0))
+    (w, y, p), *rest = timing
+    chance = F.when((wave == w) & (year == y), F.lit(p))
+    for w, y, p in rest:
+        chance = chance.when((wave == w) & (year == y), F.lit(p))
+    return chance.otherwise(F.lit(0.0))
 
 
 def possible_inheritances(
@@ -67,14 +68,21 @@ def realise(
     Null where no event can count, 0 where every possible one is drawn away. The
     three events sit in one row, so nothing is reshaped and nothing is shuffled.
     """
+    # The chances are columns of their own, so that each is computed once per row.
+    names = {n: f"_p{n}" for n in events}
+    df = df.withColumns(
+        {
+            name: timing_probability(F.col("survey_year"), F.col(f"year_{n}"), timing)
+            for n, name in names.items()
+        }
+    )
     drawn = []
-    for n in events:
-        value, kind = F.col(f"value_{n}"), F.col(f"type_{n}")
-        p = timing_probability(F.col("survey_year"), F.col(f"year_{n}"), timing)
+    for n, name in names.items():
+        value, kind, p = F.col(f"value_{n}"), F.col(f"type_{n}"), F.col(name)
         u = uniform(*[F.col(k) for k in key], seed=seed, draw=f"event{n}")
         possible = (value > 0) & (kind != NOT_AN_INHERITANCE) & (p > 0)
         drawn.append(F.when(possible, F.when(u < p, value).otherwise(F.lit(0.0))))
-    return df.withColumn("inheritance", F.greatest(*drawn))
+    return df.withColumn("inheritance", F.greatest(*drawn)).drop(*names.values())
 
 
 def with_inheritance(

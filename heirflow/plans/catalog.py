@@ -24,7 +24,7 @@ from heirflow.operators.units import unit_features, unit_income
 from heirflow.plans import simulate
 from heirflow.plans import standins as s
 from heirflow.sources import readers, sinks
-from heirflow.sources.shared import fresh_path
+from heirflow.sources.shared import fresh_path, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,10 +190,11 @@ def rake_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actual = s.training_rows(spark, sf_dir).withColumn("one", F.lit(1.0))
+    actual = s.training_rows(spark, sf_dir).select("inheritance", F.lit(1.0).alias("one"))
     predicted = s.imputed_units(spark, sf_dir).withColumn(
         "expected", F.col("weight") * F.col("p_inheritance")
     )
+    actual = materialise(actual.where(F.col("inheritance") > 0))
     return calibrate.quantile_factors(actual, predicted, "one", "expected")
 
 
@@ -293,7 +294,7 @@ def _stand_in_settings(**changes) -> simulate.Settings:
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, simulate.Settings]:
     """As many draws as the training table has rows."""
     surveys = s.surveys(spark, sf_dir)
-    settings = _stand_in_settings(sample=5 * surveys.count())
+    settings = _stand_in_settings(sample=5 * s.survey_summary(spark, sf_dir).count())
     tables = simulate.macro_tables(
         s.macro_wide(spark, sf_dir), s.net_worth_quarterly(spark, sf_dir), settings
     )

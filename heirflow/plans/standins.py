@@ -102,9 +102,9 @@ def brackets(df: DataFrame) -> list[Bracket]:
 def survey_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey waves: orders of four years."""
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
-    waves = []
+    orders, waves = table(spark, sf_dir, "orders"), []
     for wave in WAVES:
-        rows = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == wave)
+        rows = orders.where(F.year("o_orderdate") == wave)
         waves.append(
             rows.select(
                 F.lit(wave).alias("survey_year"),

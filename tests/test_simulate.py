@@ -27,7 +27,7 @@ def write_csv(path, header, rows):
 def files(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("inputs")
     rng = np.random.default_rng(11)
-    cells = [f"{s}_{a}" for s in ("married", "unmarried") for a in range(18, 81)]
+    cells = [f"{s}_{a}" for s in ("married", "unmarried") for a in range(18, 97)]
 
     def macro_row(y):
         return [y, 1e4 * 1.04 ** (y - 2013), 230 + y - 2013, 140 * 1.02 ** (y - 2013)] + [
