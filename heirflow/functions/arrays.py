@@ -1,11 +1,29 @@
-"""Binary search over a sorted array column, as plain column arithmetic."""
+"""Constant arrays, and binary search over a sorted array column."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def double_literal(value: float) -> str:
+    """SQL text of a finite double."""
+    return f"{float(value)!r}D"
+
+
+def doubles(values: Sequence[float]) -> Column:
+    """Constant array of doubles, parsed once instead of built literal by literal."""
+    entries = ", ".join(double_literal(v) for v in values)
+    return F.expr(f"array({entries})" if entries else "cast(array() as array<double>)")
+
+
+def integers(values: Sequence[int]) -> Column:
+    """Constant array of integers."""
+    return F.expr(f"cast(array({', '.join(str(int(v)) for v in values)}) as array<int>)")
+
+
 def count_below(df: DataFrame, value: Column, breaks: Column, longest: int, out: str) -> DataFrame:
     """Add ``out``: how many entries of the ascending array ``breaks`` are below ``value``.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from heirflow.functions.arrays import count_below
+from heirflow.functions.arrays import count_below, doubles
 from heirflow.functions.draws import pareto
 from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join, settled
@@ -183,8 +183,7 @@ def promote(
         return df
     # How many rows are at or below each candidate value tells which ones reach the
     # percentile: one narrow pass, no sort of the table.
-    steps = F.lit(np.array(values, dtype=float))
-    placed = count_below(df.select(value), F.col(value), steps, len(values), "step")
+    placed = count_below(df.select(value), F.col(value), doubles(values), len(values), "step")
     tally = {r["step"]: r["count"] for r in placed.groupBy("step").count().collect()}
     at_or_below = dict(zip(values, np.cumsum([tally.get(i, 0) for i in range(len(values))]).tolist()))
     position = 1.0 + (sum(tally.values()) - 1) * rule.percentile

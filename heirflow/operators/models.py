@@ -94,12 +94,9 @@ def ols_moments(df: DataFrame, y: Column, terms: Sequence[Column] | None = None)
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     # Rows with a missing term would only thin out some of the sums.
     rows = df.select(*[t.alias(n) for t, n in zip(terms, names)]).dropna()
-    sums = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_s{i}_{j}") for i, j in pairs])
-    entries = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_s{i}_{j}").alias("moment"))
-        for i, j in pairs
-    ]
-    return sums.select(F.inline(F.array(*entries)))
+    sums = rows.selectExpr(*[f"sum(_t{i} * _t{j}) AS _s{i}_{j}" for i, j in pairs])
+    entries = ", ".join(f"struct({i} AS i, {j} AS j, _s{i}_{j} AS moment)" for i, j in pairs)
+    return sums.selectExpr(f"inline(array({entries}))")
 
 
 def fit_ols(df: DataFrame, y: Column, terms: Sequence[Column] | None = None) -> list[float]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from heirflow.functions.arrays import count_below
+from heirflow.functions.arrays import count_below, doubles, integers
 from heirflow.functions.draws import uniform
 from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join, settle
@@ -97,8 +97,8 @@ def _in_parts(df: DataFrame, value: str | None, cuts: Cuts | None, buckets: int)
     df = _locate(df, "_value", cuts.limits, "_bucket").drop("_value")
     if max(cuts.parts) == 1:
         return df
-    first = F.get(F.lit(np.array(cuts.first_part)), F.col("_bucket"))
-    parts = F.get(F.lit(np.array(cuts.parts)), F.col("_bucket"))
+    first = F.get(integers(cuts.first_part), F.col("_bucket"))
+    parts = F.get(integers(cuts.parts), F.col("_bucket"))
     return df.withColumn("_bucket", (first + F.floor(F.col("_tie") * parts)).cast("int"))
 
 
@@ -143,7 +143,7 @@ def running_weight(
         .orderBy(*order, "_tie", *key)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    start = F.get(F.lit(np.array(starts)), F.col("_bucket"))
+    start = F.get(doubles(starts), F.col("_bucket"))
     rows = df.withColumn("cum_weight", start + F.sum("_w").over(within))
     return Running(rows.drop("_w", "_tie", "_bucket"), float(ends[-1]), starts)
 
@@ -215,7 +215,7 @@ def weighted_quantiles(
             ),
         )
 
-    wanted = F.flatten(F.transform(F.lit(np.array(probs, dtype=float)), two_positions))
+    wanted = F.flatten(F.transform(doubles(probs), two_positions))
     here = F.filter(wanted, lambda m: (m["at"] > F.col("_start")) & (m["at"] <= F.col("_end")))
     marks = limits.select(*by, "_bucket", "_start", "_most", F.explode(here).alias("_mark"))
     small = settle(marks)
@@ -291,10 +291,10 @@ def rank_bins(
         df = lookup_join(df, breaks, by)
     else:
         one = breaks.first()  # one array of len(probs) numbers
-        df = df.withColumn("breaks", F.lit(np.array(one["breaks"] if one else [], dtype=float)))
+        df = df.withColumn("breaks", doubles(one["breaks"] if one else []))
     df = count_below(df, F.col(value), F.col("breaks"), len(probs), "_below")
     inside = F.col("_below").between(1, len(labels)) & (F.size("breaks") > F.col("_below"))
-    label = F.get(F.lit(np.array(labels, dtype=float)), F.col("_below") - 1)
+    label = F.get(doubles(labels), F.col("_below") - 1)
     outside = F.when(F.col(value) < F.lit(floor), F.lit(0.0)).when(F.col(value) >= F.lit(floor), F.lit(1.0))
     return df.withColumn(out, F.when(inside, label).otherwise(outside)).drop("breaks", "_below")
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heirflow.functions.arrays import double_literal
 from heirflow.functions.nulls import greatest_or_null
 
 TAX_RATE = 0.4
@@ -80,18 +81,14 @@ def project_scenarios(
     The parameters are a constant array that each record is exploded over, so
     the whole projection is one narrow pass.
     """
-    entries = [
-        F.struct(
-            F.lit(scenario).alias("scenario"),
-            F.lit(year).cast("int").alias("year"),
-            F.lit(growth).cast("double").alias("_growth"),
-            F.lit(exemption).cast("double").alias("_exemption"),
-        )
+    entries = ", ".join(
+        f"struct('{scenario}' AS scenario, {year} AS year, "
+        f"{double_literal(growth)} AS _growth, {double_literal(exemption)} AS _exemption)"
         for scenario, year, growth, exemption in parameters
-    ]
-    grown = df.select("id", "p_inheritance", "inheritance", F.inline(F.array(*entries))).withColumn(
-        "inheritance", F.col("inheritance") * F.col("_growth")
     )
+    grown = df.select(
+        "id", "p_inheritance", "inheritance", F.expr(f"inline(array({entries}))")
+    ).withColumn("inheritance", F.col("inheritance") * F.col("_growth"))
     tax = liability(F.col("inheritance"), F.col("_exemption"), heirs, rate)
     return grown.select(
         "scenario", "year", "id", "p_inheritance", "inheritance", tax.alias("estate_tax_liability")
