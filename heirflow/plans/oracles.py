@@ -512,12 +512,12 @@ def all_sql() -> dict[str, str]:
             },
         ),
         "weighted_quantiles": _with(
-            "SELECT filing_status, CAST(i AS INTEGER) AS prob_index, p AS prob, round(q, 4) AS quantile FROM q_out",
+            "SELECT filing_status, CAST(i AS INTEGER) AS prob_index, p AS prob, round(q, 6) AS quantile FROM q_out",
             "incomes",
             extra=_quantiles("incomes", "income", "weight", _list(RANK_PROBS), "filing_status"),
         ),
         "quantile_grid": _with(
-            "SELECT CAST(i AS INTEGER) AS prob_index, p AS prob, round(q, 4) AS quantile FROM q_out",
+            "SELECT CAST(i AS INTEGER) AS prob_index, p AS prob, round(q, 6) AS quantile FROM q_out",
             "imputed",
             extra=_quantiles(
                 "imputed", "inheritance", "weight", "list_transform(range(0, 1001), lambda x: x / 1000e0)"
@@ -553,7 +553,7 @@ def all_sql() -> dict[str, str]:
             },
         ),
         "quantile_match_factors": _with(
-            "SELECT rank, round(actual, 4) AS actual, round(predicted, 4) AS predicted, "
+            "SELECT rank, round(actual, 6) AS actual, round(predicted, 6) AS predicted, "
             "round(factor, 8) AS factor FROM factors",
             "training", "imputed",
             extra=_match_ctes(),
