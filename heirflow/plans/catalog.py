@@ -200,7 +200,7 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantile_match_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_factors(spark, sf_dir), actual=6, predicted=6, factor=8)
+    return _rounded(_factors(spark, sf_dir), actual=6, predicted=4, factor=8)
 
 
 def quantile_match_apply(spark: SparkSession, sf_dir: str) -> DataFrame:

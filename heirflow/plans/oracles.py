@@ -553,7 +553,7 @@ def all_sql() -> dict[str, str]:
             },
         ),
         "quantile_match_factors": _with(
-            "SELECT rank, round(actual, 6) AS actual, round(predicted, 6) AS predicted, "
+            "SELECT rank, round(actual, 6) AS actual, round(predicted, 4) AS predicted, "
             "round(factor, 8) AS factor FROM factors",
             "training", "imputed",
             extra=_match_ctes(),
