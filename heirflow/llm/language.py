@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heirflow.llm.bytescan import steps
+
 #: Families of languages (fixed values); a language that is not listed is a family of its own.
 FAMILIES = {
     "da": "germanic", "de": "germanic", "en": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -28,11 +30,10 @@ FAMILIES = {
     "bg": "slavic", "cs": "slavic", "pl": "slavic", "ru": "slavic", "sk": "slavic", "uk": "slavic",
 }
 UNKNOWN = "und"
-BUCKETS = 1 << 13
+BUCKET_BITS = 12
+BUCKETS = 1 << BUCKET_BITS
 #: Most labelled rows that are used for training, over all languages.
 MAX_TRAINING_ROWS = 2_000
-#: Bytes of text that one vectorised step looks at.
-STEP_BYTES = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -49,20 +50,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     """Bucket of the trigram that starts at each byte but the last two."""
     folded = _FOLD[data]
     code = (folded[:-2] << 16) | (folded[1:-1] << 8) | folded[2:]
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - 13)
-
-
-def _steps(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(bytes, offsets, first row) of neighbouring texts, about ``STEP_BYTES`` at a time; null is empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + STEP_BYTES, "right")) - 1)
-        end = min(end, len(column))
-        yield data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], row
-        row = end
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
 def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +67,7 @@ def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def features(texts: pa.Array) -> np.ndarray:
     """Root frequencies of the trigram buckets, one row a text; for the training sample."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
-    for data, offsets, row in _steps(texts):
+    for data, offsets, row in steps(texts):
         bucket, owner, grams = _counted(data, offsets)
         np.add.at(out, (owner + row, bucket), 1)
         out[row : row + len(grams)] /= np.maximum(grams, 1)[:, None]
@@ -113,7 +101,7 @@ class LanguageModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Margin of every pair for every text: the weights of its trigrams, averaged."""
         out = np.zeros((len(texts), len(self.pairs)))
-        for data, offsets, row in _steps(texts):
+        for data, offsets, row in steps(texts):
             bucket, owner, grams = _counted(data, offsets)
             for k, w in enumerate(self.weights):
                 total = np.bincount(owner, w[bucket], len(grams)) if len(bucket) else np.zeros(len(grams))
@@ -157,7 +145,7 @@ def family_of(language: str) -> str:
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     out = np.zeros(len(texts), bool)
-    for data, offsets, row in _steps(texts):
+    for data, offsets, row in steps(texts):
         letters = np.concatenate([[0], np.cumsum((_FOLD[data] > 32) & (data < 128))])
         out[row : row + len(offsets) - 1] = letters[offsets[1:]] > letters[offsets[:-1]]
     for i in np.flatnonzero(~out):
@@ -169,14 +157,18 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def training_sample(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """At most ``max_rows`` labelled rows (text, lang) outside the held-out ones, as many of each language.
 
-    The rows of a language with the smallest hashes of their ids; ties by id. Only ids and labels
-    are ranked, and each task passes on no more than the rows wanted.
+    The rows of a language with small hashes of their ids; ties by id. Only ids and labels are ranked.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = known.select("lang").distinct().count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    each = max(1, max_rows // max(1, languages))
-    ranked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    each = max(1, max_rows // max(1, len(counts)))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    # about 8 times the rows wanted of each language are ranked, so the ranking doesn't grow with the table
+    some = F.lit(False)
+    for lang, count in sorted(counts.items()):
+        some |= (F.col("lang") == lang) & (place <= min(1.0, 8 * each / count))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ranked = known.select("doc_id", "lang").where(some).withColumn("rank", F.row_number().over(order))
     chosen = [r[0] for r in ranked.where(F.col("rank") <= each).select("doc_id").collect()]
     return known.where(F.col("doc_id").isin(chosen)).select("text", "lang").limit(2 * max_rows)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heirflow.llm import byte_bpe, language, sharding, token_store
+from heirflow.llm import byte_bpe, decontaminate, language, ngram_join, pii, sharding, token_store
 from heirflow.llm.tables import read_table
 from heirflow.sources.shared import fresh_path
 
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_report(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_store.token_report(docs, fresh_path(spark, "tokens"), public_tokenizers.path(BYTE_BPE))
@@ -33,7 +37,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_sharding, op5_token_store, op7_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_language_id, op3_sharding, op4_ngram_jaccard, op5_token_store, op7_byte_bpe, op8_decontaminate, op10_pii,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
