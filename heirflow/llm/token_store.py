@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 HINT_EVERY = 256
-#: Most words that a task keeps with their ids; then it starts anew.
-MAX_WORDS = 400_000
+#: Most words that a worker keeps with their ids (about 200 bytes each).
+MAX_WORDS = 800_000
+#: Unknown words that are encoded as one text.
+JOINED_WORDS = 250
 SEGMENT_SCHEMA = (
     "part int, seg int, before long, n_docs int, n_ids long, width int, doc_ids binary, null_ids binary, "
     "ids binary, low_bits int, low binary, high binary, hints binary"
@@ -100,7 +102,11 @@ class Bounds:
 
 
 class WordEncoder:
-    """Ids of whole texts, packed; words that come again are looked up."""
+    """Ids of whole texts, packed; words that come again are looked up.
+
+    ``words`` holds the ids of a word after a blank. Once it is half full it becomes ``older``, from
+    which words that come again are taken over, so the frequent ones stay.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -110,52 +116,58 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode unknown words as one text and cut its ids where the words start."""
-        if len(self.words) + len(words) > MAX_WORDS:
-            self.words.clear()
-        for at in range(0, len(words), 2_000):
-            some = words[at : at + 2_000]
-            whole = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in whole.offsets), np.int64, len(whole.ids))
-            begins = np.cumsum([0] + [len(w) for w in some])
-            cuts = np.searchsorted(starts, begins, "left") * self.kind.itemsize
+    def _one(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Ids of unknown words: many are encoded as one text, whose ids are cut where the words start."""
+        plain = []
+        for word in fresh:
+            found = self.older.get(word)
+            if found is not None:
+                self.words[word] = found
+            elif word and not word[0].isspace() and not word[-1].isspace():
+                plain.append(word)
+            else:
+                self.words[word] = self._one(" " + word)
+        for at in range(0, len(plain), JOINED_WORDS):
+            some = plain[at : at + JOINED_WORDS]
+            whole = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            starts = np.array(whole.offsets, np.int64)[:, 0]
+            begins = np.cumsum([0, *[len(w) + 1 for w in some]])
+            cuts = (np.searchsorted(starts, begins) * self.kind.itemsize).tolist()
             packed = self._pack(whole.ids)
-            for k, word in enumerate(some):
-                self.words[word] = packed[cuts[k] : cuts[k + 1]]
+            self.words.update(zip(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, split, fresh = [], [], {}
         if len(self.words) > MAX_WORDS // 2:
-            self.words.clear()
-        known = self.words
-        for i, text in enumerate(texts):
-            if _BLANKS_MEET.search(text):
-                whole.append(i)
-                continue
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
-            split.append((i, words))
-            for w in words:
-                if w not in known:
-                    fresh[w] = None
-        fresh.pop("", None)
-        #: Only words after which a blank or the end follows keep their ids when they are joined.
-        self._learn([w for w in fresh if w[0] == " " and not w[-1].isspace() and not w[1:2].isspace()])
-        for w in fresh:
-            if w not in self.words:
-                self.words[w] = self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        self.words[""] = b""
-        for i, words in split:
-            out[i] = b"".join(map(self.words.__getitem__, words))
-        for i, found in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = self._pack(found.ids)
-        return out
+            self.words, self.older = {}, self.words
+        split = [None if _BLANKS_MEET.search(t) else t.split(" ") for t in texts]
+        fresh: set[str] = set()
+        for words in split:
+            if words and len(words) > 1:
+                fresh.update(words[1:])
+        self._learn(fresh.difference(self.words))
+        look = self.words.__getitem__
+        return [
+            self._one(text) if words is None else self._one(words[0]) + b"".join(map(look, words[1:]))
+            for text, words in zip(texts, split)
+        ]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file, kept for the life of the worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _segment(part: int, seg: int, before: int, keys: list[int | None], docs: list[bytes], kind: np.dtype) -> dict:
@@ -180,7 +192,7 @@ def write_tokens(
     """Encode ``doc_id, text`` and write the segments under ``path`` in ascending order of ``doc_id``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         part, end = TaskContext.get().partitionId(), np.array([end_id], encoder.kind).tobytes()
         seg = before = held = 0
         keys: list[int | None] = []
