@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heirflow.llm.bytescan import mix, shingle_sets, steps
@@ -71,7 +71,7 @@ def plan(largest: int, percent: int) -> tuple[int, int, int]:
 def sketch_words(n: int, percent: int) -> int:
     """64-bit words of the parity sketch of sets in the band of ``n``; neighbouring bands fold to the smaller."""
     k = (100 - percent) * 2 * n // (100 + percent) + 1
-    return 1 << max(0, min(6, math.ceil(math.log2(max(1, 4 * k / 64)))))
+    return 1 << max(0, min(5, math.ceil(math.log2(max(1, 32 * k / 64)))))
 
 
 def _sketch(elements: np.ndarray, words: int) -> np.ndarray:
@@ -97,7 +97,7 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n.append(len(one))
                     c.append(_identity(one))
                     sketches.append(_sketch(one, sketch_words(len(one), percent)))
-            f = np.frombuffer(b"".join(c), np.int64)[::2]
+            f = np.frombuffer(b"".join(c), np.int64)[::2] & ~1
             yield pa.record_batch(
                 [batch["doc_id"], batch["h"], batch["len"], pa.array(n, pa.int32()), pa.array(f, pa.int64()),
                  pa.array(c, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
@@ -130,7 +130,11 @@ def _signatures(elements: np.ndarray, instance: int, largest: int, percent: int)
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``sig, f`` of every set, in the instance of its band and in that of the next band."""
+    """``sig, f`` of every set, in the instance of its band and in that of the next band.
+
+    The last bit of ``f`` says whether the set is of the larger band of the instance. Two sets of
+    the smaller band are compared in the instance before.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -138,7 +142,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for data, offsets, _ in steps(batch["text"]):
                 sigs, refs, counts = [], [], []
                 for one in shingle_sets(data, offsets, size):
-                    f = int.from_bytes(_identity(one)[:8], "little", signed=True)
+                    f = int.from_bytes(_identity(one)[:8], "little", signed=True) & ~1
                     if not len(one) or f in sent:
                         continue
                     if len(sent) < MAX_REMEMBERED:
@@ -148,7 +152,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     for i in (band, band + 1):
                         high = table[i][1] if i < len(table) else (table[-1][1] + 1) * 100 // percent
                         sigs.append(_signatures(one, i, high, percent))
-                        refs.append(f)
+                        refs.append(f | (i == band))
                         counts.append(len(sigs[-1]))
                 if sigs:
                     yield pa.record_batch(
@@ -178,15 +182,7 @@ def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if not len(sig):
                 continue
             fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (f[1:] != f[:-1])])
-            same = sig[1:] == sig[:-1]
-            other = same & (f[1:] != f[:-1])
-            keep = known.copy()
-            keep[1:] |= other
-            # a row also stays if the next set of its signature differs
-            keep[:-1] |= other
-            last = len(sig) - 1
-            keep[:last] &= fresh[:last] | known[:last]
-            # repeated rows of one set: the one before the change is kept for the first
+            other = (sig[1:] == sig[:-1]) & (f[1:] != f[:-1])
             starts = np.flatnonzero(fresh)
             group = np.cumsum(fresh) - 1
             any_kept = np.zeros(len(starts), bool)
@@ -247,12 +243,12 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     classes = sets.where("n > 0").groupBy("f", "c").agg(
         F.min(F.struct("doc_id", "h", "len")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
+    shared = shared.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"))
     classes = stored(classes.join(shared.select("f").distinct(), "f", "left_semi"), "jaccard-classes")
-    by_sig = Window.partitionBy("sig")
-    members = shared.select("sig", "f", F.count(F.lit(1)).over(by_sig).alias("m"))
-    weight = members.groupBy("f").agg(F.sum("m").alias("weight"))
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    weight = shared.join(sizes, "sig").groupBy("f").agg(F.sum("m").alias("weight"))
     known = classes.select("f", F.struct("c", "n", "sketch").alias("x")).join(weight, "f")
-    members = stored(shared.join(known, "f").select("sig", "x", "weight"), "jaccard-members")
+    members = stored(shared.join(known, "f").select("sig", "upper", "x", "weight"), "jaccard-members")
     leader = members.groupBy("sig").agg(F.max(F.struct("weight", "x")).alias("top")).select("sig", F.col("top.x").alias("y"))
     stars = members.join(leader, "sig").where(F.col("x.c") != F.col("y.c")).where(_close("x", "y", percent))
     ordered = (F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
@@ -262,13 +258,16 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     links = stored(_proven(tried, texts, size, percent), "jaccard-links")
     labels = components(links)
     left = members.join(labels.withColumnRenamed("node", "c"), F.col("x.c") == F.col("c"), "left").select(
-        "sig", "x", F.coalesce("label", "x.c").alias("label")
+        "sig", "upper", "x", F.coalesce("label", "x.c").alias("label")
     )
-    mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    mixed = left.groupBy("sig").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("upper").alias("any")
+    ).where("lo <> hi AND any").select("sig")
     open_ = stored(left.join(mixed, "sig", "left_semi"), "jaccard-open")
-    other = open_.select("sig", F.col("x").alias("y"), F.col("label").alias("label_y"))
+    other = open_.select("sig", F.col("upper").alias("upper_y"), F.col("x").alias("y"), F.col("label").alias("label_y"))
     rest = (
         open_.join(other, "sig").where(F.col("label") != F.col("label_y")).where(F.col("x.c") < F.col("y.c"))
+        .where("upper OR upper_y")
         .where(_close("x", "y", percent)).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
     )
     rest = stored(rest, "jaccard-rest")
