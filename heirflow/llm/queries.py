@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heirflow.llm import byte_bpe, decontaminate, language, ngram_join, pii, sharding, token_store
+from heirflow.llm import byte_bpe, decontaminate, language, ngram_join, pii, sharding, suffixes, token_store, vectors
 from heirflow.llm.tables import read_table
 from heirflow.sources.shared import fresh_path
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"), 8)
 
@@ -41,6 +45,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_sharding, op4_ngram_jaccard, op5_token_store, op7_byte_bpe, op8_decontaminate, op10_pii,
+        op1_language_id, op2_suffix_dedup, op3_sharding, op4_ngram_jaccard, op5_token_store, op7_byte_bpe,
+        op8_decontaminate, op9_vector_dedup, op10_pii,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
