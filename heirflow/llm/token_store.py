@@ -39,7 +39,9 @@ END_ID = 2
 SEGMENT_IDS = 1 << 20
 HINT_EVERY = 256
 #: Most words that a worker keeps with their ids (about 200 bytes each).
-MAX_WORDS = 800_000
+MAX_WORDS = 1_200_000
+#: Marks that are encoded apart from the word they end.
+MARKS = ",.;:!?"
 #: Unknown words that are encoded as one text.
 JOINED_WORDS = 250
 SEGMENT_SCHEMA = (
@@ -117,6 +119,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = {m: self._one(m) for m in MARKS}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -126,19 +129,31 @@ class WordEncoder:
 
     def _learn(self, fresh: set[str]) -> None:
         """Ids of unknown words: many are encoded as one text, whose ids are cut where the words start."""
-        plain = []
+        plain: dict[str, None] = {}
+        ended = []
         for word in fresh:
             found = self.older.get(word)
             if found is not None:
                 self.words[word] = found
             elif word and not word[0].isspace() and not word[-1].isspace():
-                plain.append(word)
+                # after a letter the split always cuts, so a mark that ends a word is encoded apart
+                if word[-1] in MARKS and word[-2:-1].isalpha():
+                    ended.append(word)
+                    if word[:-1] not in self.words:
+                        plain[word[:-1]] = None
+                else:
+                    plain[word] = None
             else:
                 self.words[word] = self._one(" " + word)
+        self._learn_plain(list(plain))
+        for word in ended:
+            self.words[word] = self.words[word[:-1]] + self.marks[word[-1]]
+
+    def _learn_plain(self, plain: list[str]) -> None:
         for at in range(0, len(plain), JOINED_WORDS):
             some = plain[at : at + JOINED_WORDS]
             whole = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.array(whole.offsets, np.int64)[:, 0]
+            starts = np.fromiter((a for a, _ in whole.offsets), np.int64)
             begins = np.cumsum([0, *[len(w) + 1 for w in some]])
             cuts = (np.searchsorted(starts, begins) * self.kind.itemsize).tolist()
             packed = self._pack(whole.ids)
