@@ -247,29 +247,37 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     classes = stored(classes.join(shared.select("f").distinct(), "f", "left_semi"), "jaccard-classes")
     sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     weight = shared.join(sizes, "sig").groupBy("f").agg(F.sum("m").alias("weight"))
-    known = classes.select("f", F.struct("c", "n", "sketch").alias("x")).join(weight, "f")
-    members = stored(shared.join(known, "f").select("sig", "upper", "x", "weight"), "jaccard-members")
-    leader = members.groupBy("sig").agg(F.max(F.struct("weight", "x")).alias("top")).select("sig", F.col("top.x").alias("y"))
-    stars = members.join(leader, "sig").where(F.col("x.c") != F.col("y.c")).where(_close("x", "y", percent))
-    ordered = (F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
-    tried = stored(stars.select(*ordered).distinct(), "jaccard-stars")
+    known = classes.select("f", "c", "n").join(weight, "f")
+    members = stored(shared.join(known, "f").select("sig", "upper", "c", "n", "weight"), "jaccard-members")
+    sketched = classes.select("c", F.struct("c", "n", "sketch").alias("x"))
+    leader = members.groupBy("sig").agg(F.max(F.struct("weight", "c")).alias("top")).select("sig", F.col("top.c").alias("y"))
+    tried = (
+        members.join(leader, "sig").where(F.col("c") != F.col("y"))
+        .select(F.least("c", "y").alias("a"), F.greatest("c", "y").alias("b")).distinct()
+        .join(sketched.withColumnsRenamed({"c": "a"}), "a").join(sketched.withColumnsRenamed({"c": "b", "x": "y"}), "b")
+        .where(_close("x", "y", percent)).select("a", "b")
+    )
+    tried = stored(tried, "jaccard-stars")
 
     texts = _texts(docs, classes)
     links = stored(_proven(tried, texts, size, percent), "jaccard-links")
     labels = components(links)
-    left = members.join(labels.withColumnRenamed("node", "c"), F.col("x.c") == F.col("c"), "left").select(
-        "sig", "upper", "x", F.coalesce("label", "x.c").alias("label")
+    left = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select(
+        "sig", "upper", "c", F.coalesce("label", "c").alias("label")
     )
     mixed = left.groupBy("sig").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("upper").alias("any")
     ).where("lo <> hi AND any").select("sig")
-    open_ = stored(left.join(mixed, "sig", "left_semi"), "jaccard-open")
-    other = open_.select("sig", F.col("upper").alias("upper_y"), F.col("x").alias("y"), F.col("label").alias("label_y"))
-    rest = (
-        open_.join(other, "sig").where(F.col("label") != F.col("label_y")).where(F.col("x.c") < F.col("y.c"))
-        .where("upper OR upper_y")
-        .where(_close("x", "y", percent)).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = stored(left.join(mixed, "sig", "left_semi").join(sketched, "c").drop("c"), "jaccard-open")
+    other = open_.select(
+        F.col("sig").alias("sig_y"), F.col("upper").alias("upper_y"), F.col("x").alias("y"), F.col("label").alias("label_y")
+    )
+    # all conditions are of the join itself, which so makes only the pairs that may be links
+    pair = (
+        (F.col("sig") == F.col("sig_y")) & (F.col("label") != F.col("label_y")) & (F.col("x.c") < F.col("y.c"))
+        & (F.col("upper") | F.col("upper_y")) & _close("x", "y", percent)
     )
+    rest = open_.join(other, pair).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = stored(rest, "jaccard-rest")
     more = stored(_proven(rest, texts, size, percent), "jaccard-links")
     if not more.isEmpty():
