@@ -91,26 +91,40 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     for s in sizes:
         fits = (F.col("size") == s) & (F.col("at") >= 0) & (F.col("at") + s <= F.size("hs"))
         value = F.when(fits, _probe("hs", "at", s)).otherwise(value)
-    probes = placed.select("doc_id", "h", "n", "w", "at", "size", value.alias("hash"))
-    small = sum(counts.values()) <= MAX_WINDOWS
     right = found.select(F.col("hash").alias("b_hash"), F.col("size").alias("b_size"), "window", "items")
-    joined = probes.join(
-        F.broadcast(right) if small else right,
-        (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size")), "left",
-    )
-    first = F.col("at") == -1 if len(sizes) == 1 else (F.col("at") == -1) & (F.col("size") == sizes[0])
-    kept = joined.where(first | F.col("window").isNotNull())
-    proven = F.col("window").isNotNull() & (F.slice("w", F.col("at") + 1, F.col("size")) == F.col("window"))
-    narrow = kept.select(
-        "doc_id", "h", "n", F.when(first, F.size("w")).alias("words"),
-        F.when(proven, F.struct("at", "size")).alias("span"), F.when(proven, F.col("items")).alias("items"),
-    )
-    return narrow.groupBy("doc_id", "h", "n").agg(
-        F.max("words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"),
-        F.collect_set("items").alias("item_sets"), F.count("words").alias("rows"),
-    ).select(
-        "doc_id", "h", "n", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("item_sets"))).alias("items"), "rows"
-    )
+    same = (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size"))
+    key = ["doc_id", "h", "n"]
+    if sum(counts.values()) > MAX_WINDOWS:
+        # probes are shuffled without the words they stand for; hits go back to the words to be proven
+        narrow = placed.where("at >= 0").select(*key, "at", "size", value.alias("hash")).where("hash IS NOT NULL").distinct()
+        met = narrow.join(right, same).groupBy(*key).agg(F.collect_list(F.struct("at", "size", "window", "items")).alias("met"))
+        met = met.withColumnsRenamed({c: f"m_{c}" for c in key})
+        both = split.join(met, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("h") == F.col("m_h")) & (F.col("n") == F.col("m_n")), "left")
+        true = F.filter("met", lambda x: F.slice("w", x["at"] + 1, x["size"]) == x["window"])
+        true = F.coalesce(true, F.array().cast("array<struct<at:int,size:int,window:array<string>,items:array<string>>>"))
+        rows = both.select(*key, F.size("w").alias("words"), true.alias("met"))
+        narrow = rows.select(
+            *key, "words", F.explode_outer("met").alias("x")
+        ).select(*key, "words", F.when(F.col("x").isNotNull(), F.struct("x.at", "x.size")).alias("span"), F.col("x.items").alias("items"))
+        times = split.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed({c: f"t_{c}" for c in key})
+        grouped = narrow.groupBy(*key).agg(
+            F.max("words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("item_sets")
+        ).join(times, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("h") == F.col("t_h")) & (F.col("n") == F.col("t_n")))
+    else:
+        probes = placed.select(*key, "w", "at", "size", value.alias("hash"))
+        first = F.col("at") == -1 if len(sizes) == 1 else (F.col("at") == -1) & (F.col("size") == sizes[0])
+        kept = probes.join(F.broadcast(right), same, "left").where(first | F.col("window").isNotNull())
+        proven = F.col("window").isNotNull() & (F.slice("w", F.col("at") + 1, F.col("size")) == F.col("window"))
+        narrow = kept.select(
+            *key, F.when(first, F.size("w")).alias("words"),
+            F.when(proven, F.struct("at", "size")).alias("span"), F.when(proven, F.col("items")).alias("items"),
+        )
+        grouped = narrow.groupBy(*key).agg(
+            F.max("words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"),
+            F.collect_set("items").alias("item_sets"), F.count("words").alias("rows"),
+        )
+    items = F.array_sort(F.array_distinct(F.flatten("item_sets")))
+    return grouped.select(*key, "n_words", "spans", items.alias("items"), "rows")
 
 
 def covered(spans: str = "spans") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heirflow.llm import byte_bpe, decontaminate, language, ngram_join, pii, sharding, suffixes, token_store, vectors
+from heirflow.llm import byte_bpe, chats, decontaminate, language, ngram_join, pii, sharding, suffixes, token_store, vectors
 from heirflow.llm.tables import read_table
 from heirflow.sources.shared import fresh_path
 
@@ -37,6 +37,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_report(docs, fresh_path(spark, "tokens"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chat_report(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS))
 
@@ -56,8 +60,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_suffix_dedup, op3_sharding, op4_ngram_jaccard, op5_token_store, op7_byte_bpe,
-        op8_decontaminate, op9_vector_dedup, op10_pii,
+        op1_language_id, op2_suffix_dedup, op3_sharding, op4_ngram_jaccard, op5_token_store, op6_quotation_linking,
+        op7_byte_bpe, op8_decontaminate, op9_vector_dedup, op10_pii,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quotation_linking": chats.CHAT_SQL}

@@ -223,5 +223,5 @@ def vector_report(
     component = F.when(F.col("grouped"), F.col("least")).otherwise(F.col("vec_id"))
     return ids.join(known, "row", "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
