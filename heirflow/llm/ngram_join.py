@@ -6,7 +6,9 @@ ones; each pair of neighbouring bands is an instance with one distance bound k.
 the domain into n1 first-level parts, each into n2 second-level parts, with n1 * (k2 + 1) > k: in one
 first-level part at most k2 second-level parts differ, so the two sets share the signature of the
 other n2 - k2. Every subset of n2 - k2 parts is enumerated. (n1, n2, k2) is the choice with the
-fewest signatures whose expected set has ``MIN_ELEMENTS`` elements.
+fewest signatures whose expected set has ``MIN_ELEMENTS`` elements. Where k2 is 0 there are ``spare``
+more first-level parts than needed, so that at least spare + 1 of them agree; a set with no more
+than ``spare`` empty parts then has an agreeing part that isn't empty, and sends no empty ones.
 
 Sets that are equal are one class before anything is compared. Within the classes of a signature the
 one that shares the most signatures in all is compared with the others first; components found so
@@ -36,7 +38,9 @@ from heirflow.llm.graphs import components, maybe_in, probably_in
 from heirflow.llm.tables import packed, stored, unpacked
 
 #: Elements that a signature covers on average where the size of the sets allows it.
-MIN_ELEMENTS = 8
+MIN_ELEMENTS = 4
+#: Bits of a set's identity that travel with its signatures; the whole identity is joined to them later.
+REF_BITS = 40
 SETS_SCHEMA = "doc_id long, h long, len int, n int, f long, c binary, sketch array<long>"
 #: Sets whose signatures a task has sent are sent once; so many are remembered.
 MAX_REMEMBERED = 200_000
@@ -54,8 +58,8 @@ def bands(percent: int, up_to: int) -> tuple[tuple[int, int], ...]:
 
 
 @lru_cache(maxsize=None)
-def plan(largest: int, percent: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) of the instance whose larger sets have up to ``largest`` elements."""
+def plan(largest: int, percent: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) of the instance whose larger sets have up to ``largest`` elements."""
     k = (100 - percent) * 2 * largest // (100 + percent)
     best = None
     for k2 in range(4):
@@ -65,7 +69,9 @@ def plan(largest: int, percent: int) -> tuple[int, int, int]:
             rank = (covered < MIN_ELEMENTS, n1 * math.comb(n2, k2) if covered >= MIN_ELEMENTS else -covered)
             if best is None or rank < best[0]:
                 best = rank, (n1, n2, k2)
-    return best[1]
+    n1, n2, k2 = best[1]
+    spare = max(1, n1 // 10) if k2 == 0 and n1 > 1 else 0
+    return n1 + spare, n2, k2, spare
 
 
 def sketch_words(n: int, percent: int) -> int:
@@ -97,7 +103,7 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n.append(len(one))
                     c.append(_identity(one))
                     sketches.append(_sketch(one, sketch_words(len(one), percent)))
-            f = np.frombuffer(b"".join(c), np.int64)[::2] & ~1
+            f = np.frombuffer(b"".join(c), np.int64)[::2] & (1 << REF_BITS) - 2
             yield pa.record_batch(
                 [batch["doc_id"], batch["h"], batch["len"], pa.array(n, pa.int32()), pa.array(f, pa.int64()),
                  pa.array(c, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
@@ -115,7 +121,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(elements: np.ndarray, instance: int, largest: int, percent: int) -> np.ndarray:
-    n1, n2, k2 = plan(largest, percent)
+    n1, n2, k2, spare = plan(largest, percent)
     seed = np.uint64(instance * 1_000_003 + 17)
     spread = mix(elements + seed)
     cell = (spread >> np.uint64(33)).astype(np.int64) % n1 * n2 + (spread & np.uint64(0x7FFFFFFF)).astype(np.int64) % n2
@@ -123,6 +129,10 @@ def _signatures(elements: np.ndarray, instance: int, largest: int, percent: int)
     np.add.at(sums, cell, mix(spread))
     sums = sums.reshape(n1, n2)
     first = np.arange(n1, dtype=np.uint64) * np.uint64(64)
+    if spare:
+        filled = np.bincount(cell, minlength=n1) > 0
+        if n1 - filled.sum() <= spare:
+            sums, first = sums[filled], first[filled]
     return np.concatenate([
         mix(sums[:, list(some)].sum(1) + mix((first + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15) + seed))
         for number, some in enumerate(combinations(range(n2), n2 - k2))
@@ -142,7 +152,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for data, offsets, _ in steps(batch["text"]):
                 sigs, refs, counts = [], [], []
                 for one in shingle_sets(data, offsets, size):
-                    f = int.from_bytes(_identity(one)[:8], "little", signed=True) & ~1
+                    f = int.from_bytes(_identity(one)[:8], "little", signed=True) & (1 << REF_BITS) - 2
                     if not len(one) or f in sent:
                         continue
                     if len(sent) < MAX_REMEMBERED:
