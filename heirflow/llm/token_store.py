@@ -39,7 +39,9 @@ END_ID = 2
 SEGMENT_IDS = 1 << 20
 HINT_EVERY = 256
 #: Most words that a worker keeps with their ids (about 200 bytes each).
-MAX_WORDS = 1_200_000
+MAX_WORDS = 1_600_000
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
 #: Marks that are encoded apart from the word they end.
 MARKS = ",.;:!?"
 #: Unknown words that are encoded as one text.
@@ -117,6 +119,9 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(tokens.values()) + 1, bool)
+        self.opens[[i for token, i in tokens.items() if token.startswith(BLANK)]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks = {m: self._one(m) for m in MARKS}
@@ -128,35 +133,32 @@ class WordEncoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def _learn(self, fresh: set[str]) -> None:
-        """Ids of unknown words: many are encoded as one text, whose ids are cut where the words start."""
-        plain: dict[str, None] = {}
-        ended = []
-        for word in fresh:
-            found = self.older.get(word)
-            if found is not None:
-                self.words[word] = found
-            elif word and not word[0].isspace() and not word[-1].isspace():
-                # after a letter the split always cuts, so a mark that ends a word is encoded apart
-                if word[-1] in MARKS and word[-2:-1].isalpha():
-                    ended.append(word)
-                    if word[:-1] not in self.words:
-                        plain[word[:-1]] = None
-                else:
-                    plain[word] = None
-            else:
-                self.words[word] = self._one(" " + word)
-        self._learn_plain(list(plain))
-        for word in ended:
-            self.words[word] = self.words[word[:-1]] + self.marks[word[-1]]
+        """Ids of unknown words; those with blanks of their own are encoded alone."""
+        again = fresh.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        fresh -= again
+        odd = {w for w in fresh if not w or len(w.strip()) < len(w)}
+        for word in odd:
+            self.words[word] = self._one(" " + word)
+        fresh -= odd
+        # after a letter the split always cuts, so a mark that ends a word is encoded apart
+        ended = [w for w in fresh if w[-1] in MARKS and w[-2:-1].isalpha()]
+        bases = [w[:-1] for w in ended]
+        self._learn_plain(list(fresh.difference(ended).union(bases).difference(self.words)))
+        look = self.words.__getitem__
+        self.words.update(zip(ended, [look(b) + self.marks[w[-1]] for w, b in zip(ended, bases)]))
 
     def _learn_plain(self, plain: list[str]) -> None:
+        """Many words are encoded as one text; a word begins at each token that begins with a blank."""
         for at in range(0, len(plain), JOINED_WORDS):
             some = plain[at : at + JOINED_WORDS]
-            whole = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in whole.offsets), np.int64)
-            begins = np.cumsum([0, *[len(w) + 1 for w in some]])
-            cuts = (np.searchsorted(starts, begins) * self.kind.itemsize).tolist()
-            packed = self._pack(whole.ids)
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int64)
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(some):
+                self.words.update((w, self._one(" " + w)) for w in some)
+                continue
+            packed = ids.astype(self.kind).tobytes()
+            cuts = (np.append(begins, len(ids)) * self.kind.itemsize).tolist()
             self.words.update(zip(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
