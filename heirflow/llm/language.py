@@ -33,7 +33,7 @@ UNKNOWN = "und"
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 #: Most labelled rows that are used for training, over all languages.
-MAX_TRAINING_ROWS = 2_000
+MAX_TRAINING_ROWS = 1_200
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
