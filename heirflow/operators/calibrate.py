@@ -46,19 +46,28 @@ def rake(
     p: str = "p_inheritance",
     weight: str = "weight",
     cap: float | None = None,
+    missing_target: str = "null",
 ) -> DataFrame:
     """Scale ``p`` so that its weighted sum in each cell meets the target.
 
     Cell sums are aggregated and joined back, so a cell with a third of all rows
-    is never gathered. A cell without a target gets null; ``cap`` limits p.
+    is never gathered. ``cap`` limits p. A cell without a target gets null
+    (``missing_target`` "null"), keeps its chances ("keep") or stops the job ("error").
     """
+    if missing_target not in ("null", "keep", "error"):
+        raise ValueError(f"missing_target {missing_target!r}")
     df = df.withColumn("age_group", age_group())
     mass = required(F.col(p), p) * required(F.col(weight), weight)
     cells = df.groupBy(*CELL).agg(F.sum(mass).alias("_mass"))
     factors = lookup_join(cells, targets, CELL).select(
         *CELL, F.try_divide("actual", "_mass").alias("_factor")
     )
-    raked = F.col(p) * F.col("_factor")
+    factor = F.col("_factor")
+    if missing_target == "keep":
+        factor = F.coalesce(factor, F.lit(1.0))
+    elif missing_target == "error":
+        factor = required(factor, "target of a cell")
+    raked = F.col(p) * factor
     if cap is not None:
         raked = F.when(raked > F.lit(cap), F.lit(cap)).otherwise(raked)
     return lookup_join(df, factors, CELL).withColumn(p, raked).drop("_factor")
@@ -98,9 +107,8 @@ def match_quantiles(
 ) -> DataFrame:
     """Multiply each value by the factor at its weighted rank; ``factors`` has steps + 1 rows."""
     ranked = weighted_rank(df, value, rank_weight, key, steps)
-    small = F.broadcast(factors.select("rank", "factor"))
     return (
-        ranked.join(small, "rank", "left")
+        lookup_join(ranked, factors.select("rank", "factor"), ["rank"])
         .withColumn(value, F.col(value) * F.col("factor"))
         .drop("rank", "factor")
     )
@@ -166,9 +174,9 @@ def promote(
 ) -> DataFrame:
     """Lift the largest values below the bracket into it until ``deficit`` is met.
 
-    Candidates are at or above the unweighted percentile of all values. The top
-    ``rule.most`` get a Pareto value above the bracket average and a chance
-    raised in proportion to its headroom.
+    Candidates are at or above the unweighted percentile of all values that are
+    there. The top ``rule.most`` get a Pareto value above the bracket average and a
+    chance raised in proportion to its headroom. A chosen id must be of one row.
     """
     lifted = pareto(bracket.average, rule.alpha, F.col(id), seed=seed, draw=draw)
     top = (
@@ -183,7 +191,8 @@ def promote(
         return df
     # How many rows are at or below each candidate value tells which ones reach the
     # percentile: one narrow pass, no sort of the table.
-    placed = count_below(df.select(value), F.col(value), doubles(values), len(values), "step")
+    present = df.select(value).where(F.col(value).isNotNull())
+    placed = count_below(present, F.col(value), doubles(values), len(values), "step")
     tally = {r["step"]: r["count"] for r in placed.groupBy("step").count().collect()}
     at_or_below = dict(zip(values, np.cumsum([tally.get(i, 0) for i in range(len(values))]).tolist()))
     position = 1.0 + (sum(tally.values()) - 1) * rule.percentile
@@ -191,6 +200,9 @@ def promote(
     chosen = [r for r in top if at_or_below[r[value]] >= enough]
     if not chosen:
         return df
+    ids = [r[id] for r in chosen]
+    if None in ids or df.where(F.col(id).isin(ids)).count() != len(ids):
+        raise ValueError(f"{id} of a promoted row is null or repeated")
     headroom = sum((1.0 - r[p]) * r[weight] for r in chosen)
     share = min(1.0, deficit / headroom) if headroom > 0 else 0.0
     changes = [(r[id], r["lifted"], r[p] + share * (1.0 - r[p])) for r in chosen]

@@ -187,3 +187,31 @@ def test_summary_by_bracket(spark):
     assert got[2]["count_heirs_reform"] == 0.0
     assert got[5]["count_estates_reform"] == pytest.approx(1 / 2.8)
     assert got[None]["inheritances"] is None
+
+
+def test_promotion_leaves_missing_amounts_out(spark):
+    """Rows without an amount change nothing: not the percentile, not the choice."""
+    rows = [(i, 1.0, 0.1, float(i)) for i in range(1, 101)]
+    bracket = Bracket(200.0, None, 10, 300.0)
+    for more in ([], [(1000 + i, 1.0, 0.1, None) for i in range(200)]):
+        df = spark.createDataFrame(rows + more, SCHEMA)
+        done = promote(df, bracket, 2.0, 8, "x", Promotion(most=50)).collect()
+        assert sorted(r["id"] for r in done if r["inheritance"] is not None and r["inheritance"] > 200) == list(range(96, 101))
+        assert sum(r["inheritance"] is None for r in done) == len(more)
+
+
+def test_promotion_refuses_repeated_ids(spark):
+    rows = [(1, 1.0, 0.1, 5.0), (2, 1.0, 0.1, 90.0), (2, 1.0, 0.1, 3.0), (3, 1.0, 0.1, 1.0)]
+    with pytest.raises(ValueError, match="repeated"):
+        promote(spark.createDataFrame(rows, SCHEMA), Bracket(100.0, None, 1, 200.0), 1.0, 8, "x", Promotion(percentile=0.5))
+
+
+def test_cells_without_a_target(spark):
+    df = spark.createDataFrame([(1, 40, 1, 2.0, 0.5), (2, 90, 1, 1.0, 0.25)], "id long, age int, married int, weight double, p_inheritance double")
+    targets = spark.createDataFrame([(1, 40, 2.0)], "married int, age_group int, actual double")
+    p = lambda **how: {r["id"]: r["p_inheritance"] for r in rake(df, targets, **how).collect()}
+    assert p() == {1: 1.0, 2: None} and p(missing_target="keep") == {1: 1.0, 2: 0.25}
+    with pytest.raises(Exception, match="target of a cell"):
+        p(missing_target="error")
+    with pytest.raises(ValueError):
+        p(missing_target="drop")
