@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from heirflow.sources.shared import materialise
+
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
 
 
 def _fetch(df: DataFrame, max_rows: int) -> pa.Table | None:
+    """All rows, if they are within both bounds; the limit keeps what is fetched small in any case."""
     rows = df.limit(max_rows + 1).toArrow()
-    return rows if rows.num_rows <= max_rows else None
+    return rows if rows.num_rows <= max_rows and rows.nbytes <= SMALL_BYTES else None
+
+
+def refuse_repeats(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Stop at a value of ``keys`` that comes more than once in ``df``."""
+    found = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if found:
+        value = ", ".join(f"{k} {found[0][k]}" for k in keys)
+        raise ValueError(f"{what} has {found[0]['count']} rows for {value}")
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
@@ -36,22 +49,26 @@ def settled(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 def lookup_join(
     df: DataFrame, lookup: DataFrame, on: Sequence[str], max_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Left join to one row per key, refusing a lookup whose keys repeat.
+    """Left join to one row per key, refusing a lookup whose keys repeat; null keys match null keys.
 
-    A lookup of up to ``max_rows`` rows is broadcast; a larger one shuffles.
+    A lookup within the row and byte bounds is broadcast; a larger one is stored, checked and shuffled.
     """
     on = list(on)
     rows = _fetch(lookup, max_rows)
     if rows is None:
-        right = lookup
-        most = lookup.groupBy(*on).count().agg(F.max("count")).first()[0]
+        right = materialise(lookup)
+        most = right.groupBy(*on).count().agg(F.max("count")).first()[0]
     else:
         right = F.broadcast(df.sparkSession.createDataFrame(rows, lookup.schema))
         counts = rows.group_by(on).aggregate([([], "count_all")])["count_all"]
         most = max(counts.to_pylist(), default=0)
     if most > 1:
         raise ValueError(f"lookup has {most} rows for one value of {on}")
-    return df.join(right, on, "left")
+    renamed = right.withColumnsRenamed({k: f"_lookup_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_lookup_{k}")) for k in on])
+    rest = [c for c in df.columns if c not in on]
+    added = [c for c in right.columns if c not in on]
+    return df.join(renamed, same, "left").select(*on, *rest, *added)
 
 
 def row_at_year(df: DataFrame, year: int) -> Row:

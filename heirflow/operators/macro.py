@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirflow.operators.lookup import lookup_join, row_at_year, settled
+from heirflow.operators.lookup import lookup_join, refuse_repeats, row_at_year, settled
 
 
 def economic(macro: DataFrame) -> DataFrame:
@@ -59,6 +59,8 @@ def projection_indexes(
     economic: DataFrame, demographic: DataFrame, first: int, last: int, anchor: int
 ) -> DataFrame:
     """year, inflation_index (chained prices) and gdp_pc_index, both 1 in the anchor year."""
+    refuse_repeats(economic, ["year"], "economic series")
+    refuse_repeats(demographic, ["year", "married", "age"], "population")
     years = economic.where(F.col("year").between(first, last))
     years = lookup_join(years, population_by_year(demographic), ["year"]).withColumn(
         "gdp_pc", F.try_divide("gdp", "population")

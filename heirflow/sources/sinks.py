@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heirflow.sources.readers import typed
@@ -16,13 +17,19 @@ def run_folder(root: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/{run_id}"
 
 
-def write_scenarios(df: DataFrame, folder: str, kind: str = "parquet") -> None:
+def write_scenarios(
+    df: DataFrame, folder: str, kind: str = "parquet", files: int | None = None
+) -> None:
     """Write every scenario and year in one job, one subfolder per (scenario, year).
 
-    Each task writes its own part files, so the exploded rows are not shuffled.
+    Each task writes its own part files without a shuffle; with ``files``, rows are dealt out by
+    cell and id first, and a cell has at most that many files whatever the number of tasks.
     """
     columns = [f.name for f in ESTATE_TAX_DETAIL.fields]
-    writer = df.select(*_LAYOUT, *columns).write.partitionBy(*_LAYOUT).mode("errorifexists")
+    df = df.select(*_LAYOUT, *columns)
+    if files is not None:
+        df = df.repartition(*_LAYOUT, F.pmod(F.xxhash64("id"), F.lit(files)))
+    writer = df.write.partitionBy(*_LAYOUT).mode("errorifexists")
     if kind == "csv":
         writer = writer.option("header", True).option("nullValue", "NA")
     writer.format(kind).save(folder)

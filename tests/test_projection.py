@@ -71,3 +71,39 @@ def test_sink(spark, units, indexes, tmp_path, kind):
     assert one.count() == 301
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         sinks.write_scenarios(out, folder, kind)
+
+
+def test_change_by_year_is_the_difference_of_the_scenarios(units, indexes):
+    parameters = projection.scenario_years(indexes, EXEMPTIONS)
+    changes = projection.project_changes(units, parameters, "baseline", "tcja", 2.8)
+    assert changes.columns == ["id", "year", "estate_tax_change"] and changes.count() == 30 * 301
+    both = projection.project_scenarios(units, parameters, 2.8).groupBy("id", "year").pivot(
+        "scenario", ["baseline", "tcja"]
+    ).agg(F.first("estate_tax_liability"))
+    joined = changes.join(both, ["id", "year"])
+    gap = F.abs(F.col("estate_tax_change") - (F.col("baseline") - F.col("tcja")))
+    assert joined.agg(F.max(gap)).first()[0] < 1e-6
+    assert changes.where("id = 300").agg(F.count("estate_tax_change")).first()[0] == 0
+
+
+def test_year_without_an_index_is_named(spark):
+    rows = [(2026, 1.0, 1.0), (2027, None, 1.1)]
+    table = spark.createDataFrame(rows, "year int, inflation_index double, gdp_pc_index double")
+    with pytest.raises(ValueError, match="2027"):
+        projection.scenario_years(table, EXEMPTIONS)
+
+
+def test_any_scenario_name(units):
+    name = "o'b \\ x"
+    out = projection.project_scenarios(units.limit(3), [(name, 2026, 1.0, 7e6)], 2.8)
+    assert {r["scenario"] for r in out.collect()} == {name}
+
+
+def test_files_of_a_cell_are_bounded(spark, units, indexes, tmp_path):
+    parameters = projection.scenario_years(indexes.where("year < 2029"), EXEMPTIONS)
+    projected = projection.project_scenarios(units.repartition(20), parameters, 2.8)
+    folder = str(tmp_path / "few")
+    sinks.write_scenarios(projected, folder, files=2)
+    cells = list((tmp_path / "few").glob("scenario=*/year=*"))
+    assert len(cells) == 6 and all(1 <= len(list(c.glob("*.parquet"))) <= 2 for c in cells)
+    assert sinks.read_scenarios(spark, folder).count() == 6 * 301

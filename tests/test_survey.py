@@ -158,3 +158,42 @@ def test_union_fills_missing_columns(spark):
     got = union_by_name([a, b])
     assert got.columns == ["year", "x", "y"]
     assert {tuple(r) for r in got.collect()} == {(1, 2.0, None), (4, None, 3.0)}
+
+
+def test_repeated_macro_years_are_refused(spark):
+    from heirflow.operators import macro
+
+    economic = spark.createDataFrame([(y, 1.0 * y, 1.0, 100.0) for y in (2029, 2030, 2030)], "year int, gdp double, cpiu double, ccpiu_irs double")
+    people = [(y, m, 40, 10.0) for y in (2029, 2030) for m in (0, 1)]
+    demographic = spark.createDataFrame(people, "year int, married int, age int, population double")
+    with pytest.raises(ValueError, match="2030"):
+        macro.projection_indexes(economic, demographic, 2029, 2030, 2029)
+    with pytest.raises(ValueError, match="year 2029"):
+        macro.projection_indexes(economic.distinct(), demographic.union(demographic.where("year = 2029")), 2029, 2030, 2029)
+
+
+def test_lookups_match_null_keys_and_large_ones_shuffle(spark):
+    from heirflow.operators.lookup import lookup_join
+
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id long, k string")
+    right = spark.createDataFrame([("a", 1.0), (None, 2.0)], "k string, v double")
+    for most in (100, 1):
+        rows = {r["id"]: r["v"] for r in lookup_join(left, right, ["k"], most).collect()}
+        assert rows == {1: 1.0, 2: 2.0, 3: None}
+        with pytest.raises(ValueError):
+            lookup_join(left, right.union(right), ["k"], most)
+
+
+def test_published_constants():
+    """Stated here once more, so that a slip in the package can't hide behind its own twin."""
+    from heirflow.operators import ordered, projection, survey
+    from heirflow.sources import schemas
+
+    assert ordered.RANK_PROBS == [k / 100 for k in range(100)] + [0.991, 0.993, 0.995, 0.997, 0.999]
+    assert ordered.RANK_LABELS == [k / 100 for k in range(1, 100)] + [0.992, 0.994, 0.996, 0.998, 1.0]
+    assert set(survey.TIMING) == {
+        (2013, 2010, 0.1), (2013, 2013, 1.0), (2016, 2015, 0.36), (2019, 2019, 0.82), (2022, 2020, 0.28), (2022, 2022, 1.0),
+    }
+    assert projection.BASELINE == {"baseline": 7.2e6}
+    assert projection.REFORMS == {"tcja": 14.3e6, "obbba": 15e6, "tcja_ext": 14e6}
+    assert len(schemas.INCOME_ADDED) == 19 and len(schemas.INCOME_SUBTRACTED) == 8
