@@ -26,16 +26,21 @@ from heirflow.operators.lookup import lookup_join, settle
 
 MAX_BUCKETS = 10_000
 SAMPLE_PER_BUCKET = 500
+ROWS_PER_BUCKET = 200
 
 # Probabilities of the income breaks and labels of the bins between them.
 RANK_PROBS = [i / 100 for i in range(100)] + [0.991, 0.993, 0.995, 0.997, 0.999]
 RANK_LABELS = [i / 100 for i in range(1, 100)] + [0.992, 0.994, 0.996, 0.998, 1.0]
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Four buckets per shuffle partition, within bounds that keep bucket tables small."""
+def bucket_count(spark: SparkSession, wanted: int = 0, rows: int | None = None) -> int:
+    """Buckets for a table: enough for the shuffle partitions and for ``wanted`` places, none below
+    ``ROWS_PER_BUCKET`` rows on average, within bounds that keep bucket tables small."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(32, min(MAX_BUCKETS, 4 * partitions))
+    most = max(4 * partitions, wanted)
+    if rows is not None:
+        most = min(most, rows // ROWS_PER_BUCKET)
+    return max(32, min(MAX_BUCKETS, most))
 
 
 @dataclass(frozen=True)
@@ -69,7 +74,9 @@ def value_cuts(df: DataFrame, value: str, buckets: int) -> Cuts:
     the summaries that meet in one task stay small however many tasks there are.
     """
     values = df.select(F.col(value).cast("double").alias("v"))
-    rows = values.count()
+    rows, not_numbers = values.agg(F.count(F.lit(1)), F.count_if(F.isnan("v"))).first()
+    if not_numbers:
+        raise ValueError(f"{not_numbers} values of {value} are NaN")
     if rows > SAMPLE_PER_BUCKET * buckets:
         values = values.sample(SAMPLE_PER_BUCKET * buckets / rows, seed=0)
     probs = [i / buckets for i in range(1, buckets)]
@@ -159,12 +166,68 @@ def weighted_rank(
 ) -> DataFrame:
     """Cumulative weight share of each row in the order of ``value``, rounded to 1/steps.
 
-    ``out`` is the integer numerator, so a join on it never compares doubles.
+    ``out`` is the integer numerator, so a join on it never compares doubles. The rank changes at
+    no more than ``steps`` rows. Only value, weight and key of the buckets that hold such a row are
+    shuffled; those rows come back as a constant array, in which every other row finds its rank by
+    binary search, where it stands.
     """
-    running = running_weight(df, weight, key, value, buckets)
-    total = F.lit(running.total)
-    rank = F.floor((F.lit(2.0 * steps) * F.col("cum_weight") + total) / (F.lit(2.0) * total))
-    return running.rows.withColumn(out, rank.cast("int")).drop("cum_weight")
+    buckets = buckets or bucket_count(df.sparkSession, 10 * steps, df.count())
+    cuts = value_cuts(df, value, buckets)
+    narrow = df.select(
+        required(F.col(value), value).alias("_v"), required(F.col(weight).cast("double"), weight).alias("_w"),
+        *[F.col(k) for k in key], _tie(key).alias("_tie"),
+    )
+    narrow = _in_parts(narrow, "_v", cuts, buckets)
+    sums = {r["_bucket"]: r["w"] for r in narrow.groupBy("_bucket").agg(F.sum("_w").alias("w")).collect()}
+    ends = np.cumsum([sums.get(b, 0.0) for b in range(max(sums, default=0) + 1)])
+    starts, total = [0.0, *ends[:-1].tolist()], float(ends[-1])
+    if not sums:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    ranks = np.floor((2.0 * steps * ends + total) / (2.0 * total)) if total else np.zeros(len(ends))
+    changes = np.diff(ranks, prepend=0.0) > 0
+
+    within = Window.partitionBy("_bucket").orderBy("_v", "_tie", *key)
+    so_far = F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.get(doubles(starts), F.col("_bucket"))
+
+    def rank_of(cum: Column) -> Column:
+        return F.floor((F.lit(2.0 * steps) * cum + F.lit(total)) / F.lit(2.0 * total)).cast("int")
+
+    placed = (
+        narrow.where(F.get(integers(changes.tolist()), F.col("_bucket")) == 1)
+        .withColumn("_cum", start + so_far)
+        .withColumn("_before", F.coalesce(F.lag("_cum").over(within), start))
+        .withColumn("_rank", rank_of(F.col("_cum")))
+        .where(F.col("_rank") > rank_of(F.col("_before")))
+    )
+    found = sorted(
+        (tuple(r) for r in placed.select("_v", "_tie", *key, "_rank").collect()), key=lambda r: r[-1]
+    )
+    kinds = [df.schema[c].dataType.simpleString() for c in (value, *key)]
+    kinds.insert(1, "double")
+    # one array a field, each of at most ``steps`` entries, searched together
+    arrays = [_typed_array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
+    row = [F.col(value), F.col("_tie"), *[F.col(k) for k in key]]
+    df = df.withColumn("_tie", _tie(key)).withColumn("_place", F.lit(0))
+    step = 1 << max(0, len(found).bit_length() - 1)
+    while step and found:
+        at = F.col("_place") + F.lit(step - 1)
+        reached = F.lit(True)
+        for array, own in reversed(list(zip(arrays, row))):
+            entry = F.get(array, at)
+            reached = (entry < own) | ((entry == own) & reached)
+        df = df.withColumn("_place", F.col("_place") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    label = F.get(integers([0, *[r[-1] for r in found]]), F.col("_place"))
+    return df.withColumn(out, label).drop("_tie", "_place")
+
+
+def _typed_array(values: Sequence, kind: str) -> Column:
+    """Constant array of one type, parsed from text."""
+    if kind == "double":
+        return doubles(values)
+    entries = ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"cast(array({entries}) AS array<{kind}>)")
 
 
 def weighted_quantiles(
@@ -179,8 +242,9 @@ def weighted_quantiles(
 
     With n = sum of weights and position 1 + (n - 1) p, interpolates between the
     values at the floor of the position and one further. Returns ``by``,
-    ``prob_index``, ``prob``, ``quantile``. Rows outside the few buckets that
-    hold a wanted position are dropped before any row is shuffled.
+    ``prob_index``, ``prob``, ``quantile``. There are about ten buckets for each
+    probability where the table is large enough for that, so that most rows lie
+    outside the buckets with a wanted position and aren't shuffled.
     """
     by = list(by)
     df = df.select(
@@ -188,7 +252,8 @@ def weighted_quantiles(
         F.col(value).cast("double").alias("_value"),
         required(F.col(weight).cast("double"), weight).alias("_w"),
     ).where(F.col("_value").isNotNull() & (F.col("_w") > 0))
-    cuts = value_cuts(df, "_value", buckets or bucket_count(df.sparkSession))
+    buckets = buckets or bucket_count(df.sparkSession, 10 * len(probs), df.count())
+    cuts = value_cuts(df, "_value", buckets)
     bucketed = _locate(df, "_value", cuts.limits, "_bucket")
 
     ordered = Window.partitionBy(*by).orderBy("_bucket")

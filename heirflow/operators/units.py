@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from heirflow.operators.ordered import rank_bins
 from heirflow.operators.survey import cap_age
 from heirflow.sources.schemas import INCOME_ADDED, INCOME_SUBTRACTED
+from heirflow.sources.shared import materialise
+
 
 MARRIED_FILING = 2
 CHILD_AGE = 17
@@ -35,8 +37,13 @@ def unit_features(
     added: Sequence[str] = INCOME_ADDED,
     subtracted: Sequence[str] = INCOME_SUBTRACTED,
     dependants: Sequence[str] = ("dep_age1", "dep_age2", "dep_age3"),
+    store: bool = False,
 ) -> DataFrame:
-    """id, weight, age, married, has_kids, income_pctile."""
+    """id, weight, age, married, has_kids, income_pctile.
+
+    Binning reads its input several times; with ``store`` the narrow rows are stored before it, so
+    that a wide or slow source is read once.
+    """
     child = [F.col(c).isNotNull() & (F.col(c) <= CHILD_AGE) for c in dependants]
     df = unit_income(df, added, subtracted).select(
         "id",
@@ -46,5 +53,5 @@ def unit_features(
         reduce(lambda a, b: a | b, child).cast("int").alias("has_kids"),
         "income",
     )
-    df = rank_bins(df, "income", "weight", seed, floor)
+    df = rank_bins(materialise(df) if store else df, "income", "weight", seed, floor)
     return cap_age(df.drop("income"), age_cap)

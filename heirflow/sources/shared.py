@@ -29,6 +29,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later passes read the stored rows, also after losing executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Rows stored as Parquet in the shared folder: later passes read the columns they need, also after losing executors."""
+    path = fresh_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -181,3 +181,9 @@ def test_plans_stay_partitioned(spark):
         plan = result._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_values_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, float("nan"), 1.0)], "id long, v double, w double")
+    with pytest.raises(ValueError, match="NaN"):
+        weighted_rank(df, "v", "w", ["id"])
