@@ -6,9 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +32,26 @@ def fit_forest(
     trees: int = 100,
     depth: int = 30,
     min_leaf: int = 50,
-) -> RandomForestClassificationModel:
-    """Classification forest that looks at all features at each split.
-
-    128 bins are more than the distinct income ranks, so every split point is tried.
+    bins: int = 128,
+    bootstrap: bool = True,
+) -> RandomForestRegressionModel:
+    """Probability forest that looks at all features at each split.
+
+    Regression on 0 and 1 splits like Gini impurity does (their variance is half of it) and keeps
+    the share of 1s of every leaf. MLlib's classifier would merge leaves of the same majority,
+    which for a rare event leaves hardly any.
+
+    128 bins are more than the distinct income ranks, so every split point seen in the
+    rows that MLlib samples for them (about 16,000; the square of ``bins``) is tried.
+    With one tree and no ``bootstrap`` the tree is that of all rows.
     """
-    forest = RandomForestClassifier(
+    forest = RandomForestRegressor(
         labelCol=target,
         numTrees=trees,
         maxDepth=depth,
         minInstancesPerNode=min_leaf,
-        maxBins=128,
+        maxBins=bins,
+        bootstrap=bootstrap,
         featureSubsetStrategy="all",
         seed=seed,
     )
@@ -53,21 +61,20 @@ def fit_forest(
 
 def forest_probability(
     df: DataFrame,
-    model: RandomForestClassificationModel,
+    model: RandomForestRegressionModel,
     features: Sequence[str] = FEATURES,
     out: str = "p_inheritance",
 ) -> DataFrame:
     """Mean over trees of the share of 1s in the leaf a record falls into."""
     scored = model.transform(_assembled(df, features))
-    p = vector_to_array("probability")[1] if model.numClasses > 1 else F.lit(0.0)
-    return scored.withColumn(out, p).select(*df.columns, out)
+    return scored.withColumn(out, F.col(model.getPredictionCol())).select(*df.columns, out)
 
 
-def saved_forest(df: DataFrame, path: str, estimate: bool, seed: int, **options) -> RandomForestClassificationModel:
+def saved_forest(df: DataFrame, path: str, estimate: bool, seed: int, **options) -> RandomForestRegressionModel:
     """Fit and store the forest, or reuse the stored one."""
     if estimate:
         fit_forest(df, seed, **options).write().overwrite().save(path)
-    return RandomForestClassificationModel.load(path)
+    return RandomForestRegressionModel.load(path)
 
 
 def design(married: str = "married", age: str = "age", rank: str = "income_pctile") -> list[Column]:
@@ -132,7 +139,8 @@ def fit_amounts(
     """Regress log of positive values, then the log of the squared residuals.
 
     The second regression fits a sd that is biased low; ``harvey_correction``
-    shifts the log variance to make up for it.
+    shifts the log variance to make up for it. Rows whose residual is exactly 0 have no
+    logarithm and are left out of it.
     """
     rows = df.where(F.col(value) > 0)
     y = F.ln(F.col(value))

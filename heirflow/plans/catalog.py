@@ -22,7 +22,7 @@ from heirflow.operators.ordered import (
     weighted_resample,
 )
 from heirflow.operators.units import unit_features, unit_income
-from heirflow.plans import simulate
+from heirflow.plans import files, simulate
 from heirflow.plans import standins as s
 from heirflow.sources import readers, sinks
 from heirflow.sources.shared import fresh_path, materialise
@@ -31,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 UNIT_FLOOR = 100.0
 SURVEY_FLOOR = 1000.0
+TREE_DEPTH = 3
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -265,6 +266,14 @@ def scenario_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_projected(spark, sf_dir), inheritance=2, estate_tax_liability=2)
 
 
+def projection_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters = projection.scenario_years(_indexes(spark, sf_dir), s.EXEMPTIONS)
+    changes = projection.project_changes(
+        s.imputed_units(spark, sf_dir), parameters, "baseline", "reform", s.HEIRS
+    )
+    return _rounded(changes, estate_tax_change=2)
+
+
 # Models
 
 
@@ -306,7 +315,7 @@ def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, simulate.Setti
 
 def _scoring_units(spark: SparkSession, sf_dir: str, c: simulate.Settings) -> DataFrame:
     return unit_features(
-        s.units(spark, sf_dir), c.seed, c.unit_floor, c.unit_age_cap, c.added, c.subtracted
+        s.units(spark, sf_dir), c.seed, c.unit_floor, c.unit_age_cap, c.added, c.subtracted, store=True
     )
 
 
@@ -314,7 +323,7 @@ def hurdle_value_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample, c = _sample(spark, sf_dir)
     fitted = models.fit_amounts(sample)
     predicted = models.predict_amounts(_scoring_units(spark, sf_dir, c), fitted)
-    return predicted.select("id", "mu_pred", "sigma_pred")
+    return _rounded(predicted.select("id", "mu_pred", "sigma_pred"), mu_pred=6, sigma_pred=6)
 
 
 def forest_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,6 +335,27 @@ def forest_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "p_inheritance")
 
 
+def _one_tree(sample: DataFrame, c: simulate.Settings):
+    """A single tree on all rows with every split point, as SQL can spell it out."""
+    return models.fit_forest(sample, c.seed, trees=1, depth=TREE_DEPTH, min_leaf=c.min_leaf, bins=2048, bootstrap=False)
+
+
+def tree_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample, c = _sample(spark, sf_dir)
+    scored = models.forest_probability(_scoring_units(spark, sf_dir, c), _one_tree(sample, c))
+    return _rounded(scored.select("id", "p_inheritance"), p_inheritance=8)
+
+
+def tree_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of the model and the alignment between them, with the single tree."""
+    sample, c = _sample(spark, sf_dir)
+    scored = simulate.score_units(_scoring_units(spark, sf_dir, c), sample, _one_tree(sample, c), c)
+    return _rounded(
+        scored.select("id", "p_inheritance", "mu_pred", "sigma_pred", "inheritance"),
+        p_inheritance=8, mu_pred=6, sigma_pred=6, inheritance=2,
+    )
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, simulate.Settings]:
     sample, c = _sample(spark, sf_dir)
     forest = models.fit_forest(sample, c.seed, trees=c.trees, depth=c.depth)
@@ -363,6 +393,10 @@ QUERIES: dict[str, Query] = {
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "scenario_sink_roundtrip": scenario_sink_roundtrip,
     "multi_source_union": multi_source_union,
+    "macro_files_read": files.macro_files_read,
+    "survey_files_read": files.survey_files_read,
+    "net_worth_file_read": files.net_worth_file_read,
+    "tax_unit_file_read": files.tax_unit_file_read,
     "population_by_year": population_by_year,
     "demographic_long": s.demographic,
     "demographic_factor": demographic_factor,
@@ -396,9 +430,12 @@ QUERIES: dict[str, Query] = {
     "scenario_liability": scenario_liability,
     "scenario_delta": scenario_delta,
     "scenario_projection": scenario_projection,
+    "projection_delta": projection_delta,
     "ols_moments": ols_moments,
     "hurdle_value_model": hurdle_value_model,
     "forest_probability": forest_probability,
+    "tree_probability": tree_probability,
+    "tree_impute": tree_impute,
     "hurdle_impute": hurdle_impute,
     "calibrated_summary": calibrated_summary,
 }

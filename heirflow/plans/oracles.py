@@ -58,7 +58,9 @@ def _drawn(n: int) -> str:
     )
 
 
-_WAVES = ", ".join(str(w) for w in s.WAVES)
+_WAVE = "CASE " + " ".join(
+    f"WHEN year(o_orderdate) >= {w} THEN {w}" for w in reversed(s.WAVES[1:])
+) + f" ELSE {s.WAVES[0]} END"
 _FIRST, _LAST = s.YEARS
 
 _BASE = {
@@ -79,26 +81,24 @@ _BASE = {
                round(exp((10e0 + 0.01e0 * age1) + 1.2e0 * {_Z}), 2) AS inheritance
         FROM units""",
     "summary": f"""
-        SELECT CAST(year(o_orderdate) AS INTEGER) AS survey_year, o_orderkey // 5 AS yy1,
+        SELECT CAST({_WAVE} AS INTEGER) AS survey_year, o_orderkey // 5 AS yy1,
                o_orderkey AS y1, CAST(1 + o_orderkey % 9 AS DOUBLE) AS weight,
                CAST(18 + o_custkey % 63 AS INTEGER) AS age, CAST(o_orderkey % 2 AS INTEGER) AS married,
                CAST(o_custkey % 3 = 0 AS INTEGER) AS has_kids,
                round(o_totalprice - 20000e0, 2) AS income
-        FROM orders WHERE year(o_orderdate) IN ({_WAVES})""",
+        FROM orders""",
     "lines": """
-        SELECT l_orderkey AS y1, CAST(1 + l_linenumber % 3 AS INTEGER) AS type,
-               l_extendedprice AS value, CAST(year(l_shipdate) AS INTEGER) AS year,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-                   l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag,
-                   l_linestatus) AS n
-        FROM lineitem""",
+        SELECT l_orderkey AS y1, 1 + (l_linenumber - 1) % 3 AS n,
+               CAST(max(1 + l_linenumber % 3) AS INTEGER) AS type,
+               round(sum(l_extendedprice), 2) AS value, CAST(max(year(l_shipdate)) AS INTEGER) AS year
+        FROM lineitem GROUP BY ALL""",
     "surveys": """
         SELECT summary.*, d.* EXCLUDE (y1) FROM summary LEFT JOIN (
             SELECT y1, """
     + ", ".join(
         f"max({m}) FILTER (WHERE n = {n}) AS {m}_{n}" for n in (1, 2, 3) for m in ("type", "value", "year")
     )
-    + """ FROM lines WHERE n <= 3 GROUP BY y1) d ON summary.y1 = d.y1""",
+    + """ FROM lines GROUP BY y1) d ON summary.y1 = d.y1""",
     "copies": """
         SELECT surveys.* EXCLUDE (weight), weight / 5e0 AS weight, CAST(k AS INTEGER) AS dup_id
         FROM surveys, range(1, 6) AS numbers(k)""",
@@ -391,8 +391,20 @@ def _projection() -> str:
     )
 
 
-def _training_table() -> str:
-    ctes = {
+def _delta() -> str:
+    before, after = (
+        _tax("(inheritance * gdp_pc_index)", f"({_d(s.EXEMPTIONS[name])} * inflation_index)")
+        for name in ("baseline", "reform")
+    )
+    return _with(
+        f"SELECT id, year, round({before} - {after}, 2) AS estate_tax_change FROM imputed, indexes",
+        "imputed", "indexes",
+    )
+
+
+def _aged_ctes() -> dict[str, str]:
+    """Subqueries of the training table; ``trained`` is the table before rounding."""
+    return {
         "aged": """
             SELECT t.* EXCLUDE (weight, inheritance), weight * demographic_factor AS weight,
                    inheritance * asset_factor AS inheritance
@@ -400,16 +412,196 @@ def _training_table() -> str:
             LEFT JOIN asset_factor USING (survey_year)""",
         "positive": "SELECT * FROM aged WHERE income > 0",
         **_quantiles("positive", "income", "weight", _list(RANK_PROBS), "survey_year"),
-        "all_breaks": _breaks("survey_year"),
+        "survey_breaks": _breaks("survey_year"),
+        "trained": f"""
+            SELECT survey_year, yy1, y1, dup_id, weight, least(age, 80) AS age, married, has_kids,
+                   inheritance, has_inheritance, {_bins('aged', 'income', 1000.0)} AS income_pctile
+            FROM aged JOIN survey_breaks USING (survey_year)""",
     }
+
+
+def _training_table() -> str:
     return _with(
-        f"""SELECT survey_year, yy1, y1, dup_id, round(weight, 8) AS weight, least(age, 80) AS age,
-                   married, has_kids, round(inheritance, 4) AS inheritance, has_inheritance,
-                   {_bins('aged', 'income', 1000.0)} AS income_pctile
-            FROM aged JOIN all_breaks USING (survey_year)""",
+        """SELECT * REPLACE (round(weight, 8) AS weight, round(inheritance, 4) AS inheritance) FROM trained""",
         "training", "demographic_factor", "asset_factor",
+        extra=_aged_ctes(),
+    )
+
+
+_TERMS = (
+    "1e0", "CAST(married AS DOUBLE)", "{a}", "({a} * {a})", "{r}", "({r} * {r})", "{a} * {r}",
+    "({a} * {a}) * {r}", "{a} * ({r} * {r})", "({a} * {a}) * ({r} * {r})",
+)
+
+
+def _design(age: str = "age") -> list[str]:
+    a, r = f"(({age} - 50e0) / 32e0)", "((income_pctile - 0.5e0) * 2e0)"
+    return [t.format(a=a, r=r) for t in _TERMS]
+
+
+def _fit(rows: str, prefix: str) -> dict[str, str]:
+    """Least squares of ``y`` on t0..t9 of ``rows``: normal equations, solved column by column.
+
+    ``<prefix>_fit`` has one row with the list ``c`` of coefficients.
+    """
+    k = len(_TERMS)
+    names = [f"t{i}" for i in range(k)] + ["y"]
+    matrix = ", ".join(
+        "[" + ", ".join(f"sum({names[i]} * {names[j]})" for j in range(k + 1)) + "]" for i in range(k)
+    )
+    return {
+        f"{prefix}_steps": f"""
+            SELECT 0 AS k, [{matrix}] AS m FROM {rows}
+            UNION ALL
+            SELECT k + 1, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = k + 1
+                THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+                ELSE list_transform(range(1, {k + 2}), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1])
+                END)
+            FROM {prefix}_steps WHERE k < {k}""",
+        f"{prefix}_fit": f"SELECT list_transform(m, lambda row: row[{k + 1}]) AS c FROM {prefix}_steps WHERE k = {k}",
+    }
+
+
+def _predicted(fit: str) -> str:
+    return " + ".join(f"{fit}.c[{i + 1}] * t{i}" for i in range(len(_TERMS)))
+
+
+def _gini(n: str, pos: str) -> str:
+    return f"(1e0 - pow({pos} / {n}, 2) - pow(({n} - {pos}) / {n}, 2))"
+
+
+def _tree(depth: int = 3, least: int = 50) -> dict[str, str]:
+    """One classification tree on ``sampled``; ``scored_p`` has the share of 1s of each unit's leaf.
+
+    Splits lie half way between neighbouring values of all rows; of equal gains the first one in the
+    order of feature and value counts. Node k has the children 2k and 2k + 1.
+    """
+    features = ("CAST(age AS DOUBLE)", "CAST(married AS DOUBLE)", "income_pctile")
+    pick = "CASE b.f " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(features)) + " END"
+    ctes = {
+        "level0": "SELECT age, married, income_pctile, has_inheritance AS y, 1 AS node FROM sampled",
+        "walk0": "SELECT *, 1 AS node FROM features",
+        "places": "SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM ("
+        + " UNION ".join(f"SELECT {i} AS f, {f} AS v FROM level0" for i, f in enumerate(features)) + ")",
+    }
+    for d in range(depth):
+        cells = " UNION ALL ".join(
+            f"SELECT node, {i} AS f, {f} AS v, count(*) AS n, sum(y) AS pos FROM level{d} GROUP BY ALL"
+            for i, f in enumerate(features)
+        )
+        ctes[f"cells{d}"] = cells
+        ctes[f"tried{d}"] = f"""
+            SELECT c.node, p.f, p.cut, sum(c.n) FILTER (c.v <= p.v) AS nl, coalesce(sum(c.pos) FILTER (c.v <= p.v), 0) AS pl,
+                   sum(c.n) AS n, sum(c.pos) AS pos
+            FROM cells{d} c JOIN places p ON c.f = p.f WHERE p.cut IS NOT NULL GROUP BY c.node, p.f, p.v, p.cut"""
+        gain = (
+            f"{_gini('n', 'pos')} - (nl / n) * {_gini('nl', 'pl')} - ((n - nl) / n) * {_gini('(n - nl)', '(pos - pl)')}"
+        )
+        ctes[f"best{d}"] = f"""
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 14) DESC, f, cut) AS k FROM (
+                SELECT *, {gain} AS gain FROM tried{d} WHERE nl >= {least} AND n - nl >= {least}))
+            WHERE k = 1 AND gain > 1e-15"""
+        for kind in ("level", "walk"):
+            ctes[f"{kind}{d + 1}"] = f"""
+                SELECT x.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN x.node
+                       WHEN {pick} <= b.cut THEN 2 * x.node ELSE 2 * x.node + 1 END AS node
+                FROM {kind}{d} x LEFT JOIN best{d} b ON x.node = b.node"""
+    ctes["leaves"] = f"SELECT node, sum(y) / count(*) AS p FROM level{depth} GROUP BY node"
+    ctes["scored_p"] = f"SELECT w.*, p FROM walk{depth} w JOIN leaves USING (node)"
+    return ctes
+
+
+def _tree_probability() -> str:
+    sql = _with(
+        "SELECT id, round(p, 8) AS p_inheritance FROM scored_p",
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
+        extra={**_model_ctes(), **_tree()},
+    )
+    return _recursive(sql)
+
+
+def _tree_impute() -> str:
+    z = (
+        f"(sqrt(-2e0 * ln(1e0 - {_u('id', s.FIT_SEED, 'z1')})) * cos(2e0 * pi() * {_u('id', s.FIT_SEED, 'z2')}))"
+    )
+    ctes = {
+        **_model_ctes(), **_tree(),
+        "wanted": f"""
+            SELECT married, age // 5 * 5 AS age_group, sum(has_inheritance * weight) / {len(s.WAVES)}e0 AS actual
+            FROM drawn GROUP BY ALL""",
+        "masses": "SELECT married, age // 5 * 5 AS age_group, sum(weight * p) AS mass FROM scored_p GROUP BY ALL",
+        "amounts": f"""
+            SELECT scored.id, {_predicted('mu_fit')} AS mu, sqrt(exp({_predicted('sigma_fit')})) AS sigma
+            FROM scored, mu_fit, sigma_fit""",
+    }
+    sql = _with(
+        f"""SELECT x.id, round(p * coalesce(actual / mass, 1e0), 8) AS p_inheritance, round(mu, 6) AS mu_pred,
+                   round(sigma, 6) AS sigma_pred, round(exp(mu + sigma * {z.replace('id', 'x.id')}), 2) AS inheritance
+            FROM scored_p x JOIN amounts a ON x.id = a.id
+            LEFT JOIN masses m ON x.married = m.married AND x.age // 5 * 5 = m.age_group
+            LEFT JOIN wanted w ON x.married = w.married AND x.age // 5 * 5 = w.age_group""",
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
         extra=ctes,
     )
+    return _recursive(sql)
+
+
+def _recursive(sql: str) -> str:
+    """Allow the two solvers to refer to themselves."""
+    sql = sql.replace("WITH ", "WITH RECURSIVE ", 1)
+    for name in ("mu_steps", "sigma_steps"):
+        sql = sql.replace(f"{name} AS MATERIALIZED", f"{name} AS")
+    return sql
+
+
+def _model_ctes() -> dict[str, str]:
+    """Subqueries up to the drawn sample, both regressions and the units to score."""
+    key = "concat_ws(':', survey_year, yy1, y1, dup_id)"
+    terms = ", ".join(f"{t} AS t{i}" for i, t in enumerate(_design()))
+    scored = ", ".join(f"{t} AS t{i}" for i, t in enumerate(_design()))
+    features = {("unit_" + n if n == "positive" else n): q for n, q in _feature_ctes().items()}
+    features = {n: q.replace("FROM positive", "FROM unit_positive") for n, q in features.items()}
+    survey = _aged_ctes()
+    quantiles = {f"s_{n}": q for n, q in survey.items() if n.startswith("q_")}
+    survey = {n: q for n, q in survey.items() if not n.startswith("q_")}
+    for old in ("q_dist", "q_pos", "q_out"):
+        quantiles = {n: q.replace(old, f"s_{old}") for n, q in quantiles.items()}
+        survey = {n: q.replace(old, f"s_{old}") for n, q in survey.items()}
+    ctes = {
+        "aged": survey.pop("aged"), "positive": survey.pop("positive"), **quantiles, **survey,
+        "placed": f"""
+            SELECT *, cum - weight AS start FROM (
+                SELECT *, sum(weight) OVER (ORDER BY {_u(key, 0, 'tie')}, survey_year, yy1, y1, dup_id
+                                            ROWS UNBOUNDED PRECEDING) AS cum FROM trained WHERE weight > 0)""",
+        "points": f"""
+            SELECT {_u('k', s.SEED, 'resample')} * (SELECT max(cum) FROM placed) AS t
+            FROM range(0, 5 * (SELECT count(*) FROM summary)) AS numbers(k)""",
+        "sampled": "SELECT placed.* FROM points ASOF JOIN placed ON t >= start",
+        "drawn": """
+            SELECT * EXCLUDE (weight), (SELECT max(cum) FROM placed) / (SELECT count(*) FROM points) AS weight
+            FROM sampled""",
+        "rows_mu": f"SELECT {terms}, ln(inheritance) AS y FROM sampled WHERE inheritance > 0",
+        **_fit("rows_mu", "mu"),
+        "rows_sigma": f"""
+            SELECT * REPLACE (ln(e * e) AS y) FROM (
+                SELECT r.*, y - ({_predicted('mu_fit')}) AS e FROM rows_mu r, mu_fit) WHERE e <> 0""",
+        **_fit("rows_sigma", "sigma"),
+        **{n: q for n, q in features.items() if n != "features"},
+        "features": features["features"].replace("age1 AS age", "least(age1, 80) AS age"),
+        "scored": f"SELECT id, {scored} FROM features",
+    }
+    return ctes
+
+
+def _value_model() -> str:
+    sql = _with(
+        f"""SELECT id, round({_predicted('mu_fit')}, 6) AS mu_pred,
+                   round(sqrt(exp({_predicted('sigma_fit')})), 6) AS sigma_pred
+            FROM scored, mu_fit, sigma_fit""",
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
+        extra=_model_ctes(),
+    )
+    return _recursive(sql)
 
 
 def _match_ctes() -> dict[str, str]:
@@ -448,6 +640,15 @@ def all_sql() -> dict[str, str]:
             "SELECT year, gdp, CASE WHEN year >= 1999 THEN cpiu END AS cpiu, ccpiu_irs FROM economic",
             "economic",
         ),
+        "macro_files_read": _with(
+            "SELECT * FROM economic JOIN population USING (year)", "economic", "population"
+        ),
+        "survey_files_read": _with("SELECT * FROM surveys", "surveys"),
+        "net_worth_file_read": _with("SELECT * FROM quarterly", "quarterly"),
+        "tax_unit_file_read": _with(
+            "SELECT id, weight, age1, filing_status, dep_age1, dep_age2, dep_age3, income FROM incomes", "incomes"
+        ),
+        "projection_delta": _delta(),
         "population_by_year": _with("SELECT * FROM population", "population"),
         "demographic_long": _with("SELECT * FROM demographic", "demographic"),
         "demographic_factor": _with(
@@ -536,6 +737,9 @@ def all_sql() -> dict[str, str]:
                 "axis": "SELECT sum(weight) AS total, count(*) AS n FROM units",
             },
         ),
+        "hurdle_value_model": _value_model(),
+        "tree_probability": _tree_probability(),
+        "tree_impute": _tree_impute(),
         "impute_amounts": _with("SELECT id, p_inheritance, inheritance FROM imputed", "imputed"),
         "rake_targets": _with(
             "SELECT married, age_group, round(actual, 6) AS actual FROM targets", "targets"

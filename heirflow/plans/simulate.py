@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ class Settings:
     depth: int = 30
     min_leaf: int = 50
     p_cap: float | None = None
+    # units past the oldest surveyed age group have no target; they keep the chance of the forest
+    missing_target: str = "keep"
     harvey_correction: bool = False
     heirs: float = calibrate.HEIRS_PER_ESTATE
     brackets: tuple[calibrate.Bracket, ...] = calibrate.ESTATE_BRACKETS
@@ -92,13 +94,13 @@ def training_sample(table: DataFrame, s: Settings) -> DataFrame:
 def score_units(
     units: DataFrame,
     sample: DataFrame,
-    forest: RandomForestClassificationModel,
+    forest: RandomForestRegressionModel,
     s: Settings,
 ) -> DataFrame:
     """Raked chance and lognormal amount for each unit of ``unit_features``."""
     scored = materialise(models.forest_probability(units, forest))
     targets = calibrate.rake_targets(sample, len(s.waves))
-    raked = calibrate.rake(scored, targets, cap=s.p_cap)
+    raked = calibrate.rake(scored, targets, cap=s.p_cap, missing_target=s.missing_target)
     amounts = models.fit_amounts(sample, harvey_correction=s.harvey_correction)
     return models.impute_amounts(models.predict_amounts(raked, amounts), s.fit_seed)
 
@@ -154,7 +156,7 @@ def simulate(
         trees=s.trees, depth=s.depth, min_leaf=s.min_leaf,
     )
     raw = readers.read_tax_units(spark, inputs.tax_units, inputs.tax_units_kind)
-    units = unit_features(raw, s.seed, s.unit_floor, s.unit_age_cap, s.added, s.subtracted)
+    units = unit_features(raw, s.seed, s.unit_floor, s.unit_age_cap, s.added, s.subtracted, store=True)
     final = calibrate_units(score_units(units, sample, forest, s), sample, s)
 
     indexes = macro.projection_indexes(m.economic, m.demographic, *s.years, s.anchor)

@@ -6,14 +6,13 @@ powers of two, so that totals do not depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirflow.functions.draws import lognormal
 from heirflow.operators import macro, survey
 from heirflow.operators.calibrate import Bracket
 from heirflow.operators.reshape import demographic_long, duplicate
-from heirflow.sources.readers import union_by_name
 
 WAVES = (1995, 1996, 1998, 1999)
 ANCHOR = 2000
@@ -100,49 +99,39 @@ def brackets(df: DataFrame) -> list[Bracket]:
 
 
 def survey_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survey waves: orders of four years."""
+    """Survey waves: every order, in the last wave that began by its year (the first one if none did)."""
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
-    orders, waves = table(spark, sf_dir, "orders"), []
-    for wave in WAVES:
-        rows = orders.where(F.year("o_orderdate") == wave)
-        waves.append(
-            rows.select(
-                F.lit(wave).alias("survey_year"),
-                F.expr("o_orderkey div 5").alias("yy1"),
-                order.alias("y1"),
-                (1 + order % 9).cast("double").alias("weight"),
-                (18 + customer % 63).cast("int").alias("age"),
-                (order % 2).cast("int").alias("married"),
-                (customer % 3 == 0).cast("int").alias("has_kids"),
-                F.round(F.col("o_totalprice") - 20000.0, 2).alias("income"),
-            )
-        )
-    return union_by_name(waves)
+    year, wave = F.year("o_orderdate"), F.lit(WAVES[0])
+    for begun in WAVES[1:]:
+        wave = F.when(year >= begun, F.lit(begun)).otherwise(wave)
+    return table(spark, sf_dir, "orders").select(
+        wave.alias("survey_year"),
+        F.expr("o_orderkey div 5").alias("yy1"),
+        order.alias("y1"),
+        (1 + order % 9).cast("double").alias("weight"),
+        (18 + customer % 63).cast("int").alias("age"),
+        (order % 2).cast("int").alias("married"),
+        (customer % 3 == 0).cast("int").alias("has_kids"),
+        F.round(F.col("o_totalprice") - 20000.0, 2).alias("income"),
+    )
 
 
 def survey_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported transfers: the first three lines of each order, side by side."""
-    first_lines = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-    )
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("n", F.row_number().over(first_lines))
-        .where(F.col("n") <= 3)
-        .select(
-            F.col("l_orderkey").alias("y1"),
-            "n",
-            (1 + F.col("l_linenumber") % 3).cast("int").alias("type"),
-            F.col("l_extendedprice").alias("value"),
-            F.year("l_shipdate").alias("year"),
-        )
-    )
-    return lines.groupBy("y1").agg(
+    """Reported transfers: all lines of each order in three slots, by their number.
+
+    A slot holds the total of its lines and the year of the latest one; lines of one slot have one type.
+    """
+    number = F.col("l_linenumber")
+    measures = {
+        "type": lambda own: F.max(F.when(own, 1 + number % 3)).cast("int"),
+        "value": lambda own: F.round(F.sum(F.when(own, F.col("l_extendedprice"))), 2),
+        "year": lambda own: F.max(F.when(own, F.year("l_shipdate"))),
+    }
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("y1")).agg(
         *[
-            F.max(F.when(F.col("n") == n, F.col(measure))).alias(f"{measure}_{n}")
+            build((number - 1) % 3 == n - 1).alias(f"{measure}_{n}")
             for n in (1, 2, 3)
-            for measure in ("type", "value", "year")
+            for measure, build in measures.items()
         ]
     )
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from heirflow.plans import catalog
 from tools.check_oracles import KINDS, TABLES, compare
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -27,8 +28,8 @@ def test_entry(spark):
 
 def test_every_twin_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
-        "hurdle_value_model", "forest_probability", "hurdle_impute", "calibrated_summary",
+    assert set(catalog.QUERIES) - set(contract.oracle_sql()) == {
+        "forest_probability", "hurdle_impute", "calibrated_summary",
     }
 
 

@@ -129,5 +129,22 @@ def test_repeated_macro_year_is_refused(spark, files, tmp_path):
     from dataclasses import replace
 
     twice = replace(files, macro_files=("projections.csv", "historical.csv", "historical.csv"))
-    with pytest.raises(ValueError, match="rows for one value of"):
+    with pytest.raises(ValueError, match="rows for"):
         simulate(spark, twice, str(tmp_path), "run", Settings(sample=100))
+
+
+def test_default_ages(spark, files, tmp_path):
+    """Units older than the oldest surveyed ones keep the forest's chance and reach the output."""
+    from dataclasses import replace
+
+    raw = spark.read.option("header", True).csv(files.tax_units)
+    older = str(tmp_path / "older")
+    raw.withColumn("age1", (F.lit(70) + F.col("id") % 23).cast("string")).write.option("header", True).csv(older)
+    settings = Settings(
+        sample=5_000, trees=3, depth=4, years=(2026, 2027),
+        brackets=(Bracket(5e5, 1e6, 300, 7e5), Bracket(1e6, None, 200, 4e6)),
+    )
+    assert settings.unit_age_cap is None
+    final = simulate(spark, replace(files, tax_units=older), str(tmp_path / "out"), "run", settings)
+    assert final.where("age = 92").count() > 0
+    assert final.where("p_inheritance IS NULL OR inheritance IS NULL").count() == 0
