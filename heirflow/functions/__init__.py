@@ -2,12 +2,11 @@
 
 from heirflow.functions.arrays import count_below
 from heirflow.functions.draws import lognormal, normal, pareto, uniform
-from heirflow.functions.nulls import greatest_or_null, if_else, least_or_null, required
+from heirflow.functions.nulls import greatest_or_null, least_or_null, required
 
 __all__ = [
     "count_below",
     "greatest_or_null",
-    "if_else",
     "least_or_null",
     "lognormal",
     "normal",

@@ -26,11 +26,6 @@ def least_or_null(*columns: Column) -> Column:
     return F.when(_all_present(columns), F.least(*columns))
 
 
-def if_else(condition: Column, yes: Column, no: Column) -> Column:
-    """Two-way choice that is null where the condition is null."""
-    return F.when(condition, yes).when(~condition, no)
-
-
 def required(column: Column, name: str) -> Column:
     """The column itself, failing the job at the first null instead of ignoring it."""
     return F.coalesce(column, F.raise_error(F.lit(f"null in required column {name}")))

@@ -29,8 +29,6 @@ TRANSFER_COLUMNS = {
     3: ("x5813", "x5814", "x5815"),
 }
 
-ECONOMIC = _schema(year=_INT, gdp=_DOUBLE, cpiu=_DOUBLE, ccpiu_irs=_DOUBLE)
-
 NET_WORTH = T.StructType(
     [T.StructField("date", _STRING), T.StructField("FL152090005.Q", _STRING)]
 )
