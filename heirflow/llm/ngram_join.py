@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heirflow.llm.bytescan import mix, shingle_sets, steps
@@ -42,6 +42,10 @@ MIN_ELEMENTS = 4
 #: Bits of a set's identity that travel with its signatures; the whole identity is joined to them later.
 REF_BITS = 40
 SETS_SCHEMA = "doc_id long, h long, len int, n int, f long, c binary, sketch array<long>"
+#: Rows of one signature that are held to judge them together.
+MAX_HELD = 200_000
+#: Pairs of texts that are compared at once.
+PROOF_ROWS = 256
 #: Sets whose signatures a task has sent are sent once; so many are remembered.
 MAX_REMEMBERED = 200_000
 
@@ -174,37 +178,46 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``sig, f`` of the signatures that two different sets have."""
+    """``sig, f`` of the signatures that two different sets have, one of them of the larger band."""
     rows = signature_rows(docs, size, percent).repartition("sig").sortWithinPartitions("sig", "f")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted; a row stays if a neighbour has its signature and another set."""
-        held_sig, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        told = np.zeros(0, bool)
-
-        def out(sig: np.ndarray, f: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(sig[keep]), pa.array(f[keep])], ["sig", "f"])
+        """Rows arrive sorted. The last signature of a batch is held until it is whole; one of more than
+        ``MAX_HELD`` rows is passed on as it comes."""
+        sig, f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flowing = None
+
+        def out(sig: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(sig), pa.array(f)], ["sig", "f"])
+
+        def judged(sig: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            if len(sig):
+                fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (f[1:] != f[:-1])])
+                sig, f = sig[fresh], f[fresh]
+                heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                counts = np.diff(np.append(heads, len(sig)))
+                good = np.repeat((counts > 1) & (np.maximum.reduceat(f & 1, heads) == 1), counts)
+                sig, f = sig[good], f[good]
+            return out(sig, f)
 
         for batch in batches:
-            sig = np.concatenate([held_sig, batch["sig"].to_numpy()])
-            f = np.concatenate([held_f, batch["f"].to_numpy()])
-            known = np.concatenate([told, np.zeros(batch.num_rows, bool)])
+            sig = np.concatenate([sig, batch["sig"].to_numpy()])
+            f = np.concatenate([f, batch["f"].to_numpy()])
+            if flowing is not None:
+                cut = int(np.searchsorted(sig, flowing, "right"))
+                yield out(sig[:cut], f[:cut])
+                sig, f = sig[cut:], f[cut:]
             if not len(sig):
                 continue
-            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (f[1:] != f[:-1])])
-            other = (sig[1:] == sig[:-1]) & (f[1:] != f[:-1])
-            starts = np.flatnonzero(fresh)
-            group = np.cumsum(fresh) - 1
-            any_kept = np.zeros(len(starts), bool)
-            np.logical_or.at(any_kept, group[1:], other)
-            np.logical_or.at(any_kept, group[:-1], other)
-            np.logical_or.at(any_kept, group, known)
-            done = starts[:-1]
-            yield out(sig, f, done[any_kept[:-1]])
-            # the last group may go on in the next batch
-            held_sig, held_f, told = sig[starts[-1]:starts[-1] + 1], f[starts[-1]:starts[-1] + 1], any_kept[-1:]
-        if len(held_sig):
-            yield out(held_sig, held_f, np.flatnonzero(told))
+            flowing = None
+            cut = int(np.searchsorted(sig, sig[-1]))
+            yield judged(sig[:cut], f[:cut])
+            sig, f = sig[cut:], f[cut:]
+            if len(sig) > MAX_HELD:
+                flowing = int(sig[0])
+                yield out(sig, f)
+                sig, f = sig[:0], f[:0]
+        yield judged(sig, f)
 
     return rows.mapInArrow(several, "sig long, f long")
 
@@ -232,13 +245,15 @@ def _proven(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {}
-            for side in ("text_a", "text_b"):
-                sets[side] = [s for data, offsets, _ in steps(batch[side]) for s in shingle_sets(data, offsets, size)]
             keep = []
-            for x, y in zip(sets["text_a"], sets["text_b"]):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for at in range(0, batch.num_rows, PROOF_ROWS):
+                left, right = (
+                    [s for data, offsets, _ in steps(batch[side].slice(at, PROOF_ROWS)) for s in shingle_sets(data, offsets, size)]
+                    for side in ("text_a", "text_b")
+                )
+                for x, y in zip(left, right):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -255,30 +270,30 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     )
     shared = shared.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"))
     classes = stored(classes.join(shared.select("f").distinct(), "f", "left_semi"), "jaccard-classes")
-    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    weight = shared.join(sizes, "sig").groupBy("f").agg(F.sum("m").alias("weight"))
-    known = classes.select("f", "c", "n").join(weight, "f")
-    members = stored(shared.join(known, "f").select("sig", "upper", "c", "n", "weight"), "jaccard-members")
-    sketched = classes.select("c", F.struct("c", "n", "sketch").alias("x"))
-    leader = members.groupBy("sig").agg(F.max(F.struct("weight", "c")).alias("top")).select("sig", F.col("top.c").alias("y"))
+    by_sig = Window.partitionBy("sig")
+    sized = shared.select("f", F.count(F.lit(1)).over(by_sig).alias("m"))
+    weight = sized.groupBy("f").agg(F.sum("m").alias("weight"))
+    leader = F.max(F.struct("weight", "f")).over(by_sig)["f"]
+    members = shared.join(weight, "f").select("sig", "f", "upper", leader.alias("y"))
+    members = stored(members, "jaccard-members")
+    # the few sets whose f is not theirs alone are all compared
+    sketched = classes.select("f", F.struct("c", "n", "sketch").alias("x"))
     tried = (
-        members.join(leader, "sig").where(F.col("c") != F.col("y"))
-        .select(F.least("c", "y").alias("a"), F.greatest("c", "y").alias("b")).distinct()
-        .join(sketched.withColumnsRenamed({"c": "a"}), "a").join(sketched.withColumnsRenamed({"c": "b", "x": "y"}), "b")
-        .where(_close("x", "y", percent)).select("a", "b")
+        members.where("f <> y").select(F.least("f", "y").alias("a"), F.greatest("f", "y").alias("b")).distinct()
+        .join(sketched.withColumnsRenamed({"f": "a"}), "a").join(sketched.withColumnsRenamed({"f": "b", "x": "y"}), "b")
+        .where(_close("x", "y", percent)).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
     tried = stored(tried, "jaccard-stars")
 
     texts = _texts(docs, classes)
     links = stored(_proven(tried, texts, size, percent), "jaccard-links")
     labels = components(links)
-    left = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select(
-        "sig", "upper", "c", F.coalesce("label", "c").alias("label")
-    )
-    mixed = left.groupBy("sig").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("upper").alias("any")
-    ).where("lo <> hi AND any").select("sig")
-    open_ = stored(left.join(mixed, "sig", "left_semi").join(sketched, "c").drop("c"), "jaccard-open")
+    named = classes.select("f", "c").join(labels.withColumnRenamed("node", "c"), "c", "left")
+    label = F.when(F.count(F.lit(1)) == 1, F.min(F.coalesce("label", "c"))).otherwise(F.col("f").cast("string").cast("binary"))
+    left = members.select("sig", "f", "upper").join(named.groupBy("f").agg(label.alias("label")), "f")
+    differ = F.min("label").over(by_sig) != F.max("label").over(by_sig)
+    open_ = left.withColumn("open", differ & F.max("upper").over(by_sig)).where("open").drop("open")
+    open_ = stored(open_.join(sketched, "f").drop("f"), "jaccard-open")
     other = open_.select(
         F.col("sig").alias("sig_y"), F.col("upper").alias("upper_y"), F.col("x").alias("y"), F.col("label").alias("label_y")
     )
