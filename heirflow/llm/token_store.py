@@ -39,7 +39,7 @@ END_ID = 2
 SEGMENT_IDS = 1 << 20
 HINT_EVERY = 256
 #: Most words that a worker keeps with their ids (about 200 bytes each).
-MAX_WORDS = 1_600_000
+MAX_WORDS = 1_200_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: Marks that are encoded apart from the word they end.
@@ -134,7 +134,7 @@ class WordEncoder:
 
     def _learn(self, fresh: set[str]) -> None:
         """Ids of unknown words; those with blanks of their own are encoded alone."""
-        again = fresh.intersection(self.older)
+        again = self.older.keys() & fresh
         self.words.update(zip(again, map(self.older.__getitem__, again)))
         fresh -= again
         odd = {w for w in fresh if not w or len(w.strip()) < len(w)}
