@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step looks at (one text at least).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heirflow.llm.tables import packed, unpacked
+from heirflow.llm.tables import packed, stored, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lowered.
@@ -146,8 +146,13 @@ def leak_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Data
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of the rows without a hit."""
-    return _with_hits(docs, bench, window).where(F.size("spans") == 0).select(*unpacked(docs, []))
+    """All columns of the rows without a hit.
+
+    The keys of texts with a hit are stored, so that Spark knows their size and shuffles the texts
+    only if the keys are too many to broadcast.
+    """
+    keyed, found, same = _keyed_hits(docs, bench, window)
+    return keyed.join(found.drop("spans"), same, "left_anti").select(*unpacked(docs, []))
 
 
 def cut_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -167,14 +172,20 @@ def cut_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) ->
     return cut.select(*[new.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def _with_hits(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """``row, spans``; only texts with a hit are looked up, joined by id, hash and length of the text."""
+def _keyed_hits(docs: DataFrame, bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows with their key, stored spans of the texts with a hit, and the condition that joins them."""
     found = hits(docs, bench, window).where(F.size("spans") > 0).select(
         F.col("doc_id").alias("d"), F.col("h").alias("k"), F.col("n").alias("m"), "spans"
     )
+    found = stored(found, "leaks")
     keyed = docs.select(
         packed(docs), F.col("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("n")
     )
-    same = keyed.doc_id.eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")) & (F.col("n") == F.col("m"))
+    return keyed, found, keyed.doc_id.eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")) & (F.col("n") == F.col("m"))
+
+
+def _with_hits(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """``row, spans`` of every row; only texts with a hit are looked up."""
+    keyed, found, same = _keyed_hits(docs, bench, window)
     none = F.array().cast("array<struct<at: int, size: int>>")
     return keyed.join(found, same, "left").select("row", F.coalesce("spans", none).alias("spans"))
