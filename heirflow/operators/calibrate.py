@@ -9,7 +9,6 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from heirflow.functions.arrays import count_below, doubles
 from heirflow.functions.draws import pareto
@@ -17,6 +16,7 @@ from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join, settled
 from heirflow.operators.ordered import weighted_quantiles, weighted_rank
 from heirflow.operators.projection import liability
+from heirflow.sources.shared import materialise
 
 HEIRS_PER_ESTATE = 2.8
 QUANTILE_STEPS = 1000
@@ -239,7 +239,7 @@ def calibrate_brackets(
     plan over the stored input and never shuffles it.
     """
     shrunk = F.when(F.col(value) * F.lit(heirs) > F.lit(shrink_above), F.lit(shrink)).otherwise(1.0)
-    df = df.withColumn(p, required(F.col(p), p) * shrunk).persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialise(df.withColumn(p, required(F.col(p), p) * shrunk))
     for number, b in enumerate(per_heir(brackets, heirs), start=1):
         inside = _inside(F.col(value), b)
 

@@ -17,12 +17,12 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from heirflow.functions.arrays import count_below, doubles, integers
 from heirflow.functions.draws import uniform
 from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join, settle
+from heirflow.sources.shared import materialise
 
 MAX_BUCKETS = 10_000
 SAMPLE_PER_BUCKET = 500
@@ -284,7 +284,7 @@ def weighted_quantiles(
     here = F.filter(wanted, lambda m: (m["at"] > F.col("_start")) & (m["at"] <= F.col("_end")))
     marks = limits.select(*by, "_bucket", "_start", "_most", F.explode(here).alias("_mark"))
     small = settle(marks)
-    marks = marks.persist(StorageLevel.MEMORY_AND_DISK) if small is None else small
+    marks = materialise(marks) if small is None else small
     needed = marks.select(*by, "_bucket", "_start").distinct()
     needed = needed if small is None else F.broadcast(needed)
     place = [*by, "_bucket"]

@@ -15,7 +15,7 @@ from heirflow.operators.reshape import demographic_long, duplicate
 from heirflow.operators.units import unit_features
 from heirflow.sources import readers, sinks
 from heirflow.sources.schemas import INCOME_ADDED, INCOME_SUBTRACTED
-from heirflow.sources.shared import fresh_path, materialise
+from heirflow.sources.shared import fresh_path, materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -112,9 +112,7 @@ def calibrate_units(scored: DataFrame, sample: DataFrame, s: Settings) -> DataFr
         sample.withColumn("one", F.lit(1.0)), scored, "one", "expected"
     )
     matched = calibrate.match_quantiles(scored.drop("expected"), factors)
-    return calibrate.calibrate_brackets(
-        materialise(matched), s.fit_seed, s.brackets, s.heirs
-    )
+    return calibrate.calibrate_brackets(matched, s.fit_seed, s.brackets, s.heirs)
 
 
 @dataclass(frozen=True)
@@ -141,9 +139,28 @@ def simulate(
 ) -> DataFrame:
     """Run everything, write scenario files under ``output_root/run_id``, return the final units.
 
+    The units are stored under ``output_root/run_id-units``; all other steps are deleted at the end.
     With ``estimate`` off the forest stored at ``forest_path`` is reused.
     """
-    s = settings
+    units_path = sinks.run_folder(output_root, f"{run_id}-units")
+    with scratch(spark):
+        final, indexes = _final_units(spark, inputs, settings, estimate, forest_path, units_path)
+        projected = projection.project_scenarios(
+            final, projection.scenario_years(indexes, settings.exemptions), settings.heirs
+        )
+        sinks.write_scenarios(projected, sinks.run_folder(output_root, run_id), kind)
+    return final
+
+
+def _final_units(
+    spark: SparkSession,
+    inputs: Inputs,
+    s: Settings,
+    estimate: bool,
+    forest_path: str | None,
+    units_path: str,
+) -> tuple[DataFrame, DataFrame]:
+    """(units stored at ``units_path``, indexes by year)."""
     m = macro_tables(
         readers.read_macro(spark, inputs.macro_root, inputs.macro_files),
         readers.read_net_worth(spark, inputs.net_worth),
@@ -158,10 +175,6 @@ def simulate(
     raw = readers.read_tax_units(spark, inputs.tax_units, inputs.tax_units_kind)
     units = unit_features(raw, s.seed, s.unit_floor, s.unit_age_cap, s.added, s.subtracted, store=True)
     final = calibrate_units(score_units(units, sample, forest, s), sample, s)
-
-    indexes = macro.projection_indexes(m.economic, m.demographic, *s.years, s.anchor)
-    projected = projection.project_scenarios(
-        final, projection.scenario_years(indexes, s.exemptions), s.heirs
-    )
-    sinks.write_scenarios(projected, sinks.run_folder(output_root, run_id), kind)
-    return final
+    final.write.parquet(units_path)
+    final = spark.read.schema(final.schema).parquet(units_path)
+    return final, macro.projection_indexes(m.economic, m.demographic, *s.years, s.anchor)

@@ -116,10 +116,19 @@ def test_run(spark, files, tmp_path):
     }
     assert tax["baseline"] > tax["obbba"] > 0
 
+    # Of the steps in between nothing is left.
+    from pathlib import Path
+
+    from heirflow.sources.shared import shared_folder
+
+    kept = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in kept.iterdir() if p.is_dir()}
+
     # A second run reuses the stored forest and gives the same result.
     again = simulate(
         spark, files, str(tmp_path / "out"), "run2", settings, estimate=False, forest_path=forest
     )
+    assert {p.name for p in kept.iterdir() if p.is_dir()} == before
     other = again.orderBy("id").select("id", "p_inheritance", "inheritance").collect()
     assert [r["inheritance"] for r in other] == pytest.approx([r["inheritance"] for r in rows])
     assert [r["p_inheritance"] for r in other] == pytest.approx([r["p_inheritance"] for r in rows])
