@@ -70,15 +70,11 @@ def cut_points(chunks: list[tuple[int, list[int], list[int]]]) -> list[int]:
     return cuts
 
 
-def _digests(ids: list[list[int]], coder: tiktoken.Encoding) -> list[tuple[int, str, str]]:
-    return [
-        (
-            len(x),
-            hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(),
-            hashlib.sha256(coder.decode_bytes(x)).hexdigest(),
-        )
-        for x in ids
-    ]
+def _digest(text: str | None, coder: tiktoken.Encoding) -> tuple[int, str, str]:
+    """One text at a time, as ids in Python take many times the bytes of the text."""
+    ids = coder.encode_ordinary(text or "")
+    packed = np.array(ids, "<u4").tobytes()
+    return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode_bytes(ids)).hexdigest()
 
 
 def encode_column(text: Column, ranks: str) -> Column:
@@ -153,7 +149,7 @@ def bpe_report(docs: DataFrame, ranks: str, chunk: int = CHUNK_BYTES, overlap: i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(ranks)
         for batch in batches:
-            found = _digests([coder.encode_ordinary(t or "") for t in batch["text"].to_pylist()], coder)
+            found = [_digest(t.as_py(), coder) for t in batch["text"]]
             n, ids, decoded = zip(*found) if found else ((), (), ())
             yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names)
 
@@ -162,9 +158,11 @@ def bpe_report(docs: DataFrame, ranks: str, chunk: int = CHUNK_BYTES, overlap: i
     def by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(ranks)
         for batch in batches:
-            ids = [coder.encode_ordinary(b.decode()) for b in batch["body"].to_pylist()]
-            packed = [np.array(x, "<u4").tobytes() for x in ids]
-            decoded = [coder.decode_bytes(x) for x in ids]
+            packed, decoded = [], []
+            for body in batch["body"]:
+                ids = coder.encode_ordinary(body.as_py().decode())
+                packed.append(np.array(ids, "<u4").tobytes())
+                decoded.append(coder.decode_bytes(ids))
             columns = [batch["doc_id"], batch["key"], batch["piece"], pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
             yield pa.record_batch(columns, ["doc_id", "key", "piece", "ids", "bytes"])
 

@@ -42,7 +42,7 @@ MIN_ELEMENTS = 4
 #: Bits of a set's identity that travel with its signatures; the whole identity is joined to them later.
 REF_BITS = 40
 SETS_SCHEMA = "doc_id long, h long, len int, n int, f long, c binary, sketch array<long>"
-#: Rows of one signature that are held to judge them together.
+#: Rows of one signature that are held to judge them together; a larger one weighs as much as this.
 MAX_HELD = 200_000
 #: Pairs of texts that are compared at once.
 PROOF_ROWS = 256
@@ -178,7 +178,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``sig, f`` of the signatures that two different sets have, one of them of the larger band."""
+    """``sig, f, m`` of the signatures that ``m`` different sets have, one of them of the larger band."""
     rows = signature_rows(docs, size, percent).repartition("sig").sortWithinPartitions("sig", "f")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,18 +187,20 @@ def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
         sig, f = np.zeros(0, np.int64), np.zeros(0, np.int64)
         flowing = None
 
-        def out(sig: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(sig), pa.array(f)], ["sig", "f"])
+        def out(sig: np.ndarray, f: np.ndarray, m: np.ndarray | None = None) -> pa.RecordBatch:
+            m = np.full(len(sig), MAX_HELD) if m is None else m
+            return pa.record_batch([pa.array(sig), pa.array(f), pa.array(m.astype(np.int32))], ["sig", "f", "m"])
 
         def judged(sig: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            m = np.zeros(len(sig))
             if len(sig):
                 fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (f[1:] != f[:-1])])
                 sig, f = sig[fresh], f[fresh]
                 heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                 counts = np.diff(np.append(heads, len(sig)))
                 good = np.repeat((counts > 1) & (np.maximum.reduceat(f & 1, heads) == 1), counts)
-                sig, f = sig[good], f[good]
-            return out(sig, f)
+                sig, f, m = sig[good], f[good], np.repeat(counts, counts)[good]
+            return out(sig, f, m)
 
         for batch in batches:
             sig = np.concatenate([sig, batch["sig"].to_numpy()])
@@ -219,7 +221,7 @@ def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sig, f = sig[:0], f[:0]
         yield judged(sig, f)
 
-    return rows.mapInArrow(several, "sig long, f long")
+    return rows.mapInArrow(several, "sig long, f long, m int")
 
 
 def _close(a: str, b: str, percent: int):
@@ -268,11 +270,10 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     classes = sets.where("n > 0").groupBy("f", "c").agg(
         F.min(F.struct("doc_id", "h", "len")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    shared = shared.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"))
+    shared = shared.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"), "m")
     classes = stored(classes.join(shared.select("f").distinct(), "f", "left_semi"), "jaccard-classes")
     by_sig = Window.partitionBy("sig")
-    sized = shared.select("f", F.count(F.lit(1)).over(by_sig).alias("m"))
-    weight = sized.groupBy("f").agg(F.sum("m").alias("weight"))
+    weight = shared.groupBy("f").agg(F.sum("m").alias("weight"))
     leader = F.max(F.struct("weight", "f")).over(by_sig)["f"]
     members = shared.join(weight, "f").select("sig", "f", "upper", leader.alias("y"))
     members = stored(members, "jaccard-members")
