@@ -7,10 +7,15 @@ of a value are judged by information theory over the whole corpus:
     disclosure(term, value) = PMI(term; value) / -log2 p(value) = 1 + log2 p(value | term) / -log2 p(value)
 
 with p(value) the share of documents that hold the value, and p(value | term) the share of the
-documents with the term in which it stands near the value. A term at ``THRESHOLD`` or more, seen near
-the value in ``MIN_CONTEXTS`` different contexts (copies of a text are one context), is a span of
-kind ``term`` wherever it stands near that value; masking generalises it to a placeholder. Terms only
-add spans, base spans stay.
+documents with the term in which it stands near the value. A term at ``THRESHOLD`` or more whose company
+is proven is a span of kind ``term`` wherever it stands near that value; masking generalises it to a
+placeholder. Terms only add spans, base spans stay.
+
+Company is proven by ``MIN_CONTEXTS`` different contexts (copies of a text are one context), or by fewer
+that chance does not explain: if each of the ``df`` documents with the term held the value with p(value), k
+or more of them would do so with a probability of at most exp(-df KL(k / df || p(value))) (Chernoff), and this
+bound times the number of pairs must not exceed ``CHANCE``. It is least where df = k, so pairs that fail
+even there are left out before terms are counted, and none of them is lost.
 
 The text is read once for spans and contexts; those narrow rows are stored, counted and joined by
 Spark. A second pass counts documents for the candidate terms alone: up to ``MAX_TERMS`` of them are
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,6 +52,7 @@ TERM = re.compile(r"[^\W\d_]+")
 CONTEXT_WORDS = 8
 MIN_LETTERS = 3
 MIN_CONTEXTS = 3
+CHANCE = 0.05
 THRESHOLD = 0.75
 MAX_TERMS = 200_000
 
@@ -93,20 +100,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Terms around each span: value, term, hash of the whole context, place."""
     out = []
-    reach = 40 * CONTEXT_WORDS
+    found = [(m.start(), m.end()) for m in TERM.finditer(text)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
     for start, kind, stop in spans:
         value = f"{KINDS[kind]}:{text[start:stop].lower()}"
-        words = []
-        for left, right, tail in ((max(0, start - reach), start, True), (stop, min(len(text), stop + reach), False)):
-            side = list(TERM.finditer(text, left, right))
-            if tail:
-                # a word cut by the edge of the reach is no word
-                side = side[1:] if side and side[0].start() == left > 0 else side
-                side = side[-CONTEXT_WORDS:]
-            else:
-                side = side[:-1] if side and side[-1].end() == right < len(text) else side
-                side = side[:CONTEXT_WORDS]
-            words += [(m[0].lower(), m.start(), m.end()) for m in side]
+        before, after = bisect_left(starts, start), bisect_right(ends, stop)
+        # a word that reaches into the span ends or begins at its edge
+        places = [(a, min(b, start)) for a, b in found[max(0, before - CONTEXT_WORDS) : before]]
+        places += [(max(a, stop), b) for a, b in found[after : after + CONTEXT_WORDS]]
+        words = [(text[a:b].lower(), a, b) for a, b in places]
         context = int.from_bytes(_hash8(" ".join(w for w, _, _ in words)), "little", signed=True)
         for word, a, b in words:
             if len(word) >= MIN_LETTERS and not any(s < b and a < e for s, _, e in spans):
@@ -164,22 +166,25 @@ def document_frequency(docs: DataFrame, terms: DataFrame, max_terms: int = MAX_T
 def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, max_terms: int = MAX_TERMS) -> DataFrame:
     """``value, term, disclosure`` of the pairs at or over the threshold."""
     near = found.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.value", "x.term", "x.context")
-    contexts = (
-        near.select("value", "term", "context").distinct().groupBy("value", "term").count()
-        .where(F.col("count") >= MIN_CONTEXTS).select("value", "term")
-    )
-    pairs = stored(contexts, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.withColumn("disclosure", F.lit(0.0))
     rows = found.count()
-    frequency = document_frequency(docs, pairs.select("term").distinct(), max_terms)
-    together = near.join(pairs, ["value", "term"], "left_semi").distinct().select("value", "term", "doc_id", "h").distinct()
-    together = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both"))
+    seen = near.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    together = near.select("value", "term", "doc_id", "h").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("both"))
     holders = near.select("value", "doc_id", "h").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("holders"))
-    information = -F.log2(F.col("holders") / F.lit(rows))
+    tested = seen.count()
+    share = F.col("holders") / F.lit(rows)
+    counted = seen.join(together, ["value", "term"]).join(holders, "value").withColumn("k", F.least("contexts", "both"))
+    often, chance = F.col("contexts") >= MIN_CONTEXTS, F.log(F.lit(CHANCE / max(tested, 1)))
+    pairs = stored(counted.where(often | (F.col("k") * F.log(share) <= chance)), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
+    frequency = document_frequency(docs, pairs.select("term").distinct(), max_terms)
+    information = -F.log2(share)
     given_term = F.log2(F.least(F.col("both") / F.col("df"), F.lit(1.0)))
+    k, df = F.col("k"), F.greatest("df", "k")
+    rest = F.when(df > k, (df - k) * F.log((df - k) / (df * (1 - share)))).otherwise(0.0)
+    unlikely = (k > df * share) & (-(k * F.log(k / (df * share)) + rest) <= chance)
     return (
-        together.join(holders, "value").join(frequency, "term")
+        pairs.join(frequency, "term").where(often | unlikely)
         .where(information > 0).withColumn("disclosure", 1 + given_term / information)
         .where(F.col("disclosure") >= threshold).select("value", "term", "disclosure")
     )

@@ -52,6 +52,25 @@ def test_terms_that_give_a_value_away(told, most):
     assert all(s["kind"] != 4 for i in (*range(100, 110), *range(500, 509)) for s in found[i]["spans"])
 
 
+def test_two_contexts_count_beyond_chance(spark):
+    """A name beside an address in two texts and nowhere else is proven by a large table; common words are not."""
+    rows = [(1, "stone zorblatt wrote from q.x@mail.org the river"), (2, "cloud zorblatt asked about q.x@mail.org the window")]
+    rows += [(10 + i, f"the garden {i} wrote paper and asked about silver from home") for i in range(2_000)]
+    table = spark.createDataFrame(rows + [(5_000, "zorblatt zorblatt")], "doc_id long, text string").repartition(4)
+    pairs = {(r.value, r.term) for r in pii.disclosing(table, pii.scan(table)).collect()}
+    assert ("email:q.x@mail.org", "zorblatt") in pairs and ("email:q.x@mail.org", "the") not in pairs
+    few = table.where("doc_id < 30")
+    assert pii.disclosing(few, pii.scan(few)).count() == 0
+
+
+def test_words_far_away_are_near_terms():
+    text = "zorblatt " + "1 " * 400 + "a@b.c " + "2 " * 400 + "y" * 500 + " end"
+    near = pii.near_terms(text, pii.base_spans(text))
+    assert [(x["term"], text[x["start"] : x["stop"]]) for x in near] == [(w, w) for w in ("zorblatt", "y" * 500, "end")]
+    cut = "éüö" + "ab@x.de" + "ßßß"
+    assert [x["term"] for x in pii.near_terms(cut, pii.base_spans(cut))] == ["éüö", "ßßß"]
+
+
 def test_masked_text(told, docs, clashing, no_docs):
     by_id = {r.doc_id: r.text for r in pii.mask(told).collect()}
     assert "[EMAIL]" in by_id[0] and "[TERM]" in by_id[0] and "zorblatt" not in by_id[0]
