@@ -4,8 +4,12 @@ Each pass draws fresh random hyperplanes, orders the vectors lexicographically b
 sign bits and compares every vector with the next ``window`` in that order; a cosine of ``threshold``
 or more, in double precision, is a link. The union of the passes gives components.
 
-A window bounds what a pass compares, so a dense group can hold links that no pass has seen. They are
-counted exactly: each component is compared within itself. Members within half the threshold's angle
+A window bounds what a pass compares, so a large or dense table holds links that no pass has seen. All
+blocks of ``BLOCK`` vectors are therefore multiplied with each other once, and components that a link joins
+become one: the passes only save rows, no link is missed. Only joins of components leave a task, a
+spanning tree for each pair of blocks. This takes time with the square of the number of vectors.
+
+Links are counted within components: each component is compared within itself. Members within half the threshold's angle
 of the component's mean direction all link with each other and are counted, not compared; the others
 are compared in blocks with every member, and only counts leave a task.
 
@@ -34,6 +38,8 @@ WINDOW = 16
 CODE_BITS = 62
 #: Vectors that one task compares at once.
 BLOCK = 512
+#: Vectors in a packed block, and blocks in a partition, of the comparison of all with all.
+PACK, PACKS = 1024, 8
 NO_ID = (1 << 63) - 1
 
 
@@ -138,6 +144,90 @@ def window_links(scaled: DataFrame, threshold: float, passes: int, window: int,
     return filled.groupBy("block").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs of labels that join what the ones before left apart."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    kept = []
+    for x, y in pairs.tolist():
+        a, b = top(x), top(y)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            kept.append((x, y))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def missed_links(scaled: DataFrame, labels: DataFrame, threshold: float, pack: int = PACK, packs: int = PACKS) -> DataFrame:
+    """``a, b``: labels of components that a link joins; a vector outside of all has its row as label.
+
+    Every block of vectors meets every other one, single precision finds what may be a link, double
+    precision decides.
+    """
+    labelled = scaled.where("unit IS NOT NULL").join(labels, "row", "left").select("size", F.coalesce("label", "row").alias("label"), "unit")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+
+        def out(size: int) -> pa.RecordBatch:
+            own, packed = zip(*held.pop(size))
+            columns = [pa.array([size], pa.int32()), pa.array([np.array(own, np.int64).tobytes()], pa.binary()), pa.array([b"".join(packed)], pa.binary())]
+            return pa.record_batch(columns, ["size", "labels", "units"])
+
+        for batch in batches:
+            for size, label, unit in zip(*(batch[c].to_pylist() for c in ("size", "label", "unit"))):
+                held.setdefault(size, []).append((label, unit))
+                if len(held[size]) == pack:
+                    yield out(size)
+        for size in list(held):
+            yield out(size)
+
+    blocks = labelled.mapInArrow(gather, "size int, labels binary, units binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = stored(blocks, "blocks")
+    dealt = blocks.repartition(max(1, -(-blocks.count() // packs)))
+    right = dealt.select(F.col("block").alias("block2"), F.col("size").alias("size2"), F.col("labels").alias("labels2"), F.col("units").alias("units2"))
+    # sizes are compared in a sum, as an equal key would send all blocks of a size to one task
+    met = dealt.join(right.hint("shuffle_replicate_nl"), (F.col("block") <= F.col("block2")) & (F.abs(F.col("size") - F.col("size2")) < 1))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                size = batch["size"][at].as_py()
+                la, lb = (np.frombuffer(batch[c][at].as_buffer(), np.int64) for c in ("labels", "labels2"))
+                a, b = (np.frombuffer(batch[c][at].as_buffer()).reshape(-1, size) for c in ("units", "units2"))
+                # the error of single precision is below size * 2 ** -22 for unit vectors
+                close = a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(threshold - size * 2.0**-22 - 1e-6)
+                if not close.any():
+                    continue
+                i, j = np.nonzero(close & (la[:, None] != lb[None]))
+                found = [np.zeros((0, 2), np.int64)]
+                for k in range(0, len(i), 1 << 15):
+                    p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                    near = (a[p] * b[q]).sum(1) >= threshold
+                    found.append(np.unique(np.stack([la[p[near]], lb[q[near]]], 1), axis=0))
+                joins = _spanning(np.concatenate(found))
+                if len(joins):
+                    yield pa.record_batch([pa.array(joins[:, 0].copy()), pa.array(joins[:, 1].copy())], ["a", "b"])
+
+    return met.select("size", "labels", "labels2", "units", "units2").mapInArrow(compare, "a long, b long").distinct()
+
+
+def all_labels(scaled: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """``row, label`` of every vector that links with another, in whole components."""
+    labels = stored(components(links).select(F.col("node").alias("row"), "label"), "vector-labels")
+    missed = stored(missed_links(scaled, labels, threshold), "vector-missed")
+    if missed.isEmpty():
+        return labels
+    joined = components(missed).select(F.col("node").alias("own"), F.col("label").alias("whole"))
+    alone = joined.join(labels, F.col("own") == F.col("row"), "left_anti").select(F.col("own").alias("row"), F.col("whole").alias("label"))
+    moved = labels.join(joined, F.col("label") == F.col("own"), "left").select("row", F.coalesce("whole", "label").alias("label"))
+    return stored(moved.union(alone), "vector-labels")
+
+
 def _means(members: DataFrame) -> DataFrame:
     """``label, mean`` direction of each component; summed in the tasks before shuffling."""
 
@@ -212,7 +302,7 @@ def vector_report(
     """``vec_id, n_links, component_id, kept`` of every row."""
     scaled = units(vectors)
     links = stored(window_links(scaled, threshold, passes, window), "vector-links")
-    labels = components(links).select(F.col("node").alias("row"), "label")
+    labels = all_labels(scaled, links, threshold)
     counts = member_counts(scaled, labels, threshold)
     ids = scaled.select("row", "vec_id")
     least = (

@@ -63,6 +63,31 @@ def test_small_windows_and_blocks_count_all_links(spark, given):
         assert n == sum(near[i, j] for j in group if group[j] == group[i])
 
 
+@pytest.mark.parametrize("passes, window", [(1, 1), (16, 2)])
+def test_links_that_no_window_saw(spark, passes, window):
+    """Pairs in a dense topic, few passes and small windows: all links, components and copies are found."""
+    random = np.random.default_rng(9)
+    topic = 1.8 * random.standard_normal(32)
+    rows = []
+    for _ in range(250):
+        base = topic + random.standard_normal(32)
+        rows += [(base + 0.35 * random.standard_normal(32)).tolist() for _ in range(2)]
+    rows += [random.standard_normal(16).tolist() for _ in range(20)]
+    rows = [(i, v, 0) for i, v in enumerate(rows)]
+    near = plain(rows)
+    found = {r.vec_id: r for r in vectors.vector_report(spark.createDataFrame(rows, SCHEMA).repartition(5), passes=passes, window=window).collect()}
+    assert [found[i].n_links for i in range(len(rows))] == near.sum(1).tolist() and near.sum() > 200
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min([least[i], *(least[j] for j in np.flatnonzero(near[i]))]) for i in range(len(rows))]
+    assert [found[i].component_id for i in range(len(rows))] == least
+    scaled = vectors.units(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    none = spark.createDataFrame([], "row long, label long")
+    small = vectors.missed_links(scaled, none, 0.9, pack=7, packs=3).collect()
+    ids = {r.row: r.vec_id for r in scaled.collect()}
+    assert all(near[ids[r.a], ids[r.b]] for r in small) and len({x for r in small for x in r}) == (near.sum(1) > 0).sum()
+
+
 def test_odd_vectors(spark):
     a = [1.0, 2.0, 3.0]
     odd = [
