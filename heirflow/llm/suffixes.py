@@ -12,7 +12,9 @@ hash (the leftmost one); equal strings have equal anchors at equal offsets. So
 2. the bytes of undecided runs alone are fetched and shuffled by anchor; the suffixes at all their
    starts are sorted: a multikey quicksort on words of eight bytes orders them to ``SHALLOW`` bytes, and
    blind tries order the groups that still share their prefix. Leaves of a trie that agree to
-   ``LENGTH`` bytes are equal strings, of which the earliest stays;
+   ``LENGTH`` bytes are equal strings, of which the earliest stays. An anchor with more than
+   ``CHUNK_STARTS`` undecided starts is sorted in pieces where its bytes were fetched; of each piece only
+   the earliest start of every string is shuffled, by a hash of the string, and sorted again;
 3. repeated starts of each document become spans, and the rest is hashed.
 
 Copies in one Arrow batch are settled before the shuffle. Texts are shuffled only where a document
@@ -314,8 +316,9 @@ def stretches(docs: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(cut, "gram long, id long, spot long, body binary")
 
 
-def repeated_starts(bodies: list[bytes], ids: np.ndarray, spots: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(id, spot) of the stretches of starts whose string occurs earlier among the given runs."""
+def judged_starts(bodies: list[bytes], ids: np.ndarray, spots: np.ndarray, length: int = LENGTH, first_too: bool = False):
+    """(id, spot, all bytes, place in them) of the earliest start of every string of the given runs if
+    ``first_too``, and (id, spot) of the stretches of starts whose string occurs earlier among them."""
     start, count, hashes = spot_parts(spots)
     data = np.frombuffer(b"".join(bodies), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(b) for b in bodies])[:-1]]).astype(np.int64)
@@ -328,6 +331,11 @@ def repeated_starts(bodies: list[bytes], ids: np.ndarray, spots: np.ndarray, len
     # rows that are equal in all keys are one string
     group_first = rank[first][np.cumsum(first) - 1]
     same_row = (ids[who[rank]] == ids[who[group_first]]) & (hashes[who[rank]] == hashes[who[group_first]]) & (at[rank] == at[group_first])
+    leads = None
+    if first_too:
+        lead = rank[first]
+        own = who[lead]
+        leads = ids[own], _spot(at[lead], np.ones(len(lead), np.int64), hashes[own]), data, base[own] + at[lead] - start[own]
     gone = rank[~same_row]
     i, h, a = ids[who[gone]], hashes[who[gone]], at[gone]
     order = np.lexsort((a, h, i))
@@ -342,11 +350,57 @@ def repeated_starts(bodies: list[bytes], ids: np.ndarray, spots: np.ndarray, len
     k = np.repeat(np.arange(len(heads)), pieces)
     nth = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces) if len(k) else k
     size = np.minimum(127, total[k] - 127 * nth)
-    return i[heads][k], _spot(first_at[k] + 127 * nth, size, h[heads][k])
+    return leads, (i[heads][k], _spot(first_at[k] + 127 * nth, size, h[heads][k]))
+
+
+def hot_grams(undecided: DataFrame, chunk: int) -> frozenset[int]:
+    """Anchors with more than ``chunk`` undecided starts; there is at most one for every ``chunk`` starts."""
+    starts = F.sum(F.col("spot").bitwiseAND(F.lit((1 << _RUN_BITS) - 1)))
+    return frozenset(r[0] for r in undecided.groupBy("gram").agg(starts.alias("n")).where(F.col("n") > chunk).select("gram").collect())
+
+
+def split_hot(bodies: DataFrame, hot: frozenset[int], length: int, chunk: int) -> DataFrame:
+    """``bodies``; runs of a hot anchor as the earliest start of each of their strings in a piece of about
+    ``chunk`` starts, under a hash of the string for ``gram``. Repeated starts of a piece have no body."""
+    shared = bodies.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64))
+    names = ["gram", "id", "spot", "body"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            (i, spot, data, places), (gone, gone_spot) = judged_starts(
+                rows["body"].to_pylist(), rows["id"].to_numpy(), rows["spot"].to_numpy(), length, True
+            )
+            spread = mix(gone.view(np.uint64)).view(np.int64)
+            yield pa.record_batch([pa.array(spread), pa.array(gone), pa.array(gone_spot), pa.nulls(len(gone), pa.binary())], names)
+            for k in range(0, len(places), 10_000):
+                text = [data[p : p + length].tobytes() for p in places[k : k + 10_000].tolist()]
+                gram = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in text], np.int64)
+                yield pa.record_batch([pa.array(gram), pa.array(i[k : k + 10_000]), pa.array(spot[k : k + 10_000]), pa.array(text, pa.binary())], names)
+
+        for batch in batches:
+            is_hot = np.isin(batch["gram"].to_numpy(), shared.value)
+            if not is_hot.all():
+                yield batch.filter(pa.array(~is_hot))
+            if is_hot.any():
+                held.append(batch.filter(pa.array(is_hot)))
+                waiting += int((held[-1]["spot"].to_numpy() & ((1 << _RUN_BITS) - 1)).sum())
+                if waiting >= chunk:
+                    yield from settle()
+                    held, waiting = [], 0
+        if held:
+            yield from settle()
+
+    return bodies.mapInArrow(split, "gram long, id long, spot long, body binary")
 
 
 def sorted_repeats(bodies: DataFrame, length: int, chunk: int = CHUNK_STARTS) -> DataFrame:
-    """``id, spot`` of repeated starts of undecided runs; runs of one anchor are sorted together."""
+    """``id, spot`` of repeated starts of undecided runs; runs of one anchor are sorted together.
+
+    Rows without a body are repeated already."""
     dealt = bodies.repartition("gram").sortWithinPartitions("gram", "id", "spot")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +408,14 @@ def sorted_repeats(bodies: DataFrame, length: int, chunk: int = CHUNK_STARTS) ->
         waiting = 0
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
-            i, spot = repeated_starts(rows["body"].to_pylist(), rows["id"].to_numpy(), rows["spot"].to_numpy(), length)
+            _, (i, spot) = judged_starts(rows["body"].to_pylist(), rows["id"].to_numpy(), rows["spot"].to_numpy(), length)
             return pa.record_batch([pa.array(i), pa.array(spot)], ["id", "spot"])
 
         for batch in batches:
+            if batch["body"].null_count:
+                done = batch.filter(batch["body"].is_null())
+                yield pa.record_batch([done["id"], done["spot"]], ["id", "spot"])
+                batch = batch.filter(batch["body"].is_valid())
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -394,7 +452,11 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     found = stored(judged_runs(docs, length, gram), "suffix-runs")
     undecided = found.where("NOT known").select("gram", "id", "spot")
-    sorted_ = stored(sorted_repeats(stretches(docs, undecided, length), length), "suffix-repeats")
+    bodies = stretches(docs, undecided, length)
+    hot = hot_grams(undecided, CHUNK_STARTS)
+    if hot:
+        bodies = split_hot(bodies, hot, length, CHUNK_STARTS)
+    sorted_ = stored(sorted_repeats(bodies, length), "suffix-repeats")
     gone = found.where("known").select("id", "spot").union(sorted_)
     by_doc = gone.groupBy("id", F.shiftright("spot", 31 + _RUN_BITS).alias("th")).agg(F.collect_list("spot").alias("spots"))
     keyed = docs.select(

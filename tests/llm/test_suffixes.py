@@ -71,6 +71,23 @@ def test_periodic_and_overlapping_repeats(spark, monkeypatch):
     check(suffixes.removal_report(df, 20, 8).collect(), small, 20)
 
 
+def test_hot_passage_is_split(spark, monkeypatch):
+    """A passage with other text around it in most documents: no task sorts all starts of one anchor."""
+    monkeypatch.setattr(suffixes, "CHUNK_STARTS", 300)
+    random = np.random.default_rng(8)
+    text = lambda n: "".join(map(chr, random.integers(97, 123, n)))
+    passage = text(300)
+    given = [(i, f"{text(60 + i % 9)}{passage[i % 4 :]}{text(70)}") for i in range(60)] + [(3, passage), (70, text(200)), (None, passage)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(6)
+    check(suffixes.removal_report(df).collect(), given)
+    undecided = suffixes.judged_runs(df, 100, suffixes.GRAM).where("NOT known").select("gram", "id", "spot").localCheckpoint()
+    hot = suffixes.hot_grams(undecided, 300)
+    bodies = suffixes.stretches(df, undecided, 100)
+    dealt = suffixes.split_hot(bodies, hot, 100, 300).where("body IS NOT NULL").groupBy("gram").agg({"spot": "count"})
+    most = undecided.groupBy("gram").agg({"spot": "count"}).selectExpr("max(`count(spot)`)").first()[0]
+    assert hot and most > 30 and dealt.selectExpr("max(`count(spot)`)").first()[0] <= 25
+
+
 def test_empty_and_clashing(no_docs, clashing):
     assert suffixes.removal_report(no_docs).count() == 0
     assert suffixes.removal_report(clashing).count() == clashing.count()
