@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heirflow.llm import byte_bpe, chats, decontaminate, language, ngram_join, pii, sharding, suffixes, token_store, vectors
+from heirflow.llm import (
+    byte_bpe, chats, decontaminate, language, ngram_join, periodic, pii, quality, repair, sharding, suffixes, token_store, vectors,
+)
 from heirflow.llm.tables import read_table
 from heirflow.sources.shared import fresh_path
 
@@ -57,11 +59,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality_report(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_suffix_dedup, op3_sharding, op4_ngram_jaccard, op5_token_store, op6_quotation_linking,
-        op7_byte_bpe, op8_decontaminate, op9_vector_dedup, op10_pii,
+        op7_byte_bpe, op8_decontaminate, op9_vector_dedup, op10_pii, op11_periodic_runs, op12_quality,
+        op13_conversation_repair,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_quotation_linking": chats.CHAT_SQL}
