@@ -1,21 +1,24 @@
 """Personal data: fixed patterns, and terms whose company in the corpus gives a protected value away.
 
-Base spans are emails, IPv4 addresses, payment cards and phone numbers. Their values are the
-protected entities. Terms (words of ``MIN_LETTERS`` letters or more) within ``CONTEXT_WORDS`` words
-of a value are judged by information theory over the whole corpus:
-
-    disclosure(term, value) = PMI(term; value) / -log2 p(value) = 1 + log2 p(value | term) / -log2 p(value)
-
-with p(value) the share of documents that hold the value, and p(value | term) the share of the
-documents with the term in which it stands near the value. A term at ``THRESHOLD`` or more whose company
-is proven is a span of kind ``term`` wherever it stands near that value; masking generalises it to a
-placeholder. Terms only add spans, base spans stay.
-
-Company is proven by ``MIN_CONTEXTS`` different contexts (copies of a text are one context), or by fewer
-that chance does not explain: if each of the ``df`` documents with the term held the value with p(value), k
-or more of them would do so with a probability of at most exp(-df KL(k / df || p(value))) (Chernoff), and this
-bound times the number of pairs must not exceed ``CHANCE``. It is least where df = k, so pairs that fail
-even there are left out before terms are counted, and none of them is lost.
+Base spans are emails, IPv4 addresses, payment cards and phone numbers. Each value names protected
+entities: the value itself, and what recurs in several values (the name and the domain of an email, the
+network of an address, the issuer of a card, the first digits of a phone number). Terms (words of ``MIN_LETTERS`` letters
+or more) within ``CONTEXT_WORDS`` words of a value are judged by information theory over the whole corpus:
+
+    disclosure(term, entity) = PMI(term; entity) / -log2 p(entity) = 1 + log2 p(entity | term) / -log2 p(entity)
+
+with p(entity) the share of documents that hold the entity, and p(entity | term) the share of the
+documents with the term in which it stands near the entity. A part of a value is judged once more among the
+documents that hold a value of its kind, so that a word that only announces an address does not count as
+telling its domain. A term at ``THRESHOLD`` or more whose company is proven is a span of kind ``term`` wherever it
+stands near that entity; masking generalises it to a placeholder. Terms only add spans, base spans stay.
+
+One document proves nothing: the word was picked because it stands there. With k the number of different
+contexts (copies of a text are one) or of different documents, whichever is less, k must be 2 at least and beyond chance: if each
+of the ``df`` documents with the term held the entity with p(entity), k or more of them would do so with a
+probability of at most exp(-df KL(k / df || p(entity))) (Chernoff), and this bound times the number of all pairs of an
+entity and a term near it must not exceed ``CHANCE``. The bound is least where df = k, so pairs that fail even there are left out before
+terms are counted, and none of them is lost.
 
 The text is read once for spans and contexts; those narrow rows are stored, counted and joined by
 Spark. A second pass counts documents for the candidate terms alone: up to ``MAX_TERMS`` of them are
@@ -35,7 +38,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heirflow.llm.tables import stored
@@ -51,7 +54,7 @@ TERM = re.compile(r"[^\W\d_]+")
 
 CONTEXT_WORDS = 8
 MIN_LETTERS = 3
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 2
 CHANCE = 0.05
 THRESHOLD = 0.75
 MAX_TERMS = 200_000
@@ -163,30 +166,74 @@ def document_frequency(docs: DataFrame, terms: DataFrame, max_terms: int = MAX_T
     return counted if wanted else counted.join(terms, "term", "left_semi")
 
 
+def entities() -> Column:
+    """The entities that the ``value`` of a span names, itself first."""
+    value = F.col("value")
+    kind, rest = F.split_part(value, F.lit(":"), F.lit(1)), F.substring_index(value, ":", -1)
+    digits = F.regexp_replace(rest, "[^0-9]", "")
+    parts = {
+        "email": F.array(
+            F.concat(F.lit("email-name:"), F.substring_index(rest, "@", 1)), F.concat(F.lit("email-domain:"), F.substring_index(rest, "@", -1))
+        ),
+        "ip": F.array(F.concat(F.lit("ip-net:"), F.substring_index(rest, ".", 3))),
+        "card": F.array(F.concat(F.lit("card-issuer:"), F.left(digits, F.lit(6)))),
+        "phone": F.array(F.concat(F.lit("phone-area:"), F.left(digits, F.lit(6)))),
+    }
+    some = F.array().cast("array<string>")
+    for name, found in parts.items():
+        some = F.when(kind == name, found).otherwise(some)
+    return F.concat(F.array(value), some)
+
+
+def _near(found: DataFrame, *extra: str) -> DataFrame:
+    """One row a term and entity near each other, with ``kind`` of the value and whether the entity is it ``whole``."""
+    near = found.select(*extra, "doc_id", "h", F.explode("near").alias("x")).select(
+        *extra, "doc_id", "h", "x.value", "x.term", "x.context", "x.start", "x.stop"
+    )
+    return near.withColumn("entity", F.explode(entities())).select(
+        *extra, "doc_id", "h", F.split_part("value", F.lit(":"), F.lit(1)).alias("kind"), "entity", "term", "context", "start", "stop",
+        (F.col("entity") == F.col("value")).alias("whole"),
+    )
+
+
+def _chance(k: Column, n: Column, share: Column) -> Column:
+    """Log of the bound on the chance that k or more of n documents hold what a share of all does; 0 where k is no more than expected."""
+    rest = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0)
+    return F.when(k > n * share, -(k * F.log(k / (n * share)) + rest)).otherwise(0.0)
+
+
 def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, max_terms: int = MAX_TERMS) -> DataFrame:
-    """``value, term, disclosure`` of the pairs at or over the threshold."""
-    near = found.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.value", "x.term", "x.context")
+    """``value, term, disclosure`` of the pairs of an entity and a term at or over the threshold."""
+    near = _near(found)
     rows = found.count()
-    seen = near.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    together = near.select("value", "term", "doc_id", "h").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("both"))
-    holders = near.select("value", "doc_id", "h").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("holders"))
-    tested = seen.count()
+    one = F.count(F.lit(1))
+    documents = near.select("kind", "entity", "whole", "term", "doc_id", "h").distinct()
+    together = documents.groupBy("kind", "entity", "whole", "term").agg(one.alias("both"))
+    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(one.alias("contexts"))
+    holders = near.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(one.alias("holders"))
+    tested = together.count()
+    chance = F.log(F.lit(CHANCE / max(tested, 1)))
     share = F.col("holders") / F.lit(rows)
-    counted = seen.join(together, ["value", "term"]).join(holders, "value").withColumn("k", F.least("contexts", "both"))
-    often, chance = F.col("contexts") >= MIN_CONTEXTS, F.log(F.lit(CHANCE / max(tested, 1)))
-    pairs = stored(counted.where(often | (F.col("k") * F.log(share) <= chance)), "pii-pairs")
+    counted = together.join(contexts, ["entity", "term"]).join(holders, "entity").withColumn("k", F.least("contexts", "both"))
+    pairs = stored(counted.where((F.col("k") >= MIN_CONTEXTS) & (F.col("k") * F.log(share) <= chance)), "pii-pairs")
     if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
+        return pairs.select(F.col("entity").alias("value"), "term", F.lit(0.0).alias("disclosure"))
     frequency = document_frequency(docs, pairs.select("term").distinct(), max_terms)
-    information = -F.log2(share)
-    given_term = F.log2(F.least(F.col("both") / F.col("df"), F.lit(1.0)))
-    k, df = F.col("k"), F.greatest("df", "k")
-    rest = F.when(df > k, (df - k) * F.log((df - k) / (df * (1 - share)))).otherwise(0.0)
-    unlikely = (k > df * share) & (-(k * F.log(k / (df * share)) + rest) <= chance)
+    # the same question among the documents with a value of the kind, for parts of values
+    of_kind = near.select("kind", "doc_id", "h").distinct().groupBy("kind").agg(one.alias("kind_holders"))
+    near_kind = near.select("kind", "term", "doc_id", "h").distinct().groupBy("kind", "term").agg(one.alias("kind_both"))
+
+    def told(both: Column, n: Column, p: Column) -> Column:
+        return 1 + F.log2(F.least(both / n, F.lit(1.0))) / -F.log2(p)
+
+    k, df, both = F.col("k"), F.greatest("df", "k"), F.col("both")
+    part_share, among = F.col("holders") / F.col("kind_holders"), F.greatest("kind_both", "k")
+    of_part = (part_share < 1) & (told(both, among, part_share) >= threshold) & (_chance(k, among, part_share) <= chance)
     return (
-        pairs.join(frequency, "term").where(often | unlikely)
-        .where(information > 0).withColumn("disclosure", 1 + given_term / information)
-        .where(F.col("disclosure") >= threshold).select("value", "term", "disclosure")
+        pairs.join(frequency, "term").join(F.broadcast(of_kind), "kind").join(near_kind, ["kind", "term"])
+        .where((share < 1) & (_chance(k, df, share) <= chance)).where(F.col("whole") | of_part)
+        .withColumn("disclosure", told(both, F.col("df"), share))
+        .where(F.col("disclosure") >= threshold).select(F.col("entity").alias("value"), "term", "disclosure")
     )
 
 
@@ -195,7 +242,7 @@ def with_terms(docs: DataFrame, threshold: float = THRESHOLD, max_terms: int = M
     found = stored(scan(docs), "pii-found")
     pairs = stored(disclosing(docs, found, threshold, max_terms), "pii-disclosing")
     keyed = found.withColumn("row", F.monotonically_increasing_id())
-    near = keyed.select("row", F.explode("near").alias("x")).select("row", "x.value", "x.term", "x.start", "x.stop")
+    near = _near(keyed, "row").withColumnRenamed("entity", "value")
     spans = (
         near.join(pairs, ["value", "term"], "left_semi")
         .groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("terms"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from math import log, log2
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BIG = 1 << 63
@@ -122,3 +123,64 @@ def personal(text):
                 continue
             out.append((m.start(), kind, m.end()))
     return sorted(out)
+
+
+def entities(text, span):
+    start, kind, stop = span
+    name, value = PATTERNS[kind][0], text[start:stop].lower()
+    digits = re.sub("[^0-9]", "", value)
+    parts = {
+        "email": [("email-name", value.split("@")[0]), ("email-domain", value.split("@")[-1])],
+        "ip": [("ip-net", ".".join(value.split(".")[:3]))],
+        "card": [("card-issuer", digits[:6])],
+        "phone": [("phone-area", digits[:6])],
+    }[name]
+    return [f"{name}:{value}"] + [f"{a}:{b}" for a, b in parts]
+
+
+def near(text, spans):
+    """(kind, entity, term, context, start, end) of the eight words on each side of every span."""
+    out, words = [], [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text or "")]
+    for span in spans:
+        start, kind, stop = span
+        left = [(a, min(b, start)) for a, b in words if a < start][-8:]
+        right = [(max(a, stop), b) for a, b in words if b > stop][:8]
+        context = tuple(text[a:b].lower() for a, b in left + right)
+        for a, b in left + right:
+            if b - a >= 3 and not any(x < b and a < y for x, _, y in spans):
+                out += [(PATTERNS[kind][0], e, text[a:b].lower(), context, a, b) for e in entities(text, span)]
+    return out
+
+
+def log_chance(k, n, share):
+    if k <= n * share:
+        return 0.0
+    return -(k * log(k / (n * share)) + ((n - k) * log((n - k) / (n * (1 - share))) if n > k else 0.0))
+
+
+def term_spans(rows, threshold=0.75):
+    """Spans of disclosing terms of every (doc_id, text); rows equal in both are one document but count as rows."""
+    found = [near(t, personal(t)) for _, t in rows]
+    documents, contexts, holders, kinds, kind_terms = (defaultdict(set) for _ in range(5))
+    for row, each in zip(rows, found):
+        for kind, entity, term, context, _, _ in each:
+            documents[entity, term].add(row)
+            contexts[entity, term].add(context)
+            holders[entity].add(row)
+            kinds[kind].add(row)
+            kind_terms[kind, term].add(row)
+    df = Counter()
+    for _, t in rows:
+        df.update(set(re.findall(r"[^\W\d_]+", (t or "").lower())))
+    chance, told = log(0.05 / max(1, len(documents))), {}
+    for (entity, term), held in documents.items():
+        k, both = min(len(held), len(contexts[entity, term])), len(held)
+        kind = re.split("[-:]", entity)[0]
+        ways = [(len(holders[entity]) / len(rows), df[term])]
+        if entity.startswith(kind + "-"):
+            ways.append((len(holders[entity]) / len(kinds[kind]), len(kind_terms[kind, term])))
+        told[entity, term] = k >= 2 and all(
+            share < 1 and log_chance(k, max(n, k), share) <= chance and 1 + log2(min(1, both / n)) / -log2(share) >= threshold
+            for share, n in ways
+        )
+    return [sorted({(a, 4, b) for _, e, t, _, a, b in each if told[e, t]}) for each in found]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -63,6 +64,51 @@ def test_two_contexts_count_beyond_chance(spark):
     assert pii.disclosing(few, pii.scan(few)).count() == 0
 
 
+def test_one_document_proves_nothing(spark):
+    plain = [(k, f"the paper {k} says that silver window garden river {k % 7} the") for k in range(400)]
+    told = "yesterday quixotic marmalade wrote a@b.org about gazebo the paper"
+    for some in ([told], [told, told], [told, f"{told} gazebo a@b.org quixotic"[:len(told)]]):
+        rows = plain + [(1_000, text) for text in some]
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.text for r in pii.mask(table).where("doc_id = 1000").collect()} == {told.replace("a@b.org", "[EMAIL]")}
+    once = plain + [(1_000, " ".join(["gazebo a@b.org quixotic", "stone gazebo met a@b.org", "a@b.org saw gazebo"]))]
+    table = spark.createDataFrame(once, "doc_id long, text string")
+    assert pii.disclosing(table, pii.scan(table)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    """Names beside addresses that share a local part or a domain, and a word that announces every address."""
+    r = random.Random(6)
+    words = [a + b for a in "river stone cloud window garden".split() for b in "er ing ly ous al ment ness".split()]
+    rows = []
+    for i in range(900):
+        filler = lambda n: " ".join(r.choices(words, k=n))
+        if i % 60 == 0:
+            rows.append((i, f"{filler(9)} Jonquil, contact jon.q@host{i % 7}.example.org or {filler(9)}"))
+        elif i % 30 == 1:
+            rows.append((i, f"{filler(5)} acmecorp contact {words[i % 35]}{i}@acme.example.com {filler(4)} call +1 555 {i % 9}000 {i:04d} {filler(3)}"))
+        elif i % 10 == 3:
+            rows.append((i, f"{filler(3)} contact {words[i % 35]}{i}@mail{i % 11}.example.net {filler(3)} 10.0.{i % 5}.{i % 250}"))
+        else:
+            rows.append((i, filler(r.randint(0, 40))))
+    rows += [rows[0], rows[60], (None, rows[120][1]), (950, None), (951, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_terms_against_brute_force(people, docs, rows):
+    given, table = people
+    for some, df in ((given, table), ([r[:2] for r in rows], docs)):
+        found = Counter(
+            (r.doc_id, tuple(tuple(s) for s in r.spans)) for r in pii.with_terms(df).collect()
+        )
+        want = Counter((key, tuple(sorted(brute.personal(text) + terms))) for (key, text), terms in zip(some, brute.term_spans(some)))
+        assert found == want
+    pairs = {(r.value, r.term) for r in pii.disclosing(table, pii.scan(table)).collect()}
+    assert ("email-name:jon.q", "jonquil") in pairs and ("email-domain:acme.example.com", "acmecorp") in pairs
+    assert all(term != "contact" for _, term in pairs)
+
+
 def test_words_far_away_are_near_terms():
     text = "zorblatt " + "1 " * 400 + "a@b.c " + "2 " * 400 + "y" * 500 + " end"
     near = pii.near_terms(text, pii.base_spans(text))

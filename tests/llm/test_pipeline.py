@@ -38,11 +38,12 @@ def expected(given, items):
     marks = brute.leaks([(r[0], r[1]) for r in rows], items, 10)
     rows = [r for r, m in zip(rows, marks) if not m[5]]
     coder, out = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), Counter()
-    for r in rows:
+    names = [name for name, _ in brute.PATTERNS] + ["term"]
+    for r, terms in zip(rows, brute.term_spans([(r[0], r[1]) for r in rows])):
         text, end, parts = r[1], 0, []
-        for a, kind, b in brute.personal(text):
+        for a, kind, b in sorted(brute.personal(text) + terms):
             if a >= end:
-                parts += [text[end:a], f"[{brute.PATTERNS[kind][0].upper()}]"]
+                parts += [text[end:a], f"[{names[kind].upper()}]"]
             end = max(end, b)
         text = "".join([*parts, text[end:]])
         ids = coder.encode_ordinary(text)
