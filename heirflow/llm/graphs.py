@@ -11,12 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from heirflow.llm.tables import stored
+from heirflow.llm.tables import forget, stored
 
 #: Largest bit map that is broadcast, in bits (16 MB); beyond it only the share of false hits grows.
 MAX_FILTER_BITS = 1 << 27
 
 
+#: Keys that hold more than one row in so many are hot, and so there are at most so many of them.
+HOT_KEYS = 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join of a stored ``left`` to ``right``, whose ``key`` is unique, without one task for a hot key.
+
+    Rows of ``right`` for the hot keys of ``left``, at most ``HOT_KEYS``, are broadcast; rows that find theirs there
+    are dealt at random in the join for all other keys.
+    """
+    values = [c for c in right.columns if c != key]
+    rows = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_KEYS > max(rows, HOT_KEYS)).select(key)
+    sent = right.join(F.broadcast(hot), key).select(key, F.struct(*values).alias("_sent"))
+    dealt = left.join(F.broadcast(sent), key, "left").withColumn(
+        "_salt", F.when(F.col("_sent").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(9973)))
+    )
+    other = right.select(key, F.struct(*values).alias("_met"), F.lit(0).cast("long").alias("_salt"))
+    met = F.coalesce("_sent", "_met")
+    return dealt.join(other, [key, "_salt"], "left").select(*left.columns, *[met[c].alias(c) for c in values])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for the nodes of ``edges`` (columns ``a, b``): the smallest node that can be reached.
 
@@ -35,16 +57,16 @@ def components(edges: DataFrame) -> DataFrame:
             both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b")
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         )
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new"))
-        jump = lower.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = stored(
-            lower.join(jump, "new", "left").select(
-                "node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.col("label") != F.least("new", F.coalesce("far", "new"))).alias("moved")
-            ),
-            "cc-labels",
-        )
+        lower = stored(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new")), "cc-lower")
+        # the label of a large component is the key of many rows
+        jumped = spread_join(lower, lower.select(F.col("node").alias("new"), F.col("new").alias("far")), "new")
+        far = F.least("new", F.coalesce("far", "new"))
+        moved = stored(jumped.select("node", far.alias("label"), (F.col("label") != far).alias("moved")), "cc-labels")
+        forget(lower)
+        forget(labels)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
+            forget(both)
             return labels
 
 

@@ -174,19 +174,33 @@ def training_sample(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataF
 
 
 def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
-    """Fit the family and language separators on the bounded sample; Spark reduces texts to features."""
-    schema = "lang string, x binary"
-
-    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = features(batch["text"])
-            yield pa.record_batch([batch["lang"], pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"])
-
-    found = training_sample(docs, max_rows).mapInArrow(reduce_texts, schema).toArrow()
-    lang = np.array(found["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(len(lang), BUCKETS)
-    order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i].tobytes()))
-    lang, x = lang[order], x[order]
+    """Fit the family and language separators on the bounded sample, in one task; the driver sees only their weights."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(batch["lang"].to_pylist(), features(batch["text"])) for batch in batches]
+        if not parts:
+            return
+        lang = np.array([a for names, _ in parts for a in names], object)
+        x = np.concatenate([rows for _, rows in parts])
+        order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i].tobytes()))
+        model = fit(lang[order], x[order])
+        yield pa.record_batch(
+            [pa.array([list(model.languages)]), pa.array([[list(pair) for pair in model.pairs]], pa.list_(pa.list_(pa.string()))),
+             pa.array([model.weights.astype("<f8").tobytes()], pa.binary())],
+            ["languages", "pairs", "weights"],
+        )
+
+    schema = "languages array<string>, pairs array<array<string>>, weights binary"
+    row = training_sample(docs, max_rows).repartition(1).mapInArrow(learn, schema).first()
+    if row is None:
+        return LanguageModel((), (), (), np.zeros((0, BUCKETS + 1)))
+    families = tuple(sorted({family_of(a) for a in row["languages"]}))
+    weights = np.frombuffer(row["weights"], "<f8").reshape(len(row["pairs"]), BUCKETS + 1)
+    return LanguageModel(tuple(row["languages"]), families, tuple((a, b) for a, b in row["pairs"]), weights)
+
+
+def fit(lang: np.ndarray, x: np.ndarray) -> LanguageModel:
+    """Separators of the families and of the languages of each family, from labels and features."""
     languages = tuple(sorted(set(lang)))
     families = tuple(sorted({family_of(a) for a in languages}))
     family = np.array([family_of(a) for a in lang], object)
@@ -220,12 +234,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of the rows whose language is not ``und``."""
+    """All columns of the rows whose language is not ``und``; where nothing was learned, of those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, _ = shared.value.predict(batch["text"])
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            if shared.value.languages:
+                lang, _ = shared.value.predict(batch["text"])
+                known = [x != UNKNOWN for x in lang]
+            else:
+                known = has_letter(batch["text"])
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -30,12 +30,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heirflow.llm.bytescan import mix, shingle_sets, steps
-from heirflow.llm.graphs import components, maybe_in, probably_in
-from heirflow.llm.tables import packed, stored, unpacked
+from heirflow.llm.graphs import components, maybe_in, probably_in, spread_join
+from heirflow.llm.tables import forget, packed, stored, unpacked
 
 #: Elements that a signature covers on average where the size of the sets allows it.
 MIN_ELEMENTS = 4
@@ -79,9 +79,13 @@ def plan(largest: int, percent: int) -> tuple[int, int, int, int]:
 
 
 def sketch_words(n: int, percent: int) -> int:
-    """64-bit words of the parity sketch of sets in the band of ``n``; neighbouring bands fold to the smaller."""
+    """64-bit words of the parity sketch of sets in the band of ``n``; neighbouring bands fold to the smaller.
+
+    Eight bits or more for each element that may differ: sets that have little in common differ in so many bits
+    that they are told apart with room to spare.
+    """
     k = (100 - percent) * 2 * n // (100 + percent) + 1
-    return 1 << max(0, min(5, math.ceil(math.log2(max(1, 32 * k / 64)))))
+    return 1 << max(0, min(5, math.ceil(math.log2(max(1, 8 * k / 64)))))
 
 
 def _sketch(elements: np.ndarray, words: int) -> np.ndarray:
@@ -151,16 +155,17 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[bytes] = set()
         for batch in batches:
             for data, offsets, _ in steps(batch["text"]):
                 sigs, refs, counts = [], [], []
                 for one in shingle_sets(data, offsets, size):
-                    f = int.from_bytes(_identity(one)[:8], "little", signed=True) & (1 << REF_BITS) - 2
-                    if not len(one) or f in sent:
+                    c = _identity(one)
+                    if not len(one) or c in sent:
                         continue
                     if len(sent) < MAX_REMEMBERED:
-                        sent.add(f)
+                        sent.add(c)
+                    f = int.from_bytes(c[:8], "little", signed=True) & (1 << REF_BITS) - 2
                     table = bands(percent, 1 << (len(one)).bit_length())
                     band = next(i for i, (_, high) in enumerate(table) if len(one) <= high)
                     for i in (band, band + 1):
@@ -224,6 +229,11 @@ def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(several, "sig long, f long, m int")
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, so that the plan is the same at every size."""
+    return df.hint("merge")
+
+
 def _close(a: str, b: str, percent: int):
     """Sizes and sketches that don't rule the pair out; sketches fold to the shorter by parity."""
     size = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
@@ -240,8 +250,12 @@ def _close(a: str, b: str, percent: int):
     return size & (differ <= limit)
 
 
-def _proven(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets reach the similarity, by their whole texts."""
+def _proven(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets reach the similarity, by their whole texts; no other texts are shuffled."""
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    texts = _texts(docs, stored(classes.select("c", "at").join(ends, "c", "left_semi"), "jaccard-ends"))
     left = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
 
@@ -258,57 +272,69 @@ def _proven(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(compare, "a binary, b binary")
+    joined = pairs.join(grows(left), "a").join(grows(right), "b").select("a", "b", "text_a", "text_b")
+    links = stored(joined.mapInArrow(compare, "a binary, b binary"), "jaccard-links")
+    forget(texts)
+    return links
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(:func:`shingle_table` stored, ``c, label`` of the classes that link with another class)."""
-    spark = docs.sparkSession
     sets = stored(shingle_table(docs, size, percent), "jaccard-sets")
-    shared = stored(_shared(docs, size, percent), "jaccard-shared")
-    classes = sets.where("n > 0").groupBy("f", "c").agg(
+    kept = stored(_shared(docs, size, percent), "jaccard-shared")
+    shared = kept.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"), "m")
+    several = sets.where("n > 0").join(grows(shared.select("f").distinct()), "f", "left_semi")
+    classes = several.groupBy("f", "c").agg(
         F.min(F.struct("doc_id", "h", "len")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    shared = shared.select("sig", F.col("f").bitwiseAND(F.lit(-2)).alias("f"), (F.col("f") % 2 != 0).alias("upper"), "m")
-    classes = stored(classes.join(shared.select("f").distinct(), "f", "left_semi"), "jaccard-classes")
-    by_sig = Window.partitionBy("sig")
+    classes = stored(classes, "jaccard-classes")
     weight = shared.groupBy("f").agg(F.sum("m").alias("weight"))
-    leader = F.max(F.struct("weight", "f")).over(by_sig)["f"]
-    members = shared.join(weight, "f").select("sig", "f", "upper", leader.alias("y"))
-    members = stored(members, "jaccard-members")
+    weighed = stored(shared.join(grows(weight), "f").select("sig", "f", "upper", "weight"), "jaccard-weighed")
+    forget(kept)
+    leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "f"))["f"].alias("y"))
+    members = weighed.select("sig", "f", "upper")
     # the few sets whose f is not theirs alone are all compared
     sketched = classes.select("f", F.struct("c", "n", "sketch").alias("x"))
     tried = (
-        members.where("f <> y").select(F.least("f", "y").alias("a"), F.greatest("f", "y").alias("b")).distinct()
-        .join(sketched.withColumnsRenamed({"f": "a"}), "a").join(sketched.withColumnsRenamed({"f": "b", "x": "y"}), "b")
+        members.join(grows(leaders), "sig").where("f <> y").select(F.least("f", "y").alias("a"), F.greatest("f", "y").alias("b")).distinct()
+        .join(grows(sketched.withColumnsRenamed({"f": "a"})), "a").join(grows(sketched.withColumnsRenamed({"f": "b", "x": "y"})), "b")
         .where(_close("x", "y", percent)).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
     tried = stored(tried, "jaccard-stars")
-
-    texts = _texts(docs, classes)
-    links = stored(_proven(tried, texts, size, percent), "jaccard-links")
+    links = _proven(tried, docs, classes, size, percent)
     labels = components(links)
     named = classes.select("f", "c").join(labels.withColumnRenamed("node", "c"), "c", "left")
     label = F.when(F.count(F.lit(1)) == 1, F.min(F.coalesce("label", "c"))).otherwise(F.col("f").cast("string").cast("binary"))
-    left = members.select("sig", "f", "upper").join(named.groupBy("f").agg(label.alias("label")), "f")
-    differ = F.min("label").over(by_sig) != F.max("label").over(by_sig)
-    open_ = left.withColumn("open", differ & F.max("upper").over(by_sig)).where("open").drop("open")
-    open_ = stored(open_.join(sketched, "f").drop("f"), "jaccard-open")
-    other = open_.select(
-        F.col("sig").alias("sig_y"), F.col("upper").alias("upper_y"), F.col("x").alias("y"), F.col("label").alias("label_y")
-    )
+    left = stored(members.join(grows(named.groupBy("f").agg(label.alias("label"))), "f"), "jaccard-named")
+    forget(weighed)
+    mixed = left.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("upper").alias("any"))
+    open_ = left.join(grows(mixed.where("any AND least <> most").select("sig")), "sig", "left_semi")
+    open_ = stored(open_.join(grows(sketched), "f").drop("f"), "jaccard-open")
+    forget(left)
+    one, other = open_.alias("one"), open_.alias("other")
     # all conditions are of the join itself, which so makes only the pairs that may be links
     pair = (
-        (F.col("sig") == F.col("sig_y")) & (F.col("label") != F.col("label_y")) & (F.col("x.c") < F.col("y.c"))
-        & (F.col("upper") | F.col("upper_y")) & _close("x", "y", percent)
+        (F.col("one.sig") == F.col("other.sig")) & (F.col("one.label") != F.col("other.label"))
+        & (F.col("one.x.c") < F.col("other.x.c")) & (F.col("one.upper") | F.col("other.upper")) & _close("one.x", "other.x", percent)
     )
-    rest = open_.join(other, pair).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = stored(rest, "jaccard-rest")
-    more = stored(_proven(rest, texts, size, percent), "jaccard-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    return sets, labels.select(F.col("node").alias("c"), "label")
+    rest = one.join(grows(other), pair).select(F.col("one.x.c").alias("a"), F.col("other.x.c").alias("b")).distinct()
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    forget(open_)
+    more = _proven(rest, docs, classes, size, percent)
+    return sets, _joined(labels, more)
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``c, label`` after more links: only the components they join are labelled again."""
+    labels = labels.select(F.col("node").alias("c"), "label")
+    if more.isEmpty():
+        return labels
+    ends = stored(more.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(labels, "c", "left_anti"), "jaccard-ends")
+    labels = stored(labels.union(ends.select("c", F.col("c").alias("label"))), "jaccard-labels")
+    of_a, of_b = (labels.select(F.col("c").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    joined = more.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    again = components(joined).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    return spread_join(labels, again, "label").select("c", F.coalesce("lower", "label").alias("label"))
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -316,16 +342,17 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keyed = probably_in(_keyed(docs), "h", classes.select("at.h"))
     at = classes.select("c", F.col("at.doc_id").alias("d"), F.col("at.h").alias("k"), F.col("at.len").alias("m"))
     same = keyed.doc_id.eqNullSafe(F.col("d")) & (keyed.h == F.col("k")) & (keyed.len == F.col("m"))
-    return stored(keyed.join(at, same).select("c", "text"), "jaccard-texts")
+    return stored(keyed.join(grows(at), same).select("c", "text"), "jaccard-texts")
 
 
 def _grouped(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``sets`` with ``component_id`` and ``first``, the least (id, text) of the component."""
     big = F.lit((1 << 63) - 1)
-    rows = sets.select("doc_id", "h", "len", "n", "c").join(labels, "c", "left").withColumn("g", F.coalesce("label", "c"))
+    rows = spread_join(sets.select("doc_id", "h", "len", "n", "c"), labels, "c")
+    rows = stored(rows.select("doc_id", "h", "len", "n", F.coalesce("label", "c").alias("g")), "jaccard-rows")
     least = F.struct(F.coalesce("doc_id", big).alias("id"), F.col("h"), F.col("len"))
     heads = rows.where("n > 0").groupBy("g").agg(F.min(least).alias("first"))
-    joined = rows.where("n > 0").join(heads, "g").select(
+    joined = spread_join(rows.where("n > 0"), heads, "g").select(
         "doc_id", "h", "len", "n", F.nullif(F.col("first.id"), big).alias("component_id"), "first"
     )
     alone = rows.where("n = 0").select("doc_id", "h", "len", "n", F.col("doc_id").alias("component_id"), least.alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirflow.sources.shared import fresh_path
+from heirflow.sources.shared import fresh_path, remove
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table of :func:`stored` that no later step reads."""
+    files = df.inputFiles()
+    if files:
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def packed(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct ``row``, so that no name of theirs can clash."""
     return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row")

@@ -49,3 +49,6 @@ def test_rejected_rows_go(docs, rows):
     assert kept.columns == docs.columns
     lettered = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
     assert kept.count() == len(lettered)
+    # without a label nothing is learned, and no document with a letter is dropped for that
+    none = docs.withColumn("lang", docs.lang.substr(1, 0)).where("lang IS NULL").select(docs.columns)
+    assert language.keep_identified(none, language.train(none.where("doc_id < 0"))).count() == sum(1 for r in lettered if r[2] is None)

@@ -91,3 +91,24 @@ def test_components_and_filter(spark):
     assert inside.where("id % 3 = 0").count() == 1000 and inside.count() < 1300
     assert graphs.maybe_in(rows, "k", keys).where("maybe").count() == inside.count()
     assert graphs.probably_in(rows, "k", keys.limit(0)).count() == 0
+
+
+def test_sets_of_one_short_reference(monkeypatch, spark):
+    """Links are whole however few bits of the identity travel with the signatures."""
+    monkeypatch.setattr(ngram_join, "REF_BITS", 4)
+    r = random.Random(12)
+    given = []
+    for i in range(60):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+        given += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "end"]))]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(2)
+    found = {x.doc_id: x.component_id for x in ngram_join.jaccard_report(df, 3, 90).collect()}
+    assert found == {i: i - i % 2 for i in range(120)}
+
+
+def test_hot_keys_are_joined_apart(spark):
+    left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(6_000)] + [(-1, None)], "x long, k long").repartition(4)
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(0, 9_000, 2)] + [(7, "hot")], "k long, v string")
+    found = {(r.x, r.k): r.v for r in graphs.spread_join(left, right, "k").collect()}
+    assert len(found) == 6_001
+    assert all(v == ("hot" if k == 7 else f"v{k}" if k is not None and k % 2 == 0 else None) for (_, k), v in found.items())
