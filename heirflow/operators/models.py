@@ -6,77 +6,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heirflow.functions.draws import lognormal
+from heirflow.operators.forest import fit_forest, saved_forest  # noqa: F401  (the chance is a forest)
+from heirflow.operators.forest import forest_mean as forest_probability  # noqa: F401
 
-FEATURES = ("age", "married", "income_pctile")
 TERMS = ("one", "m", "a", "a2", "r", "r2", "a_r", "a2_r", "a_r2", "a2_r2")
 
 # E[ln chi-square(1)] (Harvey 1976): what the log of a squared normal residual lies below ln variance.
 _LOG_CHI2_MEAN = -1.2703628454614782
 
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
-
-def fit_forest(
-    df: DataFrame,
-    seed: int,
-    target: str = "has_inheritance",
-    features: Sequence[str] = FEATURES,
-    trees: int = 100,
-    depth: int = 30,
-    min_leaf: int = 50,
-    bins: int = 128,
-    bootstrap: bool = True,
-) -> RandomForestRegressionModel:
-    """Probability forest that looks at all features at each split.
-
-    Regression on 0 and 1 splits like Gini impurity does (their variance is half of it) and keeps
-    the share of 1s of every leaf. MLlib's classifier would merge leaves of the same majority,
-    which for a rare event leaves hardly any.
-
-    128 bins are more than the distinct income ranks, so every split point seen in the
-    rows that MLlib samples for them (about 16,000; the square of ``bins``) is tried.
-    With one tree and no ``bootstrap`` the tree is that of all rows.
-    """
-    forest = RandomForestRegressor(
-        labelCol=target,
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=min_leaf,
-        maxBins=bins,
-        bootstrap=bootstrap,
-        featureSubsetStrategy="all",
-        seed=seed,
-    )
-    rows = _assembled(df.select(*features, F.col(target).cast("double").alias(target)), features)
-    return forest.fit(rows)
-
-
-def forest_probability(
-    df: DataFrame,
-    model: RandomForestRegressionModel,
-    features: Sequence[str] = FEATURES,
-    out: str = "p_inheritance",
-) -> DataFrame:
-    """Mean over trees of the share of 1s in the leaf a record falls into."""
-    scored = model.transform(_assembled(df, features))
-    return scored.withColumn(out, F.col(model.getPredictionCol())).select(*df.columns, out)
-
-
-def saved_forest(df: DataFrame, path: str, estimate: bool, seed: int, **options) -> RandomForestRegressionModel:
-    """Fit and store the forest, or reuse the stored one."""
-    if estimate:
-        fit_forest(df, seed, **options).write().overwrite().save(path)
-    return RandomForestRegressionModel.load(path)
-
-
 def design(married: str = "married", age: str = "age", rank: str = "income_pctile") -> list[Column]:
     """1, married, quadratics in age and rank, and their products, in the order of ``TERMS``.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 from heirflow.functions.arrays import count_below, doubles, integers
 from heirflow.functions.draws import uniform
 from heirflow.functions.nulls import required
-from heirflow.operators.lookup import lookup_join, settle
+from heirflow.operators.lookup import lookup_join, refuse_repeats, settle
 from heirflow.sources.shared import materialise
 
 MAX_BUCKETS = 10_000
-SAMPLE_PER_BUCKET = 500
+#: Bits of a value that the first counting pass looks at (sign, exponent and four of the mantissa), and each later one.
+FIRST_DIGITS, NEXT_DIGITS = 16, 6
 ROWS_PER_BUCKET = 200
+#: Draws of a resample that are broadcast to the rows, and their bytes.
+MAX_SENT_DRAWS = 1_000_000
+MAX_SENT_BYTES = 128 << 20
 
 # Probabilities of the income breaks and labels of the bins between them.
 RANK_PROBS = [i / 100 for i in range(100)] + [0.991, 0.993, 0.995, 0.997, 0.999]
@@ -67,21 +72,72 @@ def cuts_from_percentiles(percentiles: Sequence[float]) -> Cuts:
     return Cuts([*starts, np.inf], [parts[s] for s in starts])
 
 
-def value_cuts(df: DataFrame, value: str, buckets: int) -> Cuts:
-    """Approximate percentiles as limits. They only balance the work; results do not depend on them.
+def with_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add a long that is ordered like the double ``value``: its IEEE bits, negated for negative numbers; null for NaN.
 
-    A table much larger than the number of buckets is sampled for this, so that
-    the summaries that meet in one task stay small however many tasks there are.
+    Exponent and mantissa by exact arithmetic: a logarithm corrected by comparison, and division by a power of 2.
     """
-    values = df.select(F.col(value).cast("double").alias("v"))
-    rows, not_numbers = values.agg(F.count(F.lit(1)), F.count_if(F.isnan("v"))).first()
-    if not_numbers:
-        raise ValueError(f"{not_numbers} values of {value} are NaN")
-    if rows > SAMPLE_PER_BUCKET * buckets:
-        values = values.sample(SAMPLE_PER_BUCKET * buckets / rows, seed=0)
-    probs = [i / buckets for i in range(1, buckets)]
-    found = values.agg(F.percentile_approx("v", probs, max(10_000, 10 * buckets))).first()[0]
-    return cuts_from_percentiles(found if found else [0.0])
+    power = lambda e: F.pow(F.lit(2.0), e)
+    size = F.when(~F.isnan(value), F.abs(F.col(value)))
+    df = df.withColumn("_size", size).withColumn("_e", F.floor(F.log2("_size")).cast("double"))
+    down, up = power(F.col("_e")) > F.col("_size"), power(F.col("_e") + 1) <= F.col("_size")
+    df = df.withColumn("_e", F.greatest(F.col("_e") - down.cast("int") + up.cast("int"), F.lit(-1022.0)))
+    mantissa = (F.col("_size") / power(F.col("_e")) * F.lit(float(1 << 52))).cast("long")
+    bits = (F.col("_e") + 1022).cast("long") * F.lit(1 << 52) + mantissa
+    bits = F.when(F.col("_size") == 0, F.lit(0).cast("long")).when(F.col("_size") == float("inf"), F.lit(0x7FF << 52)).otherwise(bits)
+    return df.withColumn(out, F.when(F.col(value) < 0, -bits).otherwise(bits)).drop("_size", "_e")
+
+
+def value_of_bits(bits: int) -> float:
+    """The double that :func:`with_bits` gives these bits."""
+    size = float(np.array([abs(bits)], np.int64).view(np.float64)[0])
+    return -size if bits < 0 else size
+
+
+def value_cuts(df: DataFrame, value: str, wanted: int = 0, buckets: int | None = None) -> Cuts:
+    """Limits of buckets of about equally many rows, by counting digits; results do not depend on them.
+
+    Rows are counted by the leading ``FIRST_DIGITS`` bits of their value. What holds more than a bucketful is
+    counted again by ``NEXT_DIGITS`` more bits, until it is small or a single value: a fixed number of narrow passes over
+    one column, exact for every distribution, without a sample. A pass brings at most one number for every bucket and digit
+    to the driver. Read ``df`` from storage if it is expensive to compute.
+    """
+    spark = df.sparkSession
+    bits = with_bits(df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL"), "v", "_bits")
+    shift = 64 - FIRST_DIGITS
+    found = [F.count(F.lit(1)).alias("n"), F.min("_bits").alias("least"), F.max("_bits").alias("most"), F.count_if(F.isnan("v")).alias("nan")]
+
+    def counted(rows: DataFrame) -> list:
+        return rows.groupBy(F.shiftright("_bits", shift).alias("digit")).agg(*found).collect()
+
+    parts = counted(bits)
+    if sum(p["nan"] for p in parts):
+        raise ValueError(f"{sum(p['nan'] for p in parts)} values of {value} are NaN")
+    rows = sum(p["n"] for p in parts)
+    buckets = buckets or bucket_count(spark, wanted, rows)
+    full = max(1.0, rows / buckets)
+    settled, heavy = [], parts
+    while True:
+        settled += [p for p in heavy if p["n"] <= full or p["least"] == p["most"]]
+        heavy = [p for p in heavy if p["n"] > full and p["least"] < p["most"]]  # fewer than there are buckets
+        if not heavy:
+            break
+        inside = spark.createDataFrame([(p["digit"],) for p in heavy], "digit long")
+        before, shift = shift, max(0, shift - NEXT_DIGITS)
+        heavy = counted(bits.join(F.broadcast(inside), F.shiftright("_bits", before) == F.col("digit"), "left_semi"))
+    # neighbours are put together up to a bucketful; a value with r bucketfuls of rows comes r times
+    marks, held = [], 0
+    for p in sorted(settled, key=lambda p: p["least"]):
+        hot = int(p["n"] // full) if p["least"] == p["most"] else 0
+        if hot > 1:
+            marks += [value_of_bits(p["least"])] * hot
+            held = 0
+        elif held and held + p["n"] > full:
+            marks.append(value_of_bits(p["least"]))
+            held = p["n"]
+        else:
+            held += p["n"]
+    return cuts_from_percentiles(marks if marks else [0.0])
 
 
 def _locate(df: DataFrame, value: str, limits: Sequence[float], out: str) -> DataFrame:
@@ -131,8 +187,8 @@ def running_weight(
     and with ``value`` two more over that column; store an input that is expensive
     to compute.
     """
+    cuts = value_cuts(df, value, buckets=buckets) if value else None
     buckets = buckets or bucket_count(df.sparkSession)
-    cuts = value_cuts(df, value, buckets) if value else None
     df = df.withColumn("_w", required(F.col(weight).cast("double"), weight))
     if value:
         df = df.withColumn(value, required(F.col(value), value))
@@ -171,12 +227,13 @@ def weighted_rank(
     shuffled; those rows come back as a constant array, in which every other row finds its rank by
     binary search, where it stands.
     """
-    buckets = buckets or bucket_count(df.sparkSession, 10 * steps, df.count())
-    cuts = value_cuts(df, value, buckets)
     narrow = df.select(
         required(F.col(value), value).alias("_v"), required(F.col(weight).cast("double"), weight).alias("_w"),
         *[F.col(k) for k in key], _tie(key).alias("_tie"),
     )
+    narrow = materialise(narrow)  # every later pass reads these columns alone
+    cuts = value_cuts(narrow, "_v", 10 * steps, buckets)
+    buckets = sum(cuts.parts)
     narrow = _in_parts(narrow, "_v", cuts, buckets)
     sums = {r["_bucket"]: r["w"] for r in narrow.groupBy("_bucket").agg(F.sum("_w").alias("w")).collect()}
     ends = np.cumsum([sums.get(b, 0.0) for b in range(max(sums, default=0) + 1)])
@@ -247,13 +304,12 @@ def weighted_quantiles(
     outside the buckets with a wanted position and aren't shuffled.
     """
     by = list(by)
-    df = df.select(
+    df = materialise(df.select(
         *by,
         F.col(value).cast("double").alias("_value"),
         required(F.col(weight).cast("double"), weight).alias("_w"),
-    ).where(F.col("_value").isNotNull() & (F.col("_w") > 0))
-    buckets = buckets or bucket_count(df.sparkSession, 10 * len(probs), df.count())
-    cuts = value_cuts(df, "_value", buckets)
+    ).where(F.col("_value").isNotNull() & (F.col("_w") > 0)))
+    cuts = value_cuts(df, "_value", 10 * len(probs), buckets)
     bucketed = _locate(df, "_value", cuts.limits, "_bucket")
 
     ordered = Window.partitionBy(*by).orderBy("_bucket")
@@ -372,19 +428,23 @@ def weighted_resample(
     seed: int,
     buckets: int | None = None,
     out: str = "draw_id",
+    most_sent: int = MAX_SENT_DRAWS,
 ) -> DataFrame:
     """Exactly ``n`` draws with replacement, chance proportional to ``weight``.
 
     Every draw carries the row it hit, its number ``out`` and the constant weight
-    total / n. A draw is a point on the axis of running weights; rows and points
-    meet in segments that are bounded both in rows and in points, and one sorted
-    pass per segment carries the last row start forward to the points behind it.
+    total / n. A draw is a point on the axis of running weights. Only keys and weights are put in
+    order: keys and points meet in segments that are bounded both in rows and in points, and one sorted
+    pass per segment carries the last row start forward to the points behind it. The (draw, key) pairs, as
+    many as there are draws, then come to the rows: up to ``most_sent`` pairs and ``MAX_SENT_BYTES`` are broadcast, so that rows are
+    repeated where they stand; beyond that both sides are shuffled by key. Repeated keys stop the job.
     """
     spark = df.sparkSession
     buckets = buckets or bucket_count(spark)
     df = df.where(F.col(weight).isNull() | (F.col(weight) > 0))
-    columns = df.columns
-    running = running_weight(df, weight, key, buckets=buckets)
+    keyed = materialise(df.select(*key, weight))
+    refuse_repeats(keyed, key, "the table to draw from")
+    running = running_weight(keyed, weight, key, buckets=buckets)
     total = running.total
     even = np.linspace(0.0, total, buckets + 1)[1:-1].tolist()
     inner = sorted({s for s in [*running.starts, *even] if 0.0 < s < total}) or [total]
@@ -399,7 +459,7 @@ def weighted_resample(
         F.explode(F.sequence("_first", "_last")).alias("_segment"),
         "_at",
         F.lit(0).alias("_kind"),
-        F.struct(*columns).alias("_row"),
+        F.struct(*key).alias("_key"),
     )
     points = spark.range(n).withColumnRenamed("id", out)
     points = points.withColumn("_at", uniform(F.col(out), seed=seed, draw="resample") * F.lit(total))
@@ -410,11 +470,14 @@ def weighted_resample(
         .orderBy("_at", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    hit = F.last("_row", ignorenulls=True).over(so_far)
-    return (
+    drawn = materialise(
         rows.unionByName(points, allowMissingColumns=True)
-        .withColumn("_row", hit)
+        .withColumn("_key", F.last("_key", ignorenulls=True).over(so_far))
         .where(F.col("_kind") == 1)
-        .select(out, "_row.*")
-        .withColumn(weight, F.lit(total / n))
+        .select(out, *[F.col("_key")[k].alias(f"_drawn_{k}") for k in key])
     )
+    size = F.sum(sum((F.octet_length(F.col(f"_drawn_{k}").cast("string")) + 16 for k in key), F.lit(16)))
+    small = n <= most_sent and (drawn.agg(size).first()[0] or 0) <= MAX_SENT_BYTES
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_drawn_{k}")) for k in key])
+    hit = df.join(F.broadcast(drawn) if small else drawn.hint("merge"), same)
+    return hit.select(out, *df.columns).withColumn(weight, F.lit(total / n))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirflow.operators import calibrate, macro, models, projection, reshape, survey
+from heirflow.operators.forest import forest_distribution, load_forest, save_forest
 from heirflow.operators.ordered import (
     RANK_PROBS,
     rank_bins,
@@ -291,8 +292,6 @@ def _stand_in_settings(**changes) -> simulate.Settings:
         last_known=s.LAST_KNOWN,
         years=s.YEARS,
         unit_age_cap=80,
-        trees=10,
-        depth=8,
         brackets=s.BRACKETS,
         exemptions=s.EXEMPTIONS,
         added=s.ADDED,
@@ -329,15 +328,15 @@ def hurdle_value_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample, c = _sample(spark, sf_dir)
     forest = models.saved_forest(
-        sample, fresh_path(spark, "forest"), True, c.seed, trees=c.trees, depth=c.depth
+        sample, fresh_path(spark, "forest"), True, c.seed, trees=c.trees, depth=c.depth, min_leaf=c.min_leaf
     )
     scored = models.forest_probability(_scoring_units(spark, sf_dir, c), forest)
-    return scored.select("id", "p_inheritance")
+    return _rounded(scored.select("id", "p_inheritance"), p_inheritance=8)
 
 
 def _one_tree(sample: DataFrame, c: simulate.Settings):
     """A single tree on all rows with every split point, as SQL can spell it out."""
-    return models.fit_forest(sample, c.seed, trees=1, depth=TREE_DEPTH, min_leaf=c.min_leaf, bins=2048, bootstrap=False)
+    return models.fit_forest(sample, c.seed, trees=1, depth=TREE_DEPTH, min_leaf=c.min_leaf, bootstrap=False)
 
 
 def tree_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +345,25 @@ def tree_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored.select("id", "p_inheritance"), p_inheritance=8)
 
 
+def reloaded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances from a tree that was stored and read back."""
+    sample, c = _sample(spark, sf_dir)
+    path = fresh_path(spark, "tree")
+    save_forest(_one_tree(sample, c), path)
+    scored = models.forest_probability(_scoring_units(spark, sf_dir, c), load_forest(spark, path))
+    return _rounded(scored.select("id", "p_inheritance"), p_inheritance=8)
+
+
+def tree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, quantiles and share above a bound of the amounts in each unit's leaf of the single tree."""
+    sample, c = _sample(spark, sf_dir)
+    units = _scoring_units(spark, sf_dir, c).select("id", "age", "married", "income_pctile")
+    found = forest_distribution(
+        units, _one_tree(sample, c), sample, "has_inheritance", "inheritance", s.DISTRIBUTION_PROBS, [s.DISTRIBUTION_BOUND]
+    ).drop("age", "married", "income_pctile")
+    return _rounded(found, **{c: 8 if c.startswith("above") else 4 for c in found.columns if c != "id"})
+
+
 def tree_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both parts of the model and the alignment between them, with the single tree."""
     sample, c = _sample(spark, sf_dir)
@@ -358,14 +376,17 @@ def tree_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, simulate.Settings]:
     sample, c = _sample(spark, sf_dir)
-    forest = models.fit_forest(sample, c.seed, trees=c.trees, depth=c.depth)
+    forest = models.fit_forest(sample, c.seed, trees=c.trees, depth=c.depth, min_leaf=c.min_leaf)
     scored = simulate.score_units(_scoring_units(spark, sf_dir, c), sample, forest, c)
     return scored, sample, c
 
 
 def hurdle_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _, _ = _scored(spark, sf_dir)
-    return scored.select("id", "p_inheritance", "mu_pred", "sigma_pred", "inheritance")
+    return _rounded(
+        scored.select("id", "p_inheritance", "mu_pred", "sigma_pred", "inheritance"),
+        p_inheritance=8, mu_pred=6, sigma_pred=6, inheritance=2,
+    )
 
 
 def calibrated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,6 +456,8 @@ QUERIES: dict[str, Query] = {
     "hurdle_value_model": hurdle_value_model,
     "forest_probability": forest_probability,
     "tree_probability": tree_probability,
+    "reloaded_tree": reloaded_tree,
+    "tree_distribution": tree_distribution,
     "tree_impute": tree_impute,
     "hurdle_impute": hurdle_impute,
     "calibrated_summary": calibrated_summary,

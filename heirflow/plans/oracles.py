@@ -7,6 +7,7 @@ ones it needs. Orders, sums and quantiles are spelled out the plain way here
 
 from __future__ import annotations
 
+from heirflow.operators.forest import EXACT_COUNT, poisson_limits
 from heirflow.operators.ordered import RANK_LABELS, RANK_PROBS
 from heirflow.plans import standins as s
 
@@ -470,7 +471,7 @@ def _gini(n: str, pos: str) -> str:
     return f"(1e0 - pow({pos} / {n}, 2) - pow(({n} - {pos}) / {n}, 2))"
 
 
-def _tree(depth: int = 3, least: int = 50) -> dict[str, str]:
+def _tree(depth: int = 3, least: int = 50, carried: str = "") -> dict[str, str]:
     """One classification tree on ``sampled``; ``scored_p`` has the share of 1s of each unit's leaf.
 
     Splits lie half way between neighbouring values of all rows; of equal gains the first one in the
@@ -479,7 +480,7 @@ def _tree(depth: int = 3, least: int = 50) -> dict[str, str]:
     features = ("CAST(age AS DOUBLE)", "CAST(married AS DOUBLE)", "income_pctile")
     pick = "CASE b.f " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(features)) + " END"
     ctes = {
-        "level0": "SELECT age, married, income_pctile, has_inheritance AS y, 1 AS node FROM sampled",
+        "level0": f"SELECT age, married, income_pctile, has_inheritance AS y, {carried} 1 AS node FROM sampled",
         "walk0": "SELECT *, 1 AS node FROM features",
         "places": "SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM ("
         + " UNION ".join(f"SELECT {i} AS f, {f} AS v FROM level0" for i, f in enumerate(features)) + ")",
@@ -511,6 +512,97 @@ def _tree(depth: int = 3, least: int = 50) -> dict[str, str]:
     return ctes
 
 
+def _poisson(key: str, seed: int, n: str = "n") -> str:
+    """Keyed Poisson number with mean ``n``: from its distribution up to a bound, by the normal beyond."""
+    u, z = _u(key, seed, "bootstrap"), (
+        f"(sqrt(-2e0 * ln(1e0 - {_u(key, seed, 'bootstrap1')})) * cos(2e0 * pi() * {_u(key, seed, 'bootstrap2')}))"
+    )
+    limits = "[" + ", ".join(_list(poisson_limits(k)) for k in range(1, EXACT_COUNT + 1)) + "]"
+    return (
+        f"CASE WHEN {n} <= {EXACT_COUNT} THEN len(list_filter(list_transform(({limits})[{n}], lambda x: x - {u}), lambda x: x <= 0))"
+        f" ELSE greatest(floor({n} + sqrt({n}) * {z} + ({z} * {z} - 1e0) / 6e0 + 0.5e0), 0) END"
+    )
+
+
+def _forest(trees: int = 100, depth: int = 30, least: int = 50) -> dict[str, str]:
+    """``scored_p``: mean over keyed trees of the share of 1s in each unit's leaf.
+
+    The cells of all trees go down together, a level a step; cells of units weigh nothing and only follow the splits.
+    """
+    where = "CASE b.f WHEN 0 THEN x.f0 WHEN 1 THEN x.f1 ELSE x.f2 END"
+    columns = " UNION ALL ".join(f"SELECT tree, node, {i} AS f, f{i} AS v, w, s FROM forest_walk" for i in range(3))
+
+    def impurity(n: str, s: str) -> str:
+        return f"({s} / {n} - ({s} / {n}) * ({s} / {n}))"
+
+    gain = (
+        f"{impurity('n', 's')} - nl / n * {impurity('nl', 'sl')} - (n - nl) / n * {impurity('(n - nl)', '(s - sl)')}"
+    )
+    cells = "CAST(age AS DOUBLE) AS f0, CAST(married AS DOUBLE) AS f1, income_pctile AS f2"
+    return {
+        "atoms": f"SELECT {cells}, CAST(has_inheritance AS DOUBLE) AS y, count(*) AS n FROM sampled GROUP BY ALL",
+        "forest_cells": f"""
+            SELECT tree, f0, f1, f2, CAST(sum(w) AS DOUBLE) AS w, CAST(sum(w * y) AS DOUBLE) AS s FROM (
+                SELECT tree, f0, f1, f2, y, {_poisson("f0, f1, f2, y, tree", s.SEED)} AS w
+                FROM atoms, (SELECT CAST(range AS INTEGER) AS tree FROM range({trees}))
+                UNION ALL SELECT DISTINCT tree, {cells}, 0e0, 0e0 FROM features, (SELECT CAST(range AS INTEGER) AS tree FROM range({trees})))
+            GROUP BY ALL""",
+        "forest_places": "SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM ("
+        + " UNION ".join(f"SELECT {i} AS f, f{i} AS v FROM atoms" for i in range(3)) + ")",
+        "forest_walk": f"""
+            SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS d, f0, f1, f2, w, s FROM forest_cells
+            UNION ALL
+            SELECT x.tree, 2 * x.node + CASE WHEN {where} <= b.cut THEN 0 ELSE 1 END, x.d + 1, x.f0, x.f1, x.f2, x.w, x.s
+            FROM forest_walk x JOIN (
+                SELECT tree, node, f, cut FROM (
+                    SELECT *, round({gain}, 14) AS gain FROM (
+                        SELECT h.*, p.cut, sum(hn) OVER upto AS nl, sum(hs) OVER upto AS sl, sum(hn) OVER whole AS n, sum(hs) OVER whole AS s
+                        FROM (SELECT tree, node, f, v, sum(w) AS hn, sum(s) AS hs FROM ({columns}) GROUP BY ALL) h
+                        LEFT JOIN forest_places p ON h.f = p.f AND h.v = p.v
+                        WINDOW upto AS (PARTITION BY tree, node, h.f ORDER BY h.v), whole AS (PARTITION BY tree, node, h.f))
+                    WHERE cut IS NOT NULL AND nl >= {least} AND n - nl >= {least})
+                WHERE gain > 1e-15
+                QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, cut) = 1
+            ) b ON x.tree = b.tree AND x.node = b.node WHERE x.d < {depth}""",
+        "forest_nodes": "SELECT tree, node, sum(s) / sum(w) AS p FROM forest_walk GROUP BY ALL",
+        "forest_leaves": "SELECT tree, f0, f1, f2, arg_max(node, d) AS node FROM forest_walk GROUP BY ALL",
+        "forest_mean": """
+            SELECT f0, f1, f2, avg(p) AS p FROM forest_leaves l JOIN forest_nodes n ON l.tree = n.tree AND l.node = n.node
+            GROUP BY ALL""",
+        "scored_p": """
+            SELECT x.*, p FROM features x JOIN forest_mean m ON x.age = m.f0 AND x.married = m.f1 AND x.income_pctile = m.f2""",
+    }
+
+
+def _forest_probability() -> str:
+    sql = _with(
+        "SELECT id, round(p, 8) AS p_inheritance FROM scored_p",
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
+        extra={**_model_ctes(), **_forest()},
+    )
+    return _recursive(sql)
+
+
+def _tree_distribution(bound: float, probs: tuple[float, ...], depth: int = 3) -> str:
+    """Mean, quantiles and share above a bound of the amounts in each unit's leaf."""
+    quantiles = ", ".join(f"round(min(amount) FILTER (cum >= {p!r}::DOUBLE - 1e-12), 4) AS q{i}" for i, p in enumerate(probs))
+    ctes = {
+        **_model_ctes(), **_tree(depth, carried="inheritance AS amount,"),
+        "shares": f"SELECT node, amount, count(*) / sum(count(*)) OVER (PARTITION BY node) AS share FROM level{depth} GROUP BY node, amount",
+        "reached": "SELECT *, sum(share) OVER (PARTITION BY node ORDER BY amount) AS cum FROM shares",
+        "answers": f"""
+            SELECT node, round(sum(amount * share), 4) AS mean, {quantiles},
+                   round(coalesce(sum(share) FILTER (amount > {_d(bound)}), 0), 8) AS above0
+            FROM reached GROUP BY node""",
+    }
+    sql = _with(
+        f"SELECT w.id, a.* EXCLUDE (node) FROM walk{depth} w JOIN answers a USING (node)",
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
+        extra=ctes,
+    )
+    return _recursive(sql)
+
+
 def _tree_probability() -> str:
     sql = _with(
         "SELECT id, round(p, 8) AS p_inheritance FROM scored_p",
@@ -520,12 +612,13 @@ def _tree_probability() -> str:
     return _recursive(sql)
 
 
-def _tree_impute() -> str:
+def _impute_ctes(scoring: dict[str, str]) -> dict[str, str]:
+    """Chances of ``scoring`` raked to the sample, and lognormal amounts: ``imputed``."""
     z = (
         f"(sqrt(-2e0 * ln(1e0 - {_u('id', s.FIT_SEED, 'z1')})) * cos(2e0 * pi() * {_u('id', s.FIT_SEED, 'z2')}))"
     )
-    ctes = {
-        **_model_ctes(), **_tree(),
+    return {
+        **_model_ctes(), **scoring,
         "wanted": f"""
             SELECT married, age // 5 * 5 AS age_group, sum(has_inheritance * weight) / {len(s.WAVES)}e0 AS actual
             FROM drawn GROUP BY ALL""",
@@ -533,15 +626,21 @@ def _tree_impute() -> str:
         "amounts": f"""
             SELECT scored.id, {_predicted('mu_fit')} AS mu, sqrt(exp({_predicted('sigma_fit')})) AS sigma
             FROM scored, mu_fit, sigma_fit""",
-    }
-    sql = _with(
-        f"""SELECT x.id, round(p * coalesce(actual / mass, 1e0), 8) AS p_inheritance, round(mu, 6) AS mu_pred,
-                   round(sigma, 6) AS sigma_pred, round(exp(mu + sigma * {z.replace('id', 'x.id')}), 2) AS inheritance
+        "imputed": f"""
+            SELECT x.*, p * coalesce(actual / mass, 1e0) AS p_inheritance, mu, sigma, exp(mu + sigma * {z.replace('id', 'x.id')}) AS inheritance
             FROM scored_p x JOIN amounts a ON x.id = a.id
             LEFT JOIN masses m ON x.married = m.married AND x.age // 5 * 5 = m.age_group
             LEFT JOIN wanted w ON x.married = w.married AND x.age // 5 * 5 = w.age_group""",
+    }
+
+
+def _impute(scoring: dict[str, str]) -> str:
+    sql = _with(
+        """SELECT id, round(p_inheritance, 8) AS p_inheritance, round(mu, 6) AS mu_pred, round(sigma, 6) AS sigma_pred,
+                  round(inheritance, 2) AS inheritance
+           FROM imputed""",
         "summary", "training", "demographic_factor", "asset_factor", "incomes",
-        extra=ctes,
+        extra=_impute_ctes(scoring),
     )
     return _recursive(sql)
 
@@ -549,7 +648,7 @@ def _tree_impute() -> str:
 def _recursive(sql: str) -> str:
     """Allow the two solvers to refer to themselves."""
     sql = sql.replace("WITH ", "WITH RECURSIVE ", 1)
-    for name in ("mu_steps", "sigma_steps"):
+    for name in ("mu_steps", "sigma_steps", "forest_walk"):
         sql = sql.replace(f"{name} AS MATERIALIZED", f"{name} AS")
     return sql
 
@@ -739,7 +838,11 @@ def all_sql() -> dict[str, str]:
         ),
         "hurdle_value_model": _value_model(),
         "tree_probability": _tree_probability(),
-        "tree_impute": _tree_impute(),
+        "reloaded_tree": _tree_probability(),
+        "tree_distribution": _tree_distribution(s.DISTRIBUTION_BOUND, s.DISTRIBUTION_PROBS),
+        "tree_impute": _impute(_tree()),
+        "forest_probability": _forest_probability(),
+        "hurdle_impute": _impute(_forest()),
         "impute_amounts": _with("SELECT id, p_inheritance, inheritance FROM imputed", "imputed"),
         "rake_targets": _with(
             "SELECT married, age_group, round(actual, 6) AS actual FROM targets", "targets"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirflow.operators import calibrate, macro, models, projection, survey
+from heirflow.operators.forest import Forest
 from heirflow.operators.lookup import settled
 from heirflow.operators.ordered import rank_bins, weighted_resample
 from heirflow.operators.reshape import demographic_long, duplicate
@@ -94,7 +94,7 @@ def training_sample(table: DataFrame, s: Settings) -> DataFrame:
 def score_units(
     units: DataFrame,
     sample: DataFrame,
-    forest: RandomForestRegressionModel,
+    forest: Forest,
     s: Settings,
 ) -> DataFrame:
     """Raked chance and lognormal amount for each unit of ``unit_features``."""

@@ -28,6 +28,9 @@ TIMING = (
 )
 SEED = 123
 FIT_SEED = 8
+# What is asked of the distribution of amounts in a leaf.
+DISTRIBUTION_PROBS = (0.5, 0.75, 0.9, 0.99)
+DISTRIBUTION_BOUND = 20_000.0
 HEIRS = 2.8
 EXEMPTIONS = {"baseline": 7.2e5, "reform": 1.5e6}
 EDGES = (5e5, 1e6, 2e6, 5e6)
