@@ -398,7 +398,10 @@ def calibrated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     final = simulate.calibrate_units(scored, sample, replace(c, brackets=tuple(small)))
     exemptions = {name: e / 20 for name, e in c.exemptions.items()}
-    return calibrate.bracket_summary(final, exemptions, [e / 20 for e in s.EDGES], c.heirs)
+    found = calibrate.bracket_summary(final, exemptions, [e / 20 for e in s.EDGES], c.heirs)
+    return _rounded(found, **{
+        m: 7 if m.startswith("amount") or m == "inheritances" else 4 for m in found.columns if m != "gross_estate_group"
+    })
 
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,8 @@ def _promotion(state: str, out: str, n: int, low: str, average: str, deficit: st
     }
 
 
-def _calibration() -> str:
+def _calibration_ctes(scale: float = 1.0) -> dict[str, str]:
+    """``s0`` to the last bracket's state, from ``imputed``; brackets divided by ``scale``."""
     h = _d(s.HEIRS)
     ctes = {
         "s0": f"""
@@ -302,8 +303,8 @@ def _calibration() -> str:
             FROM imputed"""
     }
     for n, b in enumerate(s.BRACKETS, start=1):
-        low, average = f"({_d(b.low)} / {h})", f"({_d(b.average)} / {h})"
-        high = "" if b.high is None else f" AND v < ({_d(b.high)} / {h})"
+        low, average = f"({_d(b.low / scale)} / {h})", f"({_d(b.average / scale)} / {h})"
+        high = "" if b.high is None else f" AND v < ({_d(b.high / scale)} / {h})"
         target = f"({_d(b.count)} * {_SIZE} * {h})"
         before = f"s{n - 1}"
         inside = f"(v >= {low}{high})"
@@ -324,11 +325,15 @@ def _calibration() -> str:
             f"(SELECT CASE WHEN k > 0 AND {target} - c > 1e-9 * {target} THEN {target} - c END FROM after{n})"
         )
         ctes.update(_promotion(f"scaled{n}", f"s{n}", n, low, average, deficit))
+    return ctes
+
+
+def _calibration() -> str:
     return _with(
         "SELECT id, w AS weight, round(p, 8) AS p_inheritance, round(v, 2) AS inheritance "
         f"FROM s{len(s.BRACKETS)}",
         "imputed",
-        extra=ctes,
+        extra=_calibration_ctes(),
     )
 
 
@@ -355,27 +360,53 @@ def _tax(value: str, exemption: str) -> str:
     return f"(greatest(0e0, {value} * {h} - {exemption}) * 0.4e0 / {h})"
 
 
-def _report() -> str:
+def _report_body(source: str = "imputed", scale: float = 1.0, digits: int = 6) -> str:
     gross = f"inheritance * {_d(s.HEIRS)}"
-    groups = " ".join(f"WHEN {gross} < {_d(e)} THEN {i}" for i, e in enumerate(s.EDGES, start=1))
+    groups = " ".join(f"WHEN {gross} < {_d(e / scale)} THEN {i}" for i, e in enumerate(s.EDGES, start=1))
     mass = "p_inheritance * weight"
     measures = [
-        f"round(sum({mass}), 6) AS n_inheritances",
-        f"round(sum(inheritance * ({mass})) / 1e9, 9) AS inheritances",
+        f"round(sum({mass}), {digits}) AS n_inheritances",
+        f"round(sum(inheritance * ({mass})) / 1e9, {digits + 3}) AS inheritances",
     ]
     for name, exemption in s.EXEMPTIONS.items():
-        tax = _tax("inheritance", _d(exemption))
+        tax = _tax("inheritance", _d(exemption / scale))
         payers = f"sum(CASE WHEN {tax} > 0 THEN {mass} ELSE 0e0 END)"
         measures += [
-            f"round(sum({tax} * ({mass})) / 1e9, 9) AS amount_{name}",
-            f"round({payers}, 6) AS count_heirs_{name}",
-            f"round({payers} / {_d(s.HEIRS)}, 6) AS count_estates_{name}",
+            f"round(sum({tax} * ({mass})) / 1e9, {digits + 3}) AS amount_{name}",
+            f"round({payers}, {digits}) AS count_heirs_{name}",
+            f"round({payers} / {_d(s.HEIRS)}, {digits}) AS count_estates_{name}",
         ]
-    return _with(
+    return (
         f"SELECT CASE {groups} ELSE {len(s.EDGES) + 1} END AS gross_estate_group, {', '.join(measures)} "
-        "FROM imputed GROUP BY 1",
-        "imputed",
+        f"FROM {source} GROUP BY 1"
+    )
+
+
+def _report() -> str:
+    return _with(_report_body(), "imputed")
+
+
+def _calibrated_summary(scale: float = 20.0) -> str:
+    """The report on the whole chain: forest, raking, amounts, matched quantiles, brackets."""
+    scored = _impute_ctes(_forest())
+    scored["scored_units"] = scored.pop("imputed")
+    ctes = {
+        **scored,
+        "imputed_": "SELECT id, weight, p_inheritance, inheritance FROM scored_units",
+        **_match_ctes("sampled", "imputed_"),
+        "ranked": _RANKED.replace("FROM imputed", "FROM imputed_"),
+        "matched": """
+            SELECT x.id, x.weight, x.p_inheritance, x.inheritance * f.factor AS inheritance
+            FROM imputed_ x JOIN ranked r ON x.id = r.id LEFT JOIN factors f ON r.rank = f.rank""",
+        **{n: q.replace("FROM imputed", "FROM matched") for n, q in _calibration_ctes(scale).items()},
+        "final": f"SELECT w AS weight, p AS p_inheritance, v AS inheritance FROM s{len(s.BRACKETS)}",
+    }
+    sql = _with(
+        _report_body("final", scale, 4),
+        "summary", "training", "demographic_factor", "asset_factor", "incomes",
+        extra=ctes,
     )
+    return _recursive(sql)
 
 
 def _projection() -> str:
@@ -703,12 +734,12 @@ def _value_model() -> str:
     return _recursive(sql)
 
 
-def _match_ctes() -> dict[str, str]:
+def _match_ctes(actual: str = "training", predicted: str = "imputed") -> dict[str, str]:
     grid = "list_transform(range(0, 1001), lambda x: x / 1000e0)"
     return {
-        "actual_rows": "SELECT inheritance, 1e0 AS w FROM training WHERE inheritance > 0",
+        "actual_rows": f"SELECT inheritance, 1e0 AS w FROM {actual} WHERE inheritance > 0",
         **_renamed(_quantiles("actual_rows", "inheritance", "w", grid), "a_"),
-        "predicted_rows": "SELECT inheritance, weight * p_inheritance AS w FROM imputed WHERE inheritance > 0",
+        "predicted_rows": f"SELECT inheritance, weight * p_inheritance AS w FROM {predicted} WHERE inheritance > 0",
         **_renamed(_quantiles("predicted_rows", "inheritance", "w", grid), "p_"),
         "factors": """
             SELECT CAST(a.i AS INTEGER) AS rank, a.q AS actual, p.q AS predicted, a.q / p.q AS factor
@@ -843,6 +874,7 @@ def all_sql() -> dict[str, str]:
         "tree_impute": _impute(_tree()),
         "forest_probability": _forest_probability(),
         "hurdle_impute": _impute(_forest()),
+        "calibrated_summary": _calibrated_summary(),
         "impute_amounts": _with("SELECT id, p_inheritance, inheritance FROM imputed", "imputed"),
         "rake_targets": _with(
             "SELECT married, age_group, round(actual, 6) AS actual FROM targets", "targets"
