@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heirflow.functions.arrays import double_literal, doubles
+from heirflow.functions.arrays import count_below, double_literal, doubles
 from heirflow.functions.draws import normal, uniform
 from heirflow.functions.nulls import required
 from heirflow.operators.lookup import lookup_join
@@ -52,14 +52,18 @@ def poisson_limits(count: int) -> list[float]:
     return out
 
 
-def poisson(count: Column, *key: Column, seed: int) -> Column:
-    """Poisson number with mean ``count`` (a whole number), keyed."""
-    limits = F.array(*[doubles(poisson_limits(n)) for n in range(1, EXACT_COUNT + 1)])
-    u = uniform(*key, seed=seed, draw="bootstrap")
-    exact = F.size(F.filter(F.get(limits, (count - 1).cast("int")), lambda x: x <= u))
-    z, n = normal(*key, seed=seed, draw="bootstrap"), count.cast("double")
+def with_poisson(df: DataFrame, count: str, key: Sequence[str], seed: int, out: str) -> DataFrame:
+    """Add a Poisson number with mean ``count`` (a whole number from 1), keyed."""
+    columns = [F.col(k) for k in key]
+    limits = [poisson_limits(n) for n in range(1, EXACT_COUNT + 1)]
+    table = F.array(*[doubles(x) for x in limits])
+    df = df.withColumn("_u", uniform(*columns, seed=seed, draw="bootstrap"))
+    df = df.withColumn("_limits", F.get(table, F.least(F.col(count), F.lit(EXACT_COUNT)).cast("int") - 1))
+    df = count_below(df, F.col("_u"), F.col("_limits"), max(map(len, limits)), "_below")
+    z, n = normal(*columns, seed=seed, draw="bootstrap"), F.col(count).cast("double")
     wide = F.greatest(F.floor(n + F.sqrt(n) * z + (z * z - F.lit(1.0)) / F.lit(6.0) + F.lit(0.5)), F.lit(0))
-    return F.when(count <= EXACT_COUNT, exact).otherwise(wide).cast("long")
+    number = F.when(F.col(count) <= EXACT_COUNT, F.col("_below")).otherwise(wide)
+    return df.withColumn(out, number.cast("long")).drop("_u", "_limits", "_below")
 
 
 @dataclass(frozen=True)
@@ -82,40 +86,59 @@ def _weights(counted: DataFrame, key: Sequence[str], trees: int, seed: int, boot
     each = counted.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     if not bootstrap:
         return each.withColumn("_w", F.col("_n"))
-    return each.withColumn("_w", poisson(F.col("_n"), *[F.col(k) for k in key], F.col("tree"), seed=seed))
+    return with_poisson(each, "_n", [*key, "tree"], seed, "_w")
 
 
 def _grown(
-    codes: list[np.ndarray], cuts: list[np.ndarray], sums: np.ndarray, depth: int, min_leaf: int, scale: float
-) -> list[tuple[int, int | None, float | None, float, float]]:
-    """(node, feature, cut, weight, mean) of a tree; ``sums`` has the weight, sum and sum of squares of every cell."""
+    codes: np.ndarray, cuts: list[np.ndarray], sums: np.ndarray, depth: int, min_leaf: int, scale: float
+) -> pd.DataFrame:
+    """Nodes of a tree, a level at a time; ``sums`` has the weight, sum and sum of squares of every cell,
+    ``codes`` the place of its features among all values."""
 
     def impurity(n, s, q):
         return q / n - (s / n) ** 2
 
-    out, open_ = [], [(1, 0, np.arange(sums.shape[1]))]
-    while open_:
-        node, level, cells = open_.pop()
-        own = sums[:, cells]
-        n, s, q = own.sum(1)
-        best = (1e-15, None, None)
-        if level < depth and n >= 2 * min_leaf:
-            for f, code in enumerate(codes):
-                left = np.cumsum([np.bincount(code[cells], x, len(cuts[f]) + 1) for x in own], axis=1)[:, :-1]
-                fits = np.flatnonzero((left[0] >= min_leaf) & (n - left[0] >= min_leaf))
-                if len(fits):
-                    nl, sl, ql = left[:, fits]
-                    gain = impurity(n, s, q) - nl / n * impurity(nl, sl, ql) - (n - nl) / n * impurity(n - nl, s - sl, q - ql)
-                    gain = np.round(gain / scale, GAIN_DIGITS)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (gain[k], f, int(fits[k]))
-        _, f, place = best
-        out.append((node, f, None if f is None else float(cuts[f][place]), float(n), float(s / n) if n else 0.0))
-        if f is not None:
-            low = codes[f][cells] <= place
-            open_ += [(2 * node, level + 1, cells[low]), (2 * node + 1, level + 1, cells[~low])]
-    return out
+    out = []
+    cells, node = np.arange(sums.shape[1]), np.ones(sums.shape[1], np.int64)
+    for level in range(depth + 1):
+        ids, inside = np.unique(node, return_inverse=True)
+        total = np.array([np.bincount(inside, x[cells]) for x in sums])
+        best, feature, place = np.full(len(ids), 1e-15), np.full(len(ids), -1), np.zeros(len(ids), int)
+        for f in range(len(codes)) if level < depth else ():
+            # sums of each value in each node, running within the node
+            order = np.argsort(inside * (len(cuts[f]) + 1) + codes[f, cells], kind="stable")
+            owner, code = inside[order], codes[f, cells][order]
+            last = np.append((owner[1:] != owner[:-1]) | (code[1:] != code[:-1]), True)
+            running = np.cumsum(sums[:, cells[order]], axis=1)[:, last]
+            owner, code = owner[last], code[last]
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            before = np.concatenate([np.zeros((3, 1)), running[:, heads[1:] - 1]], axis=1)
+            nl, sl, ql = running - before[:, owner]
+            n, s, q = total[:, owner]
+            fits = (nl >= min_leaf) & (n - nl >= min_leaf) & (code < len(cuts[f]))
+            gain = np.full(len(owner), -np.inf)
+            n, s, q, nl, sl, ql = (x[fits] for x in (n, s, q, nl, sl, ql))
+            gain[fits] = np.round(
+                (impurity(n, s, q) - nl / n * impurity(nl, sl, ql) - (n - nl) / n * impurity(n - nl, s - sl, q - ql)) / scale,
+                GAIN_DIGITS,
+            )
+            most = np.maximum.reduceat(gain, heads)
+            first = np.flatnonzero(gain == most[owner])
+            first = first[np.unique(owner[first], return_index=True)[1]]
+            better = most > best
+            best[better], feature[better], place[better] = most[better], f, code[first][better]
+        split = feature >= 0
+        cut = np.array([cuts[f][k] if f >= 0 else np.nan for f, k in zip(feature.tolist(), place.tolist())])
+        mean = np.divide(total[1], total[0], out=np.zeros(len(ids)), where=total[0] > 0)
+        out.append(pd.DataFrame({
+            "node": ids, "feature": pd.array(np.where(split, feature, 0), "Int32"), "cut": cut, "weight": total[0], "mean": mean,
+        }).assign(feature=lambda x: x["feature"].mask(~split)))
+        going = split[inside]
+        cells, node, inside = cells[going], node[going], inside[going]
+        if not len(cells):
+            break
+        node = 2 * node + (codes[feature[inside], cells] > place[inside])
+    return pd.concat(out)
 
 
 def fit_forest(
@@ -158,11 +181,9 @@ def fit_forest(
 
     def grow(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(features)
-        codes = [np.searchsorted(places[f], found[f].to_numpy()) for f in features]
-        rows = _grown(codes, cuts, found[["w", "s", "q"]].to_numpy(float).T, depth, min_leaf, scale)
-        out = pd.DataFrame(rows, columns=["node", "feature", "cut", "weight", "mean"])
-        out.insert(0, "tree", key[0])
-        return out.astype({"feature": "Int32"})
+        codes = np.array([np.searchsorted(places[f], found[f].to_numpy()) for f in features])
+        nodes = _grown(codes, cuts, found[["w", "s", "q"]].to_numpy(float).T, depth, min_leaf, scale)
+        return nodes.assign(tree=np.int32(key[0]))[["tree", "node", "feature", "cut", "weight", "mean"]]
 
     nodes = sums.groupBy("tree").applyInPandas(grow, NODES)
     return Forest(materialise(nodes), tuple(features), seed, bootstrap)

@@ -97,7 +97,7 @@ def test_bootstrapped_distribution_agrees_with_the_mean(data, tmp_path):
 
 @pytest.mark.parametrize("count", [1, 3, 16, 17, 400])
 def test_poisson(spark, count):
-    drawn = spark.range(20_000).select(forest.poisson(F.lit(count).cast("long"), F.col("id"), seed=2).alias("w"))
+    drawn = forest.with_poisson(spark.range(20_000).withColumn("n", F.lit(count)), "n", ["id"], 2, "w").select("w")
     mean, variance, third = drawn.agg(F.avg("w"), F.variance("w"), F.skewness("w")).first()
     assert abs(mean - count) < 5 * math.sqrt(count / 20_000)
     assert variance == pytest.approx(count, rel=0.06) and third == pytest.approx(1 / math.sqrt(count), abs=0.08)
