@@ -293,13 +293,17 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame
     forget(kept)
     leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "f"))["f"].alias("y"))
     members = weighed.select("sig", "f", "upper")
-    # the few sets whose f is not theirs alone are all compared
+    # the few sets whose f is not theirs alone are all compared, also with each other
     sketched = classes.select("f", F.struct("c", "n", "sketch").alias("x"))
-    tried = (
+    ends = F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")
+    stars = (
         members.join(grows(leaders), "sig").where("f <> y").select(F.least("f", "y").alias("a"), F.greatest("f", "y").alias("b")).distinct()
         .join(grows(sketched.withColumnsRenamed({"f": "a"})), "a").join(grows(sketched.withColumnsRenamed({"f": "b", "x": "y"})), "b")
-        .where(_close("x", "y", percent)).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        .where(_close("x", "y", percent)).select(*ends)
     )
+    same = sketched.join(sketched.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("f"), "f", "left_semi")
+    namesakes = same.join(same.withColumnsRenamed({"x": "y"}), "f").where((F.col("x.c") < F.col("y.c")) & _close("x", "y", percent))
+    tried = stars.union(namesakes.select(*ends)).distinct()
     tried = stored(tried, "jaccard-stars")
     links = _proven(tried, docs, classes, size, percent)
     labels = components(links)

@@ -16,7 +16,7 @@ from a hint every 256 set bits and a scan of a few bytes.
 
 Encoding: the byte-level split never joins a non-blank with a blank that follows, so words between
 single blanks are encoded once by the tokenizers library and kept in a bounded dictionary; texts in
-which two blanks meet go to the library whole. Tests hold both against whole texts.
+which two blanks meet or that hold the literal of an added token go to the library whole. Tests hold both against whole texts.
 
 Defined cases: a null text is an empty one (the end id alone); null ``doc_id`` rows come first;
 rows with equal ``doc_id`` are ordered by their text; an empty table gives no segment.
@@ -116,7 +116,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, literals))) if literals else None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -164,7 +165,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > MAX_WORDS // 2:
             self.words, self.older = {}, self.words
-        split = [None if _BLANKS_MEET.search(t) else t.split(" ") for t in texts]
+        whole = [_BLANKS_MEET.search(t) or (self.added and self.added.search(t)) for t in texts]
+        split = [None if w else t.split(" ") for w, t in zip(whole, texts)]
         fresh: set[str] = set()
         for words in split:
             if words and len(words) > 1:

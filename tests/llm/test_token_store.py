@@ -10,9 +10,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 3000])
@@ -55,3 +53,7 @@ def test_small_segments_and_empty(docs, no_docs, spark, tmp_path):
     key = lambda p: sorted((r.start, bytes(r.ids)) for r in store.read_tokens(spark, p).collect())
     assert key(whole) == key(cut)
     assert store.token_report(no_docs, none, PATH).count() == 0
+
+
+def test_clashing_columns(clashing, tmp_path):
+    assert store.token_report(clashing, str(tmp_path / "t"), PATH).count() == clashing.count()
