@@ -56,6 +56,16 @@ def scenario_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stored, inheritance=2, estate_tax_liability=2)
 
 
+def scenario_sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells, of which one year is written again with other amounts."""
+    path = sinks.run_folder(fresh_path(spark, "scenarios"), "run1")
+    projected = _projected(spark, sf_dir)
+    sinks.write_scenarios(projected, path)
+    again = projected.where(F.col("year") == s.RERUN_YEAR).withColumn("inheritance", F.col("inheritance") * 2)
+    sinks.rewrite_cells(again, path)
+    return _rounded(sinks.read_scenarios(spark, path), inheritance=2, estate_tax_liability=2)
+
+
 def multi_source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     economic = s.economic(spark, sf_dir)
     projections = economic.where("year >= 1999")
@@ -416,9 +426,12 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "scenario_sink_roundtrip": scenario_sink_roundtrip,
+    "scenario_sink_rerun": scenario_sink_rerun,
     "multi_source_union": multi_source_union,
     "macro_files_read": files.macro_files_read,
     "survey_files_read": files.survey_files_read,
+    "survey_table_read": files.survey_table_read,
+    "cast_failures": files.cast_failures,
     "net_worth_file_read": files.net_worth_file_read,
     "tax_unit_file_read": files.tax_unit_file_read,
     "population_by_year": population_by_year,

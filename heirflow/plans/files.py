@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heirflow.operators import macro, survey
@@ -11,7 +11,7 @@ from heirflow.operators.units import unit_income
 from heirflow.plans import standins as s
 from heirflow.sources import readers
 from heirflow.sources.schemas import INCOME_ADDED, INCOME_SUBTRACTED, TRANSFER_COLUMNS
-from heirflow.sources.shared import fresh_path
+from heirflow.sources.shared import fresh_path, materialise
 
 MACRO_FILES = ("projections.csv", "historical.csv")
 
@@ -65,6 +65,30 @@ def survey_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.assemble_survey(*readers.read_survey(spark, root, s.WAVES))
 
 
+def survey_table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The waves laid out as tables partitioned by wave, read in one scan each."""
+    files, table = fresh_path(spark, "survey"), fresh_path(spark, "waves")
+    write_survey(spark, sf_dir, files)
+    readers.write_wave_table(*readers.read_survey(spark, files, s.WAVES), table)
+    return survey.assemble_survey(*readers.read_wave_table(spark, table, s.TIMING))
+
+
+def cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a tax-unit file that are no numbers, counted by column while the file is read."""
+    path = f"{fresh_path(spark, 'units')}/tax_units.csv"
+    units = s.units(spark, sf_dir)
+    spoilt = {
+        "age1": F.when(F.col("id") % 17 == 0, "forty").otherwise(F.col("age1").cast("string")),
+        "wages": F.when(F.col("id") % 11 == 0, "n/a").otherwise(F.col("wages").cast("string")),
+        "dep_age1": F.when(F.col("id") % 13 == 0, "-").otherwise(F.col("dep_age1").cast("string")),
+    }
+    other = [c for c in (*INCOME_ADDED, *INCOME_SUBTRACTED) if c not in units.columns]
+    _csv(units.withColumns({c: F.lit(0.0) for c in other} | spoilt), path)
+    failures = Observation()
+    materialise(readers.read_tax_units(spark, path, failures=failures))
+    return readers.failed_casts(spark, failures)
+
+
 def net_worth_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{fresh_path(spark, 'accounts')}/b101.csv"
     _csv(s.net_worth_quarterly(spark, sf_dir).withColumnRenamed("net_worth", "FL152090005.Q"), path)

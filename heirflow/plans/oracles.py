@@ -10,6 +10,7 @@ from __future__ import annotations
 from heirflow.operators.forest import EXACT_COUNT, poisson_limits
 from heirflow.operators.ordered import RANK_LABELS, RANK_PROBS
 from heirflow.plans import standins as s
+from heirflow.sources.schemas import TAX_UNITS
 
 _TWO52 = "4503599627370496e0"
 
@@ -409,13 +410,13 @@ def _calibrated_summary(scale: float = 20.0) -> str:
     return _recursive(sql)
 
 
-def _projection() -> str:
+def _projection(factor: str = "1e0") -> str:
     scenarios = " UNION ALL ".join(
         f"SELECT '{name}' AS scenario, {_d(e)} AS exemption" for name, e in s.EXEMPTIONS.items()
     )
     grown = "(inheritance * gdp_pc_index)"
     return _with(
-        f"""SELECT scenario, year, id, p_inheritance, round({grown}, 2) AS inheritance,
+        f"""SELECT scenario, year, id, p_inheritance, round({grown} * {factor}, 2) AS inheritance,
                    round({_tax(grown, '(exemption * inflation_index)')}, 2) AS estate_tax_liability
             FROM imputed, indexes, ({scenarios})""",
         "imputed",
@@ -766,6 +767,7 @@ def all_sql() -> dict[str, str]:
     return {
         "scan_csv_roundtrip": _with("SELECT * FROM units", "units"),
         "scenario_sink_roundtrip": _projection(),
+        "scenario_sink_rerun": _projection(f"CASE WHEN year = {s.RERUN_YEAR} THEN 2e0 ELSE 1e0 END"),
         "multi_source_union": _with(
             "SELECT year, gdp, CASE WHEN year >= 1999 THEN cpiu END AS cpiu, ccpiu_irs FROM economic",
             "economic",
@@ -774,6 +776,15 @@ def all_sql() -> dict[str, str]:
             "SELECT * FROM economic JOIN population USING (year)", "economic", "population"
         ),
         "survey_files_read": _with("SELECT * FROM surveys", "surveys"),
+        "survey_table_read": _with("SELECT * FROM surveys", "surveys"),
+        "cast_failures": _with(
+            " UNION ALL ".join(
+                f"SELECT '{f.name}' AS \"column\", count(*) FILTER (id % {every} = 0) AS failed FROM units" if every else
+                f"SELECT '{f.name}', 0 FROM (SELECT 1)"
+                for f in TAX_UNITS.fields for every in [{"age1": 17, "wages": 11, "dep_age1": 13}.get(f.name)]
+            ).replace("SELECT 'id', 0", "SELECT 'id' AS \"column\", 0 AS failed", 1),
+            "units",
+        ),
         "net_worth_file_read": _with("SELECT * FROM quarterly", "quarterly"),
         "tax_unit_file_read": _with(
             "SELECT id, weight, age1, filing_status, dep_age1, dep_age2, dep_age3, income FROM incomes", "incomes"

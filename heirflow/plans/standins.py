@@ -28,6 +28,8 @@ TIMING = (
 )
 SEED = 123
 FIT_SEED = 8
+# The year that is written a second time.
+RERUN_YEAR = 1999
 # What is asked of the distribution of amounts in a leaf.
 DISTRIBUTION_PROBS = (0.5, 0.75, 0.9, 0.99)
 DISTRIBUTION_BOUND = 20_000.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,16 +18,27 @@ from heirflow.sources.schemas import (
 )
 
 
-def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Keep the columns of ``schema`` by name and cast them; text that is no number becomes null."""
-    return df.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+def typed(df: DataFrame, schema: T.StructType, failures: Observation | None = None) -> DataFrame:
+    """Keep the columns of ``schema`` by name and cast them; text that is no number becomes null.
+
+    ``failures`` counts, by column, the texts that became null. It is filled by the first action on the
+    result, in the same pass; :func:`failed_casts` gives the counts as a table.
+    """
+    cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    if failures is not None:
+        lost = [F.count_if(F.col(f"`{n}`").isNotNull() & c.isNull()).alias(n) for n, c in cast.items()]
+        df = df.observe(failures, *lost)
+    return df.select(*[c.alias(n) for n, c in cast.items()])
+
+
+def failed_casts(spark: SparkSession, failures: Observation) -> DataFrame:
+    """``column, failed`` of an observation that an action has filled."""
+    return spark.createDataFrame(list(failures.get.items()), "column string, failed long")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, failures: Observation | None = None) -> DataFrame:
     """CSV with a header, matched to ``schema`` by column name, whatever the file's column order."""
-    return typed(spark.read.option("header", True).option("nullValue", "NA").csv(path), schema)
+    return typed(spark.read.option("header", True).option("nullValue", "NA").csv(path), schema, failures)
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -92,8 +103,32 @@ def read_survey(
     return union_by_name(summaries), union_by_name(details)
 
 
-def read_tax_units(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+def write_wave_table(summary: DataFrame, detail: DataFrame, root: str) -> None:
+    """Lay the waves of :func:`read_survey` out as two tables partitioned by wave; one write each."""
+    for name, rows in (("summary", summary), ("detail", detail)):
+        rows.write.partitionBy("survey_year").mode("errorifexists").parquet(f"{root}/{name}")
+
+
+def read_wave_table(
+    spark: SparkSession, root: str, timing: Sequence[tuple[int, int, float]]
+) -> tuple[DataFrame, DataFrame]:
+    """Summary and detail of the waves that ``timing`` (wave, year, chance) names: one scan each, whatever the number of waves.
+
+    Other waves' files are pruned by partition; columns follow the stored schema, the wave in ``survey_year``.
+    """
+    waves = sorted({wave for wave, _, _ in timing})
+    found = []
+    for name in ("summary", "detail"):
+        rows = spark.read.parquet(f"{root}/{name}")
+        rest = [c for c in rows.columns if c != "survey_year"]
+        found.append(rows.where(F.col("survey_year").isin(waves)).select("survey_year", *rest))
+    return found[0], found[1]
+
+
+def read_tax_units(
+    spark: SparkSession, path: str, kind: str = "csv", failures: Observation | None = None
+) -> DataFrame:
     """Tax units from CSV, or from a Parquet copy of it, which prunes columns at the scan."""
     if kind == "csv":
-        return read_csv(spark, path, TAX_UNITS)
-    return typed(spark.read.parquet(path), TAX_UNITS)
+        return read_csv(spark, path, TAX_UNITS, failures)
+    return typed(spark.read.parquet(path), TAX_UNITS, failures)

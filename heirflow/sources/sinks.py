@@ -35,6 +35,19 @@ def write_scenarios(
     writer.format(kind).save(folder)
 
 
+def rewrite_cells(df: DataFrame, folder: str, kind: str = "parquet") -> None:
+    """Write the (scenario, year) cells of ``df`` again; cells that it doesn't hold keep their files.
+
+    A cell is replaced as a whole when the job commits, so a run of one year can be repeated. Rows are rebalanced by cell,
+    which gives files of about the session's advisory size: small cells one, large ones several.
+    """
+    df = df.select(*_LAYOUT, *[f.name for f in ESTATE_TAX_DETAIL.fields]).hint("rebalance", *_LAYOUT)
+    writer = df.write.partitionBy(*_LAYOUT).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if kind == "csv":
+        writer = writer.option("header", True).option("nullValue", "NA")
+    writer.format(kind).save(folder)
+
+
 def read_scenarios(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
     """Read a folder written by ``write_scenarios``; filters on scenario and year prune files."""
     layout = [T.StructField("scenario", T.StringType()), T.StructField("year", T.IntegerType())]

@@ -107,3 +107,23 @@ def test_files_of_a_cell_are_bounded(spark, units, indexes, tmp_path):
     cells = list((tmp_path / "few").glob("scenario=*/year=*"))
     assert len(cells) == 6 and all(1 <= len(list(c.glob("*.parquet"))) <= 2 for c in cells)
     assert sinks.read_scenarios(spark, folder).count() == 6 * 301
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_a_cell_can_be_written_again(spark, units, indexes, tmp_path, kind):
+    parameters = projection.scenario_years(indexes.where("year < 2030"), EXEMPTIONS)
+    projected = projection.project_scenarios(units.repartition(9), parameters, 2.8)
+    folder = str(tmp_path / "run")
+    sinks.write_scenarios(projected, folder, kind)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "run").glob("scenario=*/year=*/part-*")}
+    before = files()
+    again = projected.where("year = 2027 AND scenario = 'baseline'").withColumn("inheritance", F.lit(1.0))
+    for _ in range(2):
+        sinks.rewrite_cells(again, folder, kind)
+    after = files()
+    cell = lambda p: "scenario=baseline/year=2027" in str(p)
+    assert {p: t for p, t in before.items() if not cell(p)} == {p: t for p, t in after.items() if not cell(p)}
+    assert len([p for p in after if cell(p)]) == 1 and not set(filter(cell, before)) & set(after)
+    back = sinks.read_scenarios(spark, folder, kind)
+    assert back.count() == projected.count()
+    assert back.where("inheritance = 1.0").count() == 301 == back.where("year = 2027 AND scenario = 'baseline'").count()
