@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -160,24 +160,10 @@ def _inside(value: Column, bracket: Bracket) -> Column:
     return inside if bracket.high is None else inside & (value < F.lit(bracket.high))
 
 
-def promote(
-    df: DataFrame,
-    bracket: Bracket,
-    deficit: float,
-    seed: int,
-    draw: str,
-    rule: Promotion = Promotion(),
-    id: str = "id",
-    value: str = "inheritance",
-    p: str = "p_inheritance",
-    weight: str = "weight",
-) -> DataFrame:
-    """Lift the largest values below the bracket into it until ``deficit`` is met.
-
-    Candidates are at or above the unweighted percentile of all values that are
-    there. The top ``rule.most`` get a Pareto value above the bracket average and a
-    chance raised in proportion to its headroom. A chosen id must be of one row.
-    """
+def _promoted(
+    df: DataFrame, bracket: Bracket, deficit: float, seed: int, draw: str, rule: Promotion, id: str, value: str, p: str, weight: str
+) -> list[tuple]:
+    """(id, value, chance) of the rows that :func:`promote` lifts, ``rule.most`` at most."""
     lifted = pareto(bracket.average, rule.alpha, F.col(id), seed=seed, draw=draw)
     top = (
         df.where(F.col(value) < F.lit(bracket.low))
@@ -188,7 +174,7 @@ def promote(
     )
     values = sorted({r[value] for r in top})
     if not values:
-        return df
+        return []
     # How many rows are at or below each candidate value tells which ones reach the
     # percentile: one narrow pass, no sort of the table.
     present = df.select(value).where(F.col(value).isNotNull())
@@ -199,17 +185,21 @@ def promote(
     enough = int(np.ceil(position))
     chosen = [r for r in top if at_or_below[r[value]] >= enough]
     if not chosen:
-        return df
+        return []
     ids = [r[id] for r in chosen]
     if None in ids or df.where(F.col(id).isin(ids)).count() != len(ids):
         raise ValueError(f"{id} of a promoted row is null or repeated")
     headroom = sum((1.0 - r[p]) * r[weight] for r in chosen)
     share = min(1.0, deficit / headroom) if headroom > 0 else 0.0
-    changes = [(r[id], r["lifted"], r[p] + share * (1.0 - r[p])) for r in chosen]
+    return [(r[id], r["lifted"], r[p] + share * (1.0 - r[p])) for r in chosen]
+
+
+def _changed(df: DataFrame, changes: Sequence[tuple], id: str, value: str, p: str) -> DataFrame:
+    """``df`` with value and chance of the few rows in ``changes``."""
+    if not changes:
+        return df
     kind = df.schema[id].dataType.simpleString()
-    changed = df.sparkSession.createDataFrame(
-        changes, f"`{id}` {kind}, _value double, _p double"
-    )
+    changed = df.sparkSession.createDataFrame(list(changes), f"`{id}` {kind}, _value double, _p double")
     return (
         df.join(F.broadcast(changed), id, "left")
         .withColumn(value, F.coalesce("_value", value))
@@ -218,6 +208,83 @@ def promote(
     )
 
 
+def promote(
+    df: DataFrame,
+    bracket: Bracket,
+    deficit: float,
+    seed: int,
+    draw: str,
+    rule: Promotion = Promotion(),
+    id: str = "id",
+    value: str = "inheritance",
+    p: str = "p_inheritance",
+    weight: str = "weight",
+) -> DataFrame:
+    """Lift the largest values below the bracket into it until ``deficit`` is met.
+
+    Candidates are at or above the unweighted percentile of all values that are
+    there. The top ``rule.most`` get a Pareto value above the bracket average and a
+    chance raised in proportion to its headroom. A chosen id must be of one row.
+    """
+    return _changed(df, _promoted(df, bracket, deficit, seed, draw, rule, id, value, p, weight), id, value, p)
+
+
+def _first_reaching(bound: float, factor: float) -> float:
+    """The least double whose product with ``factor`` is at or above ``bound``."""
+    x = bound / factor
+    while x * factor >= bound:
+        x = float(np.nextafter(x, -np.inf))
+    while x * factor < bound:
+        x = float(np.nextafter(x, np.inf))
+    return x
+
+
+@dataclass
+class BracketMap:
+    """What brackets did so far: intervals of the original value with factors for value and chance, and promoted rows.
+
+    Interval i begins at ``starts[i]``; a chance that has a factor is 1 at most.
+    """
+
+    starts: list[float] = field(default_factory=lambda: [-np.inf])
+    values: list[float] = field(default_factory=lambda: [1.0])
+    chances: list[float] = field(default_factory=lambda: [1.0])
+    promoted: dict = field(default_factory=dict)
+
+    def _cut(self, bound: float) -> None:
+        """Let no interval hold mapped values on both sides of ``bound``."""
+        for i in range(len(self.starts) - 1, -1, -1):
+            end = self.starts[i + 1] if i + 1 < len(self.starts) else np.inf
+            at = _first_reaching(bound, self.values[i])
+            if self.starts[i] < at < end:
+                self.starts.insert(i + 1, at)
+                self.values.insert(i + 1, self.values[i])
+                self.chances.insert(i + 1, self.chances[i])
+
+    def scale(self, bracket: Bracket, chance: float | None, factor: float) -> None:
+        """Multiply values in the bracket by ``factor``, chances by ``chance`` where given."""
+        within = lambda x: x >= bracket.low and (bracket.high is None or x < bracket.high)
+        for bound in (bracket.low, bracket.high):
+            if bound is not None:
+                self._cut(bound)
+        for i, start in enumerate(self.starts):
+            if within(start * self.values[i]):
+                self.values[i] *= factor
+                self.chances[i] *= 1.0 if chance is None else chance
+        for key, (x, p) in self.promoted.items():
+            if within(x):
+                self.promoted[key] = (x * factor, p if chance is None else min(1.0, p * chance))
+
+    def on(self, df: DataFrame, id: str, value: str, p: str) -> DataFrame:
+        """``df`` with everything applied: a search among the intervals and one join with the promoted rows."""
+        below = doubles([float(np.nextafter(x, -np.inf)) for x in self.starts[1:]])
+        df = count_below(df, F.col(value), below, len(self.starts), "_place")
+        factor, chance = (F.get(doubles(x), F.col("_place")) for x in (self.values, self.chances))
+        raised = F.when(F.col(value).isNull() | (chance == 1.0), F.col(p)).otherwise(F.least(F.lit(1.0), F.col(p) * chance))
+        df = df.withColumns({p: raised, value: F.col(value) * factor}).drop("_place")
+        return _changed(df, [(key, *x) for key, x in self.promoted.items()], id, value, p)
+
+
 def calibrate_brackets(
     df: DataFrame,
     seed: int,
@@ -234,18 +301,20 @@ def calibrate_brackets(
 ) -> DataFrame:
     """Bring expected counts and averages by bracket up to the targets, lowest bracket first.
 
-    Each bracket sees what the one before it did. Only a few sums reach the
-    driver; they come back as literals, so every bracket adds narrow steps to a
-    plan over the stored input and never shuffles it.
+    Each bracket sees what the one before it did, kept as a :class:`BracketMap` on the driver: a few
+    intervals with factors and ``rule.most`` promoted rows a bracket at most. Every pass applies it to the stored
+    id, value, chance and weight, so the plan is as deep for the last bracket as for the first; the table itself is never shuffled.
     """
     shrunk = F.when(F.col(value) * F.lit(heirs) > F.lit(shrink_above), F.lit(shrink)).otherwise(1.0)
-    df = materialise(df.withColumn(p, required(F.col(p), p) * shrunk))
+    df = materialise(df.withColumn(p, required(F.col(p), p) * shrunk).withColumn(value, F.col(value).cast("double")))
+    narrow, done = df.select(id, value, p, weight), BracketMap()
     for number, b in enumerate(per_heir(brackets, heirs), start=1):
         inside = _inside(F.col(value), b)
+        state = done.on(narrow, id, value, p)
 
         def totals(chance: Column):
             mass = chance * required(F.col(weight), weight)
-            return df.where(inside).agg(
+            return state.where(inside).agg(
                 F.count(F.lit(1)).alias("rows"),
                 F.sum(mass).alias("count"),
                 F.sum(mass * F.col(value)).alias("wealth"),
@@ -254,25 +323,20 @@ def calibrate_brackets(
         now = totals(F.col(p))
         if now["rows"] == 0:
             continue
-        raised = F.col(p)
+        ratio = None
         if 0 < now["count"] < b.count:
-            raised = F.least(F.lit(1.0), F.col(p) * F.lit(b.count / now["count"]))
-            now = totals(raised)
+            ratio = b.count / now["count"]
+            now = totals(F.least(F.lit(1.0), F.col(p) * F.lit(ratio)))
         factor = 1.0
         if now["count"] > 0 and now["wealth"] / now["count"] < b.average:
             factor = b.average / (now["wealth"] / now["count"])
-        df = df.withColumns(
-            {
-                p: F.when(inside, raised).otherwise(F.col(p)),
-                value: F.when(inside, F.col(value) * F.lit(factor)).otherwise(F.col(value)),
-            }
-        )
+        done.scale(b, ratio, factor)
         deficit = b.count - now["count"]
         if deficit > tolerance * b.count:
-            df = promote(
-                df, b, deficit, seed, f"promote{number}", rule, id, value, p, weight
-            )
-    return df
+            state = done.on(narrow, id, value, p)
+            lifted = _promoted(state, b, deficit, seed, f"promote{number}", rule, id, value, p, weight)
+            done.promoted |= {key: (x, chance) for key, x, chance in lifted}
+    return done.on(df, id, value, p)
 
 
 def bracket_summary(

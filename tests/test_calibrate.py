@@ -4,6 +4,7 @@ from plain import calibrate as plain_calibrate
 from pyspark.sql import functions as F
 
 from heirflow.operators.calibrate import (
+    BracketMap,
     ESTATE_BRACKETS,
     Bracket,
     Promotion,
@@ -215,3 +216,24 @@ def test_cells_without_a_target(spark):
         p(missing_target="error")
     with pytest.raises(ValueError):
         p(missing_target="drop")
+
+
+def test_plan_of_a_bracket_does_not_grow(spark):
+    """The map of many brackets is applied in one step, and gives what the steps one after the other gave."""
+    done = BracketMap()
+    r = np.random.default_rng(2)
+    v = np.exp(r.normal(3, 2, 2_000))
+    x, p = v.copy(), np.full(2_000, 0.3)
+    for low in (1.0, 5.0, 30.0, 200.0, 1_000.0):
+        high, chance, factor = low * 6, 1 + r.random(), 1 + 3 * r.random()
+        inside = (x >= low) & (x < high)
+        done.scale(Bracket(low, high, 0, 0), chance, factor)
+        x, p = np.where(inside, x * factor, x), np.where(inside, np.minimum(1, p * chance), p)
+    df = spark.createDataFrame([(i, float(a), 0.3) for i, a in enumerate(v)] + [(5_000, None, 0.3)], "id long, inheritance double, p_inheritance double")
+    mapped = done.on(df, "id", "inheritance", "p_inheritance")
+    found = {r.id: (r.inheritance, r.p_inheritance) for r in mapped.collect()}
+    assert found.pop(5_000) == (None, 0.3)
+    got = np.array([found[i] for i in range(2_000)])
+    assert np.allclose(got[:, 0], x, rtol=1e-12) and np.allclose(got[:, 1], p, rtol=1e-12)
+    depth = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert depth(mapped) <= depth(BracketMap([-np.inf, 2.0], [1.0, 2.0], [1.0, 1.0]).on(df, "id", "inheritance", "p_inheritance")) + 4
