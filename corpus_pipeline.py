@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from heirflow.llm import byte_bpe, decontaminate, language, ngram_join, pii
 from heirflow.llm.queries import BYTE_BPE_RANKS
-from heirflow.llm.tables import read_table, stored
+from heirflow.llm.tables import read_table, small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without a letter go. Trained on the stage's own labelled rows."""
+    small_batches(spark)
     return language.keep_identified(docs, language.train(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles are similar by 0.8 or more."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, 5, 80)
 
 
@@ -32,12 +34,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data generalised to its kind; ``n_chars`` follows the text."""
+    small_batches(spark)
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digest of the ids of each remaining text and of the bytes they decode to."""
+    small_batches(spark)
     return byte_bpe.bpe_report(docs, public_tokenizers.path(BYTE_BPE_RANKS))
 
 
