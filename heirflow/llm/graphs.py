@@ -34,7 +34,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     dealt = left.join(F.broadcast(sent), key, "left").withColumn(
         "_salt", F.when(F.col("_sent").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(9973)))
     )
-    other = right.select(key, F.struct(*values).alias("_met"), F.lit(0).cast("long").alias("_salt"))
+    # always 0, but no constant: that would leave the salt out of the keys the rows are dealt by
+    none = F.pmod(F.xxhash64(key), F.lit(1).cast("long")).alias("_salt")
+    other = right.select(key, F.struct(*values).alias("_met"), none)
     met = F.coalesce("_sent", "_met")
     return dealt.join(other, [key, "_salt"], "left").select(*left.columns, *[met[c].alias(c) for c in values])
 
