@@ -8,12 +8,13 @@ latest one of its level-1 passages, whole passages before single lines. Followin
 the first message of each thread; a conversation lists its threads by their first turn, each by
 turn, so that a reply comes after what it answers, and quotes are left out.
 
-Conversations come in parts of ``PART_TURNS`` first turns, so that a conversation of any length is
-never one row; a message goes with the part of its thread.
+Conversations come in parts of ``PART_ROWS`` messages by their place in that order, so that neither a long
+conversation nor a thread that everyone quotes is one row. Places come from ranges of the order: a range numbers
+its own messages and starts after the counts of the ranges before it; equal messages are counted, not listed.
 
 Defined cases: null text is empty, null role is ``unknown``; a null ``turn`` is -1; null
 ``conv_id`` rows are one conversation; rows of equal ``conv_id`` and ``turn`` share their reply link and are
-ordered by role and text; a quote of no known message is dropped without a link; an empty table gives an
+ordered by a digest of role and own text; a quote of no known message is dropped without a link; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from heirflow.llm.tables import stored
 
-PART_TURNS = 500
+#: Messages of one part.
+PART_ROWS = 500
 QUOTE = r"^[ \t]*(?:>[ \t]?)+"
 ATTRIBUTION = r"^On .*wrote:[ \t]*$"
 NO_CONVERSATION = -(1 << 62)
@@ -115,14 +117,37 @@ def threaded(chats: DataFrame) -> DataFrame:
     )
 
 
+def with_places(rows: DataFrame) -> DataFrame:
+    """Distinct rows of :func:`threaded` with ``copies`` and ``place``, that of the first copy in its conversation."""
+    alike = ["conv_id", "root", "turn", "role", "content"]
+    # what hangs on conv_id and turn is the same for all copies
+    told = rows.groupBy(*alike).agg(
+        F.count(F.lit(1)).alias("copies"), F.max("reply_to").alias("reply_to"), F.max("quotes").alias("quotes"), F.max("linked").alias("linked")
+    ).withColumn("digest", F.md5(F.concat("role", F.lit("\n"), "content").cast("binary")))
+    order = ["root", "turn", "digest"]
+    dealt = stored(told.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()), "chat-ranges")
+    sizes = dealt.groupBy("conv_id", "range").agg(F.sum("copies").alias("size"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv_id").alias("s_conv"), F.col("range").alias("s_range"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first"))
+    within = Window.partitionBy("conv_id", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    same = F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("range") == F.col("s_range"))
+    return inside.join(starts, same).select(*alike, "reply_to", "quotes", "linked", "copies", (F.col("first") + F.col("inside")).alias("place"))
+
+
 def chat_report(chats: DataFrame) -> DataFrame:
     """``conv_id, part, n_messages, n_replies, n_quotes, n_linked, chat`` of every part of a conversation."""
+    after = F.col("place") + F.col("copies")
+    parts = F.sequence(F.floor(F.col("place") / PART_ROWS), F.floor((after - 1) / PART_ROWS))
+    rows = with_places(threaded(chats)).withColumn("part", F.explode(parts))
+    here = F.least(after, (F.col("part") + 1) * PART_ROWS) - F.greatest("place", F.col("part") * PART_ROWS)
     piece = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"), F.lit("\n"))
-    rows = threaded(chats).withColumn("part", F.floor(F.col("root") / PART_TURNS))
+    rows = rows.withColumn("here", here).withColumn("piece", F.repeat(piece, F.col("here").cast("int")))
     return rows.groupBy("conv_id", "part").agg(
-        F.count(F.lit(1)).alias("n_messages"), F.count("reply_to").alias("n_replies"),
-        F.sum("quotes").cast("long").alias("n_quotes"), F.sum("linked").cast("long").alias("n_linked"),
-        F.sort_array(F.collect_list(F.struct("root", "turn", "role", "content", piece.alias("piece")))).alias("m"),
+        F.sum("here").alias("n_messages"), F.sum(F.when(F.col("reply_to").isNotNull(), F.col("here")).otherwise(0)).alias("n_replies"),
+        F.sum(F.col("quotes") * F.col("here")).cast("long").alias("n_quotes"),
+        F.sum(F.col("linked") * F.col("here")).cast("long").alias("n_linked"),
+        F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("m"),
     ).select("conv_id", "part", "n_messages", "n_replies", "n_quotes", "n_linked", F.array_join("m.piece", "").alias("chat"))
 
 
@@ -171,10 +196,15 @@ WITH RECURSIVE m AS (
   UNION ALL
   SELECT up.c, up.t, l.parent, far + 1 FROM up JOIN links l ON l.c = up.c AND l.t = up.root WHERE l.parent IS NOT NULL
 ), roots AS (SELECT c, t, arg_max(root, far) AS root FROM up GROUP BY c, t)
-SELECT nullif(c, -4611686018427387904) AS conv_id, CAST(floor(coalesce(root, t) / 500) AS BIGINT) AS part,
+, ordered AS (
+  SELECT c, role, own, parent, quotes, linked,
+         row_number() OVER (PARTITION BY c ORDER BY coalesce(root, t), t, md5(role || chr(10) || own)) - 1 AS place
+  FROM own LEFT JOIN links USING (c, t) LEFT JOIN roots USING (c, t)
+)
+SELECT nullif(c, -4611686018427387904) AS conv_id, CAST(place // 500 AS BIGINT) AS part,
        count(*) AS n_messages, count(parent) AS n_replies, CAST(sum(coalesce(quotes, 0)) AS BIGINT) AS n_quotes,
        CAST(sum(coalesce(linked, 0)) AS BIGINT) AS n_linked,
-       string_agg('<|' || role || '|>' || chr(10) || own || chr(10), '' ORDER BY coalesce(root, t), t, role, own) AS chat
-FROM own LEFT JOIN links USING (c, t) LEFT JOIN roots USING (c, t)
+       string_agg('<|' || role || '|>' || chr(10) || own || chr(10), '' ORDER BY place) AS chat
+FROM ordered
 GROUP BY 1, 2
 """
