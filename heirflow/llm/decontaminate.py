@@ -5,8 +5,8 @@ item; an item with fewer words, but some, is one window. The scan stays in gener
 becomes one array of word hashes, each position one hash of the next words, probed in the broadcast
 set. Hits are then verified on the words themselves, and only hits leave the scan.
 
-The broadcast set has a checked bound, ``MAX_WINDOWS``; a larger benchmark is joined by shuffling
-the probes instead, which gives the same rows.
+The broadcast set has checked bounds, ``MAX_WINDOWS`` and ``MAX_BYTES`` of words and item names; a larger
+benchmark is joined by shuffling the probes instead, which gives the same rows.
 
 Defined cases: null texts have no words and are clean; items with null text or no word give no
 window; a null ``item_id`` counts as the empty string in the digest; repeated items count once;
@@ -24,8 +24,9 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lowered.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Most windows that are broadcast (about 100 bytes each).
+#: Most windows that are broadcast, and most bytes of their words and items.
 MAX_WINDOWS = 200_000
+MAX_BYTES = 128 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +55,11 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def broadcast_bytes() -> Column:
+    """Size of a window's row in the broadcast: words and item names with eight bytes of place each, and fixed columns."""
+    return F.expr("64 + aggregate(concat(window, items), 0L, (a, x) -> a + octet_length(x) + 16)")
+
+
 def hash_of_hashes(window: str) -> Column:
     """The hash that :func:`_probe` gives to the same words."""
     return F.expr(f"aggregate({window}, 42L, (a, x) -> xxhash64(a, xxhash64(x)))")
@@ -74,8 +80,9 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     the text is read once.
     """
     found = benchmark_windows(bench, window)
-    counts = {r[0]: r[1] for r in found.groupBy("size").count().collect()}
-    sizes = sorted(counts) or [window]
+    totals = found.groupBy("size").agg(F.count(F.lit(1)), F.sum(broadcast_bytes())).collect()
+    sizes = sorted(r[0] for r in totals) or [window]
+    small = sum(r[1] for r in totals) <= MAX_WINDOWS and sum(r[2] for r in totals) <= MAX_BYTES
     split = docs.select(
         F.col("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("n"),
         words(F.col("text")).alias("w"),
@@ -94,7 +101,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     right = found.select(F.col("hash").alias("b_hash"), F.col("size").alias("b_size"), "window", "items")
     same = (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size"))
     key = ["doc_id", "h", "n"]
-    if sum(counts.values()) > MAX_WINDOWS:
+    if not small:
         # probes are shuffled without the words they stand for; hits go back to the words to be proven
         narrow = placed.where("at >= 0").select(*key, "at", "size", value.alias("hash")).where("hash IS NOT NULL").distinct()
         met = narrow.join(right, same).groupBy(*key).agg(F.collect_list(F.struct("at", "size", "window", "items")).alias("met"))

@@ -24,9 +24,10 @@ def test_report_against_brute_force(spark, docs, rows, items, window):
     assert Counter(map(tuple, decontaminate.leak_report(docs, bench, window).collect())) == want
 
 
-def test_large_benchmark_is_not_broadcast(spark, docs, rows, items, monkeypatch):
+@pytest.mark.parametrize("bound", ["MAX_WINDOWS", "MAX_BYTES"])
+def test_large_benchmark_is_not_broadcast(spark, docs, rows, items, monkeypatch, bound):
     bench = spark.createDataFrame(items, SCHEMA)
-    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 3)
+    monkeypatch.setattr(decontaminate, bound, 3)
     want = Counter(brute.leaks([(r[0], r[1]) for r in rows], items, 10))
     assert Counter(map(tuple, decontaminate.leak_report(docs, bench).collect())) == want
 
