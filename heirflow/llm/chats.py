@@ -9,8 +9,9 @@ the first message of each thread; a conversation lists its threads by their firs
 turn, so that a reply comes after what it answers, and quotes are left out.
 
 Conversations come in parts of ``PART_ROWS`` messages by their place in that order, so that neither a long
-conversation nor a thread that everyone quotes is one row. Places come from ranges of the order: a range numbers
-its own messages and starts after the counts of the ranges before it; equal messages are counted, not listed.
+conversation nor a thread that everyone quotes is one row. Conversations of more than one part are counted out first;
+their places come from ranges of the order: a range numbers its own messages and starts after the counts of the
+ranges before it; equal messages are counted, not listed.
 
 Defined cases: null text is empty, null role is ``unknown``; a null ``turn`` is -1; null
 ``conv_id`` rows are one conversation; rows of equal ``conv_id`` and ``turn`` share their reply link and are
@@ -117,13 +118,24 @@ def threaded(chats: DataFrame) -> DataFrame:
     )
 
 
+def long_conversations(chats: DataFrame) -> DataFrame:
+    """``l_conv`` of the conversations that take more than one part."""
+    sizes = chats.groupBy(F.nullif(F.col("conv_id").cast("long"), F.lit(NO_CONVERSATION)).alias("l_conv")).agg(F.count(F.lit(1)).alias("size"))
+    return stored(sizes.where(F.col("size") > PART_ROWS).select("l_conv"), "chat-long")
+
+
+def tie_digest() -> Column:
+    """Order of the messages of one turn."""
+    return F.md5(F.concat("role", F.lit("\n"), "content").cast("binary"))
+
+
 def with_places(rows: DataFrame) -> DataFrame:
     """Distinct rows of :func:`threaded` with ``copies`` and ``place``, that of the first copy in its conversation."""
     alike = ["conv_id", "root", "turn", "role", "content"]
     # what hangs on conv_id and turn is the same for all copies
     told = rows.groupBy(*alike).agg(
         F.count(F.lit(1)).alias("copies"), F.max("reply_to").alias("reply_to"), F.max("quotes").alias("quotes"), F.max("linked").alias("linked")
-    ).withColumn("digest", F.md5(F.concat("role", F.lit("\n"), "content").cast("binary")))
+    ).withColumn("digest", tie_digest())
     order = ["root", "turn", "digest"]
     dealt = stored(told.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()), "chat-ranges")
     sizes = dealt.groupBy("conv_id", "range").agg(F.sum("copies").alias("size"))
@@ -132,22 +144,33 @@ def with_places(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("conv_id", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("inside", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     same = F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("range") == F.col("s_range"))
-    return inside.join(starts, same).select(*alike, "reply_to", "quotes", "linked", "copies", (F.col("first") + F.col("inside")).alias("place"))
+    return inside.join(starts, same).select(
+        *alike, "reply_to", "quotes", "linked", "digest", "copies", (F.col("first") + F.col("inside")).alias("place")
+    )
 
 
 def chat_report(chats: DataFrame) -> DataFrame:
     """``conv_id, part, n_messages, n_replies, n_quotes, n_linked, chat`` of every part of a conversation."""
-    after = F.col("place") + F.col("copies")
-    parts = F.sequence(F.floor(F.col("place") / PART_ROWS), F.floor((after - 1) / PART_ROWS))
-    rows = with_places(threaded(chats)).withColumn("part", F.explode(parts))
-    here = F.least(after, (F.col("part") + 1) * PART_ROWS) - F.greatest("place", F.col("part") * PART_ROWS)
+    found = threaded(chats)
+    many = long_conversations(chats)
+    is_long = F.col("conv_id").eqNullSafe(F.col("l_conv"))
+    zero = F.lit(0).cast("long")
+    rows = found.join(many, is_long, "left_anti").select(
+        "*", tie_digest().alias("digest"), zero.alias("place"), zero.alias("part"), F.lit(1).cast("long").alias("here")
+    )
+    if not many.isEmpty():
+        after = F.col("place") + F.col("copies")
+        parts = F.sequence(F.floor(F.col("place") / PART_ROWS), F.floor((after - 1) / PART_ROWS))
+        cut = with_places(found.join(many, is_long, "left_semi")).withColumn("part", F.explode(parts))
+        here = F.least(after, (F.col("part") + 1) * PART_ROWS) - F.greatest("place", F.col("part") * PART_ROWS)
+        rows = rows.unionByName(cut.withColumn("here", here).drop("copies"))
     piece = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"), F.lit("\n"))
-    rows = rows.withColumn("here", here).withColumn("piece", F.repeat(piece, F.col("here").cast("int")))
+    rows = rows.withColumn("piece", F.repeat(piece, F.col("here").cast("int")))
     return rows.groupBy("conv_id", "part").agg(
         F.sum("here").alias("n_messages"), F.sum(F.when(F.col("reply_to").isNotNull(), F.col("here")).otherwise(0)).alias("n_replies"),
         F.sum(F.col("quotes") * F.col("here")).cast("long").alias("n_quotes"),
         F.sum(F.col("linked") * F.col("here")).cast("long").alias("n_linked"),
-        F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("m"),
+        F.sort_array(F.collect_list(F.struct("place", "root", "turn", "digest", "piece"))).alias("m"),
     ).select("conv_id", "part", "n_messages", "n_replies", "n_quotes", "n_linked", F.array_join("m.piece", "").alias("chat"))
 
 
