@@ -73,6 +73,17 @@ def test_sink(spark, units, indexes, tmp_path, kind):
         sinks.write_scenarios(out, folder, kind)
 
 
+def test_records_of_one_partition_are_dealt_before_they_are_projected(units, indexes):
+    parameters = projection.scenario_years(indexes, EXEMPTIONS)
+    one = units.coalesce(1)
+    out = projection.project_scenarios(projection.dealt(one, parameters, 3000), parameters, 2.8)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * 3000
+    plain = projection.project_scenarios(one, parameters, 2.8)
+    assert out.exceptAll(plain).count() == 0 and out.count() == 60 * 301
+    assert "Exchange" not in projection.dealt(one, parameters)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_change_by_year_is_the_difference_of_the_scenarios(units, indexes):
     parameters = projection.scenario_years(indexes, EXEMPTIONS)
     changes = projection.project_changes(units, parameters, "baseline", "tcja", 2.8)
