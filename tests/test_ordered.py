@@ -4,6 +4,7 @@ from plain import running_weight as plain_running
 from plain import weighted_quantile
 from pyspark.sql import functions as F
 
+from heirflow.operators import ordered
 from heirflow.operators.ordered import (
     RANK_LABELS,
     RANK_PROBS,
@@ -170,6 +171,62 @@ def test_resample_picks_the_row_whose_interval_holds_the_draw(spark):
         assert got[k] == order[int(np.searchsorted(ends, at, side="right"))][0]
 
 
+WIDE = "a int, k string, w double, note string, x double"
+
+
+def wide_rows(n=3000):
+    return [(i % 7 if i % 50 else None, f"k{i}", 1.0 + i % 5 + i / 7, None if i % 3 else f"n{i}", float(i)) for i in range(n)]
+
+
+def test_large_resample_agrees_with_the_joined_one_without_a_join(spark, monkeypatch):
+    """More draws than may be sent: rows are taken along, in one shuffle, and the draws are those of the join."""
+    df = spark.createDataFrame(wide_rows(), WIDE).repartition(5)
+    joined = weighted_resample(df, "w", ["a", "k"], 4000, seed=5)
+    monkeypatch.setattr(ordered._draw_in_buckets, "__defaults__", (300,))
+    taken = weighted_resample(df, "w", ["a", "k"], 4000, seed=5, most_sent=100)
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert taken.schema.simpleString() == joined.schema.simpleString()
+    rest = [c for c in joined.columns if c != "w"]
+    assert sorted(map(str, taken.select(rest).collect())) == sorted(map(str, joined.select(rest).collect()))
+    assert taken.select("w").distinct().collect()[0]["w"] == pytest.approx(joined.first()["w"])
+
+
+def test_large_resample_with_one_heavy_row(spark):
+    """The bucket of a row that is hit by half of all draws isn't put in one task."""
+    df = spark.createDataFrame([*wide_rows(), (1, "heavy", 400_000.0, None, 0.5)], WIDE)
+    heavy = ordered._draw_in_buckets(df, "w", ["k"], 20_000, 5, "draw_id", 200)
+    assert heavy is None
+    few = weighted_resample(df, "w", ["k"], 5000, seed=5, most_sent=100)
+    assert sorted(r["draw_id"] for r in few.collect()) == list(range(5000))
+
+
+def test_resample_refuses_repeated_keys_and_missing_weights(spark):
+    rows = [*wide_rows(500), (3, "k3", 2.0, None, 0.0)]
+    for most_sent in (10, 10_000):
+        with pytest.raises(Exception, match="the table to draw from has"):
+            weighted_resample(spark.createDataFrame(rows, WIDE), "w", ["k"], 600, 5, most_sent=most_sent).collect()
+        with pytest.raises(Exception, match="null in required column w"):
+            missing = [*wide_rows(50), (3, "z", None, None, 0.0)]
+            weighted_resample(spark.createDataFrame(missing, WIDE), "w", ["k"], 600, 5, most_sent=most_sent).collect()
+    empty = spark.createDataFrame([], WIDE)
+    assert weighted_resample(empty, "w", ["k"], 0, 5, most_sent=-1).count() == 0
+
+
+def test_quantiles_at_the_edges_of_buckets(spark):
+    """Every probability is found by the bucket that holds its position, in any order of the probabilities."""
+    rows = make_rows(900)
+    df = spark.createDataFrame(rows, SCHEMA)
+    probs = [i / 500 for i in range(501)]
+    values, weights = [r[2] for r in rows], [r[3] for r in rows]
+    for buckets in (3, 200):
+        for asked in (probs, probs[::-1]):
+            got = {r["prob_index"]: r["quantile"] for r in weighted_quantiles(df, "x", "w", asked, buckets=buckets).collect()}
+            assert [got[i] for i in range(501)] == pytest.approx(weighted_quantile(values, weights, asked))
+    one = spark.createDataFrame([(1, 0, 7.0, 0.5)], SCHEMA)
+    assert {r["quantile"] for r in weighted_quantiles(one, "x", "w", probs).collect()} == {7.0}
+
+
 def test_plans_stay_partitioned(spark):
     df = spark.createDataFrame(make_rows(), SCHEMA)
     for result in (
