@@ -192,6 +192,23 @@ def test_large_resample_agrees_with_the_joined_one_without_a_join(spark, monkeyp
     assert taken.select("w").distinct().collect()[0]["w"] == pytest.approx(joined.first()["w"])
 
 
+def test_resample_takes_along_only_what_is_read_later(spark, monkeypatch):
+    df = spark.createDataFrame(wide_rows(), WIDE).repartition(5)
+    monkeypatch.setattr(ordered._draw_in_buckets, "__defaults__", (300,))
+    rest = ["x", "note"]
+    for most_sent in (100, 10_000):
+        draw = lambda **given: weighted_resample(df, "w", ["a", "k"], 4000, seed=5, most_sent=most_sent, **given)
+        whole, some = draw(), draw(columns=[*rest, "w"])
+        assert some.columns == [*rest, "w"]
+        assert sorted(map(str, some.select(rest).collect())) == sorted(map(str, whole.select(rest).collect()))
+        assert some.select("w").distinct().collect() == whole.select("w").distinct().collect()
+        assert draw(columns=["w"]).count() == 4000
+    # neither the number of the draw nor another column is shuffled
+    plan = weighted_resample(df, "w", ["k"], 4000, 5, most_sent=100, columns=["x"])._jdf.queryExecution().executedPlan().toString()
+    moved = "".join(line for line in plan.splitlines() if "Project" in line)
+    assert "_at" in moved and "note" not in moved and "draw_id" not in moved
+
+
 def test_large_resample_with_one_heavy_row(spark):
     """The bucket of a row that is hit by half of all draws isn't put in one task."""
     df = spark.createDataFrame([*wide_rows(), (1, "heavy", 400_000.0, None, 0.5)], WIDE)
