@@ -15,8 +15,10 @@ The ends need about 2 + log2(ids per document) bits each instead of 64. Select f
 from a hint every 256 set bits and a scan of a few bytes.
 
 Encoding: the byte-level split never joins a non-blank with a blank that follows, so words between
-single blanks are encoded once by the tokenizers library and kept in a bounded dictionary; texts in
-which two blanks meet or that hold the literal of an added token go to the library whole. Tests hold both against whole texts.
+single blanks are encoded once by the tokenizers library and kept in a bounded table; texts in
+which two blanks meet or that hold the literal of an added token go to the library whole. Arrow splits
+a round of texts into words, finds those that the table lacks and joins the ids, so that Python handles
+no single known word. Tests hold all of it against whole texts.
 
 Defined cases: a null text is an empty one (the end id alone); null ``doc_id`` rows come first;
 rows with equal ``doc_id`` are ordered by their text; an empty table gives no segment.
@@ -24,13 +26,14 @@ rows with equal ``doc_id`` are ordered by their text; an empty table gives no se
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +41,23 @@ from pyspark.sql import functions as F
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 HINT_EVERY = 256
-#: Most words that a worker keeps with their ids (about 200 bytes each).
-MAX_WORDS = 1_200_000
+#: A worker keeps at most so many words (and bytes of them) besides those of its last round of texts.
+MAX_WORDS = 1_000_000
+MAX_WORD_BYTES = 1 << 25
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
-#: Marks that are encoded apart from the word they end.
-MARKS = ",.;:!?"
 #: Unknown words that are encoded as one text.
 JOINED_WORDS = 250
+#: Bytes of text that are split into words at once; a longer text is a round of its own.
+ROUND_BYTES = 1 << 23
 SEGMENT_SCHEMA = (
     "part int, seg int, before long, n_docs int, n_ids long, width int, doc_ids binary, null_ids binary, "
     "ids binary, low_bits int, low binary, high binary, hints binary"
 )
-_BLANKS_MEET = re.compile(r"\s \s")
+#: What Python takes for white space, for Arrow's expressions.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANKS_MEET = f"{_SPACE} (?:{_SPACE}|$)"
+_ODD_WORD = f"^(?:{_SPACE}|$)|{_SPACE}$"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -108,75 +115,90 @@ class Bounds:
 class WordEncoder:
     """Ids of whole texts, packed; words that come again are looked up.
 
-    ``words`` holds the ids of a word after a blank. Once it is half full it becomes ``older``, from
-    which words that come again are taken over, so the frequent ones stay.
+    ``words`` holds distinct words and ``ids`` the ids of each after a blank. Once there are too many,
+    only the words of the last round are kept, so the frequent ones stay.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, literals))) if literals else None
+        self.whole = "|".join([_BLANKS_MEET, *("".join(f"\\x{{{ord(c):x}}}" for c in x) for x in literals if x)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(tokens.values()) + 1, bool)
         self.opens[[i for token, i in tokens.items() if token.startswith(BLANK)]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = {m: self._one(m) for m in MARKS}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _one(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Ids of unknown words; those with blanks of their own are encoded alone."""
-        again = self.older.keys() & fresh
-        self.words.update(zip(again, map(self.older.__getitem__, again)))
-        fresh -= again
-        odd = {w for w in fresh if not w or len(w.strip()) < len(w)}
-        for word in odd:
-            self.words[word] = self._one(" " + word)
-        fresh -= odd
-        # after a letter the split always cuts, so a mark that ends a word is encoded apart
-        ended = [w for w in fresh if w[-1] in MARKS and w[-2:-1].isalpha()]
-        bases = [w[:-1] for w in ended]
-        self._learn_plain(list(fresh.difference(ended).union(bases).difference(self.words)))
-        look = self.words.__getitem__
-        self.words.update(zip(ended, [look(b) + self.marks[w[-1]] for w, b in zip(ended, bases)]))
-
-    def _learn_plain(self, plain: list[str]) -> None:
-        """Many words are encoded as one text; a word begins at each token that begins with a blank."""
-        for at in range(0, len(plain), JOINED_WORDS):
-            some = plain[at : at + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int64)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, fresh: pa.Array) -> pa.Array:
+        """Ids of distinct words. Many are encoded as one text, as a word begins at each token that begins
+        with a blank; words with blanks of their own are encoded alone."""
+        odd = pc.match_substring_regex(fresh, _ODD_WORD).to_numpy(zero_copy_only=False)
+        plain = fresh.filter(pa.array(~odd))
+        cuts = np.append(np.arange(0, len(plain), JOINED_WORDS), len(plain))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), plain), " ").to_pylist()
+        found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def alone(words: list[str]) -> None:
+            ids = [self._library(" " + w) for w in words]
+            found.extend(ids)
+            sizes.append(np.array([len(i) for i in ids], np.int64))
+
+        for text, n in zip(texts, np.diff(cuts).tolist()):
+            ids = self._library(" " + text)
             begins = np.flatnonzero(self.opens[ids])
-            if len(begins) != len(some):
-                self.words.update((w, self._one(" " + w)) for w in some)
-                continue
-            packed = ids.astype(self.kind).tobytes()
-            cuts = (np.append(begins, len(ids)) * self.kind.itemsize).tolist()
-            self.words.update(zip(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MAX_WORDS // 2:
-            self.words, self.older = {}, self.words
-        whole = [_BLANKS_MEET.search(t) or (self.added and self.added.search(t)) for t in texts]
-        split = [None if w else t.split(" ") for w, t in zip(whole, texts)]
-        fresh: set[str] = set()
-        for words in split:
-            if words and len(words) > 1:
-                fresh.update(words[1:])
-        self._learn(fresh.difference(self.words))
-        look = self.words.__getitem__
-        return [
-            self._one(text) if words is None else self._one(words[0]) + b"".join(map(look, words[1:]))
-            for text, words in zip(texts, split)
-        ]
+            if len(begins) == n:
+                found.append(ids)
+                sizes.append(np.diff(begins, append=len(ids)))
+            else:
+                alone(text.split(" "))
+        alone(fresh.filter(pa.array(odd)).to_pylist())
+        ends = np.cumsum(np.concatenate([[0], *sizes])) * self.kind.itemsize
+        data = np.concatenate([np.empty(0, self.kind), *found]).tobytes()
+        learned = pa.BinaryArray.from_buffers(
+            pa.binary(), len(fresh), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+        )
+        back = np.empty(len(fresh), np.int64)
+        back[np.argsort(odd, kind="stable")] = np.arange(len(fresh))
+        return learned.take(pa.array(back))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed ids of each text."""
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.string())
+        whole = pc.match_substring_regex(texts, self.whole)
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        begins, words = split.offsets.to_numpy(), split.flatten()
+        # the first word of a text has no blank before it; whole texts take its place
+        first = np.zeros(len(words), bool)
+        first[begins[:-1]] = True
+        heads = pc.if_else(whole, texts, words.filter(pa.array(first))).to_pylist()
+        n = len(self.words)
+        coded = pa.concat_arrays([self.words, words.filter(pa.array(~first))]).dictionary_encode()
+        later = coded.indices.to_numpy()[n:]
+        self.words, self.ids = coded.dictionary, pa.concat_arrays([self.ids, self._learn(coded.dictionary.slice(n))])
+        place = np.empty(len(words), np.int64)
+        place[~first] = later
+        place[first] = len(self.ids) + np.arange(len(heads))
+        apart = pa.array([self._library(h).tobytes() for h in heads], pa.binary())
+        ids = pa.concat_arrays([self.ids, apart]).take(pa.array(place))
+        if len(self.words) > MAX_WORDS or self.words.nbytes > MAX_WORD_BYTES:
+            last = pa.array(np.flatnonzero(np.bincount(later, minlength=len(self.words))))
+            self.words, self.ids = self.words.take(last), self.ids.take(last)
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), b"").to_pylist()
+
+
+def rounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of about ``ROUND_BYTES`` of texts begin, and how many texts each has."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // ROUND_BYTES)) + 1).tolist(), len(texts)]
+    return ((a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -224,10 +246,10 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], _schema())
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in some["text"].to_pylist()])
-                for key, packed in zip(some["doc_id"].to_pylist(), ids):
+            texts = pc.fill_null(batch["text"], "")
+            for at, n in rounds(texts):
+                ids = encoder.encode(texts.slice(at, n))
+                for key, packed in zip(batch["doc_id"].slice(at, n).to_pylist(), ids):
                     keys.append(key)
                     done.append(packed + end)
                     held += len(packed) // encoder.kind.itemsize + 1
